@@ -77,3 +77,15 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
         self[key] = value
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make):
+    """What `make` gives, kept in this worker process until another key is asked for: tables that one task has built
+    serve the next one, and at most one set of them takes memory."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]

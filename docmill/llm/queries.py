@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, packing, transducer
+from . import ann, bpe, dedup, neardup, packing, ppm, quality, toxicity, transducer
 from .common import documents
 
 
@@ -16,6 +16,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(documents(spark, sf_dir), width=4)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(documents(spark, sf_dir))
 
@@ -24,7 +36,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op6_token_counts, op7_byte_bpe)}
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_token_counts, op7_byte_bpe, op9_nearest_neighbours, op10_lm_scores)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
