@@ -2,5 +2,474 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docmill import errors, registry
+from docmill.functions import html as H
+from docmill.functions import language as L
+from docmill.functions import text as X
+from docmill.operators import layout as G
+from docmill.operators import relational as R
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- text and markup
+
+_SQL_HTML = "html"
+for _p, _to in H.STEPS:
+    _flags, _body = ("", _p) if not _p.startswith("(?") else (_p[2 : _p.index(")")], _p[_p.index(")") + 1 :])
+    _to = _to.replace("$2", "\\2").replace("$1", "\\1").replace("'", "''")
+    _body = (f"(?{_flags})" if _flags else "") + _body
+    _SQL_HTML = f"regexp_replace({_SQL_HTML}, '{_body}', '{_to}', 'g')"
+_SQL_HTML = f"trim(regexp_replace({_SQL_HTML}, '\\n{{3,}}', '\n\n', 'g'))"
+_STOP = {k: ", ".join(f"'{w}'" for w in v) for k, v in L.WORDS.items()}
+
+
+def _sql_language(text: str) -> str:
+    sample = f"substring(regexp_replace({text}, '\\A\\s+|\\s+\\z', '', 'g'), 1, 2000)"
+    hits = ", ".join(f"{{'h': len(list_filter(string_split_regex(lower({sample}), '[^\\p{{L}}]+'), lambda w: w IN ({v}))), 'l': '{k}'}}" for k, v in _STOP.items())
+    best = f"list_reduce([{hits}], lambda a, x: CASE WHEN x.h > a.h THEN x ELSE a END)"
+    return f"CASE WHEN length({sample}) >= 20 AND ({best}).h > 0 THEN ({best}).l END"
+
+
+@query(f"SELECT page_id, url AS source, {_SQL_HTML} AS markdown, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, {_sql_language(_SQL_HTML)} AS language FROM pages")
+def html_to_markdown(spark, d):
+    md = H.html_to_markdown(F.col("html"))
+    return _t(spark, d, "pages").select("page_id", F.col("url").alias("source"), md.alias("markdown"), H.title(F.col("html")).alias("title")).withColumn("language", L.language(F.col("markdown")))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '[^./](\\.[^./]+)$', 1)) AS ext, list_extract(string_split(url, '/'), -1) AS name FROM pages")
+def url_extension(spark, d):
+    return _t(spark, d, "pages").select("page_id", X.extension(F.col("url")).alias("ext"), X.basename(F.col("url")).alias("name"))
+
+
+@query("SELECT event_id, '```json' || chr(10) || replace(replace(replace(props, '{', '{' || chr(10) || '  '), '}', chr(10) || '}'), ', ', ',' || chr(10) || '  ') || chr(10) || '```' AS fence FROM events")
+def json_fence(spark, d):
+    p = F.regexp_replace(F.regexp_replace(F.regexp_replace("props", r"\{", "{\n  "), r"\}", "\n}"), ", ", ",\n  ")
+    return _t(spark, d, "events").select("event_id", X.fenced(p).alias("fence"))
+
+
+_INJECTED = "CASE doc_id % 4 WHEN 0 THEN 'bro-' || chr(10) || 'ken ' || text WHEN 1 THEN '(cid:12)' || text || chr(10) || chr(10) || chr(10) || chr(10) || 'end' WHEN 2 THEN '.1' || chr(10) || chr(10) || 'Title' || chr(10) || text ELSE text END"
+
+
+def _injected() -> Column:
+    t = F.col("text")
+    m = F.col("doc_id") % 4
+    return F.when(m == 0, F.concat(F.lit("bro-\nken "), t)).when(m == 1, F.concat(F.lit("(cid:12)"), t, F.lit("\n\n\n\nend"))).when(m == 2, F.concat(F.lit(".1\n\nTitle\n"), t)).otherwise(t)
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_INJECTED}, '\\(cid:\\d+\\)', '', 'g'), '([a-z])-\\n([a-z])', '\\1\\2', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS cleaned FROM documents")
+def post_clean(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.cleaned(_injected()).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, regexp_replace({_INJECTED}, '(?m)^[ \\t]*(\\.\\d+)[ \\t]*\\n(?:[ \\t]*\\n)*[ \\t]*(\\S(?:[^\\n]*\\S)?)[ \\t]*$', '\\1 \\2', 'g') AS stitched FROM documents")
+def partial_numbering(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.stitched_numbering(_injected()).alias("stitched"))
+
+
+@query("""
+    WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), '  ' || chr(10) || chr(10) || chr(9) || chr(10) || chr(10)) ELSE text || '   ' END AS t FROM documents)
+    SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS markdown FROM t
+""".replace("\\\\", "\\"))
+def normalise_markdown(spark, d):
+    t = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("\n"), F.lit("  \n\n\t\n\n"))).otherwise(F.concat("text", F.lit("   ")))
+    return _t(spark, d, "documents").select("doc_id", X.normalised_markdown(t).alias("markdown"))
+
+
+@query("SELECT doc_id, text AS decoded, octet_length(encode(text)) AS n_bytes FROM documents")
+def decode_bytes(spark, d):
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    return _t(spark, d, "documents").select("doc_id", X.decoded(raw).alias("decoded"), F.octet_length("text").alias("n_bytes"))
+
+
+@query("""
+    WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '+02''00''' WHEN 1 THEN 'D:' || strftime(o_orderdate, '%Y%m') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d') WHEN 3 THEN 'n/a' ELSE 'D:' || strftime(o_orderdate, '%Y') END AS s, o_orderdate AS x FROM orders)
+    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(x, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(x, '%Y-%m') WHEN 2 THEN strftime(x, '%Y-%m-%d') WHEN 3 THEN '' ELSE strftime(x, '%Y') END AS created FROM t
+""")
+def pdf_date(spark, d):
+    f = lambda p: F.date_format("o_orderdate", p)
+    m = F.col("o_orderkey") % 5
+    s = F.when(m == 0, F.concat(F.lit("D:"), f("yyyyMMddHHmmss"), F.lit("+02'00'"))).when(m == 1, F.concat(F.lit("D:"), f("yyyyMM"))).when(m == 2, f("yyyyMMdd")).when(m == 3, "n/a").otherwise(F.concat(F.lit("D:"), f("yyyy")))
+    return _t(spark, d, "orders").select("o_orderkey", X.pdf_date(s).alias("created"))
+
+
+@query(f"SELECT doc_id, {_sql_language('text')} AS language FROM documents")
+def language_vote(spark, d):
+    return _t(spark, d, "documents").select("doc_id", L.language(F.col("text")).alias("language"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 1024 THEN (n_chars // 1024)::VARCHAR || ' KB' ELSE n_chars::VARCHAR || ' bytes' END AS label FROM documents")
+def attachment_label(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.size_label(F.col("n_chars")).alias("label"))
+
+
+@query("""
+    SELECT o_orderkey, concat_ws(chr(10) || chr(10), nullif(o_orderpriority, ''), CASE WHEN o_orderkey % 2 = 0 THEN 'Visual elements: ' || o_orderstatus END,
+      CASE WHEN o_orderkey % 3 = 0 THEN 'Document type: order' END, CASE WHEN o_orderkey % 5 = 0 THEN 'Extracted text:' || chr(10) || o_custkey::VARCHAR END) AS body FROM orders
+""")
+def combine_searchable(spark, d):
+    k = F.col("o_orderkey")
+    when = lambda n, c: F.when(k % n == 0, c).otherwise("")
+    return _t(spark, d, "orders").select("o_orderkey", X.searchable(F.col("o_orderpriority"), when(2, F.col("o_orderstatus")), when(3, F.lit("order")), when(5, F.col("o_custkey").cast("string"))).alias("body"))
+
+
+# ---------------------------------------------------------------- gates
+
+_CODED = "CASE WHEN doc_id % 5 = 0 THEN repeat('(cid:17) ', 30) || text WHEN doc_id % 5 = 1 THEN repeat('(cid:3) (cid:4)' || chr(10), 20) || text ELSE text END"
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, {_CODED} AS t FROM documents), s AS (SELECT doc_id, t, trim(t, ' ' || chr(10) || chr(9)) AS st, list_filter(string_split(t, chr(10)), lambda x: length(trim(x)) > 0) AS l FROM t),
+    r AS (SELECT doc_id, CASE WHEN length(st) < 50 THEN 0.0 ELSE greatest(len(regexp_extract_all(t, '\\(cid:\\d+\\)'))::DOUBLE / greatest(1, len(list_filter(string_split_regex(st, '\\s+'), lambda w: w <> ''))),
+      len(list_filter(l, lambda x: regexp_matches(x, '^\\s*(?:\\(cid:\\d+\\)\\s*)+$')))::DOUBLE / greatest(1, len(l))) END AS r FROM s)
+    SELECT doc_id, round(r, 9) AS ratio, CASE WHEN r > 0.3 THEN 'needs_ocr' END AS error_kind FROM r
+""".replace("\\\\", "\\"))
+def font_garbage(spark, d):
+    t = F.when(F.col("doc_id") % 5 == 0, F.concat(F.repeat(F.lit("(cid:17) "), 30), F.col("text"))).when(F.col("doc_id") % 5 == 1, F.concat(F.repeat(F.lit("(cid:3) (cid:4)\n"), 20), F.col("text"))).otherwise(F.col("text"))
+    r = X.garbage_ratio(t)
+    return _t(spark, d, "documents").select("doc_id", F.round(r, 9).alias("ratio"), F.when(r > 0.3, "needs_ocr").alias("error_kind"))
+
+
+@query("""
+    WITH t AS (SELECT doc_id, '## Page 1' || chr(10) || chr(10) || text AS md, 1 + doc_id % 7 AS pages, CASE WHEN doc_id % 3 = 0 THEN 'Microsoft Word' WHEN doc_id % 3 = 1 THEN 'Scanner' END AS creator, n_chars * 900 AS size FROM documents),
+    s AS (SELECT *, (length(md) - 9)::DOUBLE / pages AS density FROM t)
+    SELECT doc_id, (density < 100 OR (NOT coalesce(regexp_matches(lower(creator), 'word|latex|tex|indesign|libreoffice'), false) AND size::DOUBLE / pages > 500000 AND density < 300)) AS needs_ocr FROM s
+""")
+def density_gate(spark, d):
+    k = F.col("doc_id")
+    creator = F.when(k % 3 == 0, "Microsoft Word").when(k % 3 == 1, "Scanner")
+    return _t(spark, d, "documents").select("doc_id", X.needs_ocr(F.concat(F.lit("## Page 1\n\n"), "text"), 1 + k % 7, creator, F.col("n_chars") * 900).alias("needs_ocr"))
+
+
+@query("""
+    SELECT l_orderkey, count(*) AS entries, sum(l_quantity::BIGINT * 1000)::BIGINT AS total,
+      CASE WHEN count(*) > 5 THEN 'too_many_entries' WHEN sum(l_quantity::BIGINT * 1000) > 150000 THEN 'too_large'
+      WHEN bool_or(l_quantity::BIGINT * 1000 > 20000 AND l_linenumber - 1 > 0 AND l_quantity::BIGINT * 1000 > (l_linenumber - 1) * 20000) THEN 'ratio' END AS reason FROM lineitem GROUP BY l_orderkey
+""")
+def zip_guard(spark, d):
+    e = _t(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity").cast("long") * 1000).alias("file_size"), (F.col("l_linenumber") - 1).alias("compress_size"))
+    return R.archive_verdicts(e, "l_orderkey", 5, 150_000, 20_000, 20_000)
+
+
+@query("""
+    SELECT doc_id, lang || '.pdf' AS name, CASE WHEN doc_id % 4 = 0 THEN '.png' WHEN doc_id % 4 = 1 THEN '.pdf' WHEN doc_id % 4 = 2 AND source <> '' THEN '.jpeg' ELSE '.txt' END AS ext FROM documents
+""")
+def mime_override(spark, d):
+    k = F.col("doc_id") % 4
+    magic = F.when(k == 0, "89504E470D0A1A0A00").when(k == 1, "255044462D312E").when(k == 2, "89504E470D0A1A0A00").otherwise("48656C6C6F")
+    own = F.when(k == 0, ".pdf").when(k == 1, ".png").when(k == 2, ".jpeg").otherwise(".txt")
+    return _t(spark, d, "documents").select("doc_id", F.concat("lang", F.lit(".pdf")).alias("name"), X.rerouted(own, F.unhex(magic)).alias("ext"))
+
+
+_KINDS = ["unsupported", "encrypted_pdf", "invalid_mbox", "needs_ocr", "malicious_file", "decompression_bomb", "timeout", "other"]
+
+
+@query("""
+    WITH k AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'unsupported' WHEN 1 THEN 'encrypted_pdf' WHEN 2 THEN 'invalid_mbox' WHEN 3 THEN 'needs_ocr' WHEN 4 THEN 'malicious_file' WHEN 5 THEN 'decompression_bomb' WHEN 6 THEN 'timeout' WHEN 7 THEN 'other' END AS kind FROM events)
+    SELECT event_id, kind, CASE WHEN kind IS NULL THEN 200 WHEN kind IN ('unsupported', 'encrypted_pdf', 'invalid_mbox') THEN 415 WHEN kind IN ('needs_ocr', 'malicious_file') THEN 422 WHEN kind = 'decompression_bomb' THEN 413 WHEN kind = 'timeout' THEN 504 ELSE 500 END AS status FROM k
+""")
+def error_map(spark, d):
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 9).cast("int"))
+    return _t(spark, d, "events").select("event_id", kind.alias("kind"), errors.status(kind).alias("status"))
+
+
+# ---------------------------------------------------------------- routing
+
+_EXTS = [".pdf", ".DOC", ".xyz", ".ods", ""]
+_FORMAT_ROWS = ", ".join(f"('{f.ext}', '{f.parser}', '{f.target or f.ext}', {str(f.heavy).lower()})" for f in registry.FORMATS.values())
+
+
+@query(f"""
+    WITH r(ext, parser, read_as, heavy) AS (VALUES {_FORMAT_ROWS}), p AS (SELECT page_id, lower(list_extract(['.pdf', '.DOC', '.xyz', '.ods', ''], (page_id % 5 + 1)::INT)) AS ext FROM pages)
+    SELECT page_id, p.ext, parser, read_as, heavy, parser IS NOT NULL AS supported FROM p LEFT JOIN r ON p.ext = r.ext
+""")
+def route_join(spark, d):
+    ext = F.lower(F.get(F.array(*map(F.lit, _EXTS)), (F.col("page_id") % 5).cast("int")))
+    r = registry.routed(_t(spark, d, "pages").select("page_id", ext.alias("ext")))
+    return r.select("page_id", "ext", "parser", "read_as", "heavy", F.col("parser").isNotNull().alias("supported"))
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'''('{f.ext}', '{f.parser}')''' for f in registry.FORMATS.values())}) t(ext, parser)")
+def formats(spark, d):
+    return registry.formats(spark)
+
+
+@query("SELECT event_id, event_type AS ext, row_number AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS row_number FROM events) WHERE row_number <= 10")
+def sample_per_ext(spark, d):
+    e = _t(spark, d, "events").withColumnRenamed("event_type", "ext")
+    return R.sampled(e, 10, "ext", "event_id").select("event_id", "ext", F.row_number().over(Window.partitionBy("ext").orderBy("event_id")).cast("long").alias("n"))
+
+
+@query("""
+    WITH r AS (SELECT event_id AS seq, event_type AS ext, value >= 5 AS ok, value AS ms, CASE WHEN user_id % 3 = 0 THEN 'fallback' ELSE 'main' END AS parser, 'e' || event_id::VARCHAR AS error FROM events),
+    g AS (SELECT ext, count(*) AS n, count(*) FILTER (ok) AS ok, round(avg(ms), 4) AS avg_ms FROM r GROUP BY ROLLUP (ext)),
+    h AS (SELECT coalesce(ext, '') AS k, string_agg(parser || '=' || c::VARCHAR, ',' ORDER BY parser) AS parsers FROM (SELECT ext, parser, count(*) AS c FROM r GROUP BY GROUPING SETS ((ext, parser), (parser))) GROUP BY 1),
+    f AS (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY seq) AS a, row_number() OVER (ORDER BY seq) AS b FROM r WHERE NOT ok),
+    e AS (SELECT ext AS k, string_agg(error, ';' ORDER BY seq) AS errors FROM f WHERE a <= 3 GROUP BY ext UNION ALL SELECT '', string_agg(error, ';' ORDER BY seq) FROM f WHERE b <= 3)
+    SELECT g.ext, n, ok, avg_ms, parsers, coalesce(errors, '') AS errors FROM g LEFT JOIN h ON coalesce(g.ext, '') = h.k LEFT JOIN e ON coalesce(g.ext, '') = e.k
+""")
+def benchmark_rollup(spark, d):
+    e = _t(spark, d, "events")
+    return R.report(e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("ext"), (F.col("value") >= 5).alias("ok"), F.col("value").alias("ms"), F.when(F.col("user_id") % 3 == 0, "fallback").otherwise("main").alias("parser"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("error")))
+
+
+# ---------------------------------------------------------------- mail
+
+_SQL_MAIL = "'## Message ' || turn::VARCHAR || chr(10) || chr(10) || '# Subject: ' || role || chr(10) || chr(10) || concat_ws('  ' || chr(10), '**From:** ' || role || '@example.com', '**To:** ', CASE WHEN turn % 2 = 0 THEN '**Cc:** team' END, '**Date:** day ' || turn::VARCHAR) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text || CASE WHEN turn % 3 = 0 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**Attachments:** a.txt (' || CASE WHEN length(text) >= 1024 THEN (length(text) // 1024)::VARCHAR || ' KB' ELSE length(text)::VARCHAR || ' bytes' END || ')' ELSE '' END"
+
+
+def _mail() -> Column:
+    none = F.lit("")
+    files = F.when(F.col("turn") % 3 == 0, F.array(F.struct(F.lit("a.txt").alias("name"), F.length("text").cast("long").alias("size")))).otherwise(F.array().cast("array<struct<name:string,size:bigint>>"))
+    fields = {"subject": F.col("role"), "from": F.concat("role", F.lit("@example.com")), "to": none, "cc": F.when(F.col("turn") % 2 == 0, "team").otherwise(""), "bcc": none, "reply_to": none, "date": F.concat(F.lit("day "), F.col("turn").cast("string")), "message_id": none, "in_reply_to": none, "references": none, "body": F.col("text"), "attachments": files}
+    return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+
+def _messages(spark, d) -> DataFrame:
+    return _t(spark, d, "conversations").withColumn("m", _mail()).select("conv_id", "turn", R.mail_markdown(F.col("m"), F.col("turn")).alias("text"))
+
+
+@query(f"SELECT conv_id, turn, {_SQL_MAIL} AS text FROM conversations")
+def email_render(spark, d):
+    return _messages(spark, d)
+
+
+_SQL_CAPPED = f"SELECT *, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) AS size FROM (SELECT conv_id, turn, {_SQL_MAIL} AS text FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, size::BIGINT AS size FROM ({_SQL_CAPPED}) WHERE size <= 1500")
+def mailbox_cap(spark, d):
+    return R.capped(_messages(spark, d), "conv_id", "turn", "text", 1500).select("conv_id", "turn", "size")
+
+
+@query(f"""
+    WITH c AS ({_SQL_CAPPED}), k AS (SELECT conv_id, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM c WHERE size <= 1500 GROUP BY conv_id), t AS (SELECT conv_id, count(*) AS total FROM c GROUP BY conv_id)
+    SELECT conv_id, n AS message_count, n < total AS truncated, '# Mailbox: ' || conv_id::VARCHAR || ' (' || n::VARCHAR || CASE WHEN n < total THEN ' messages extracted; output truncated at message ' || n::VARCHAR || ' — 50MB cap reached, remaining messages omitted)' WHEN n = 1 THEN ' message)' ELSE ' messages)' END || chr(10) || body AS markdown FROM k JOIN t USING (conv_id)
+""")
+def mailbox_render(spark, d):
+    return R.mailboxes(_messages(spark, d), "conv_id", "turn", "text", 1500)
+
+
+# ---------------------------------------------------------------- layout
+
+_SQL_WORDS = """w AS (SELECT doc_id, 1 AS page, (generate_subscripts(a, 1) - 1)::INT AS seq, unnest(a) AS text FROM (SELECT doc_id, string_split_regex(text, '[ \\n]+') AS a FROM documents)),
+    words AS (SELECT doc_id, page, seq, text, 72.0 + (seq % 10) * 45 + CASE WHEN doc_id % 3 = 1 AND (seq // 10) % 2 = 1 THEN 200 WHEN doc_id % 3 = 2 AND (seq // 10) % 3 = 1 THEN 260 ELSE 0 END - CASE WHEN doc_id % 3 = 2 AND (seq // 10) % 3 = 2 AND seq % 10 > 3 THEN 250 ELSE 0 END AS x0,
+      (seq // 10) * 12.5 AS top, CASE WHEN (seq // 10) % 7 = 0 THEN 16.0 WHEN (seq // 10) % 7 = 3 THEN 13.0 ELSE 10.0 END AS size FROM w)""".replace("\\\\", "\\")
+
+
+def words(spark: SparkSession, d: str) -> DataFrame:
+    """Words on a made-up grid: ten to a line, some lines moved to other columns, some larger."""
+    w = _t(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), F.posexplode(F.split("text", "[ \n]+")).alias("seq", "text"))
+    line, k = F.floor(F.col("seq") / 10), F.col("doc_id") % 3
+    moved = F.when((k == 1) & (line % 2 == 1), 200).when((k == 2) & (line % 3 == 1), 260).otherwise(0) - F.when((k == 2) & (line % 3 == 2) & (F.col("seq") % 10 > 3), 250).otherwise(0)
+    x0 = (F.lit(72.0) + (F.col("seq") % 10) * 45 + moved).cast("double")
+    size = F.when(line % 7 == 0, 16.0).when(line % 7 == 3, 13.0).otherwise(10.0)
+    return w.withColumn("x0", x0).withColumn("x1", x0 + 40).withColumn("top", (line * 12.5).cast("double")).withColumn("size", size)
+
+
+@query(f"WITH {_SQL_WORDS} SELECT doc_id, page, (trunc(top / 4) * 4)::INT AS y, min(x0)::DOUBLE AS x_min, bool_or(x0 < 306) AS has_left, bool_or(x0 >= 306) AS has_right FROM words GROUP BY ALL")
+def line_flags(spark, d):
+    return G.line_flags(words(spark, d))
+
+
+@query(f"""
+    WITH {_SQL_WORDS}, l AS (SELECT doc_id, page, (round_even(top / 3, 0) * 3)::INT AS y, string_agg(text, ' ' ORDER BY x0, seq) AS t, avg(size) AS size FROM words GROUP BY 1, 2, 3),
+    m AS (SELECT *, length(t) BETWEEN 4 AND 150 AND NOT contains(t, '|') AND NOT regexp_matches(regexp_replace(t, '[. ]', '', 'g'), '^\\d+$') AS shaped, size / 10.0 AS ratio FROM l)
+    SELECT doc_id, page, y, CASE WHEN shaped AND ratio >= 1.5 THEN '# ' WHEN shaped AND ratio >= 1.25 THEN '## ' ELSE '' END AS mark, CASE WHEN shaped AND ratio >= 1.5 THEN '# ' WHEN shaped AND ratio >= 1.25 THEN '## ' ELSE '' END || t AS text FROM m
+""".replace("\\\\", "\\"))
+def heading_detect(spark, d):
+    body = _t(spark, d, "documents").select("doc_id", F.lit(10.0).alias("body"))
+    return G.prose(words(spark, d), body)
+
+
+@query(f"""
+    WITH {_SQL_WORDS}, l AS (SELECT doc_id, page, trunc(top / 4) * 4 AS y, min(x0) AS x, bool_or(x0 < 306) AS hl, bool_or(x0 >= 306) AS hr FROM words GROUP BY 1, 2, 3),
+    p AS (SELECT doc_id, page, count(*) AS n, count(*) FILTER (x > 612 * 0.35 AND x < 612 * 0.60) AS nm, count(*) FILTER (hr AND NOT hl) AS ro, count(*) FILTER (hl AND NOT hr) AS lo, list(x ORDER BY x) FILTER (x > 612 * 0.35 AND x < 612 * 0.60) AS xs FROM l GROUP BY 1, 2),
+    q AS (SELECT *, xs[len(xs) // 2 + 1] AS dv FROM p), s AS (SELECT q.doc_id, q.page, count(*) AS nw, count(*) FILTER (abs(x0 + 20 - dv) < 10) AS st FROM words JOIN q USING (doc_id, page) GROUP BY 1, 2),
+    k AS (SELECT q.doc_id, q.page, dv, CASE WHEN nw < 30 OR n < 8 OR nm < n * 0.15 THEN 'single' WHEN ro / n >= 0.15 AND lo / n < 0.05 THEN 'glossary' WHEN lo / n >= 0.10 AND ro / n >= 0.10 AND st / nw < 0.05 THEN 'prose_multi' ELSE 'single' END AS layout FROM q JOIN s USING (doc_id, page))
+    SELECT doc_id, page, layout, CASE WHEN layout <> 'single' THEN dv::DOUBLE END AS divider FROM k
+""")
+def layout_classify(spark, d):
+    return G.classified(words(spark, d))
+
+
+_COLUMNS = [72.0, 207.0, 342.0, 477.0]
+
+
+@query(f"WITH {_SQL_WORDS} SELECT doc_id, seq, CASE WHEN x0 < 207 - 20 THEN 0 WHEN x0 < 342 - 20 THEN 1 WHEN x0 < 477 - 20 THEN 2 ELSE 3 END AS col, CASE WHEN abs(x0 - 72) < 40 THEN 0 WHEN abs(x0 - 207) < 40 THEN 1 WHEN abs(x0 - 342) < 40 THEN 2 WHEN abs(x0 - 477) < 40 THEN 3 END AS near FROM words")
+def range_assign(spark, d):
+    starts = F.array(*map(F.lit, _COLUMNS))
+    return words(spark, d).select("doc_id", "seq", G.column_of(F.col("x0"), starts).alias("col"), G.aligned_with(F.col("x0"), starts).alias("near"))
+
+
+@query(f"WITH {_SQL_WORDS}, n AS (SELECT doc_id, seq // 10 AS line, CASE WHEN abs(x0 - 72) < 40 THEN 0 WHEN abs(x0 - 207) < 40 THEN 1 WHEN abs(x0 - 342) < 40 THEN 2 WHEN abs(x0 - 477) < 40 THEN 3 END AS c FROM words) SELECT doc_id, line::BIGINT AS line, count(DISTINCT c) AS aligned, count(DISTINCT c) >= 2 AS is_row FROM n GROUP BY ALL")
+def band_align(spark, d):
+    starts = F.array(*map(F.lit, _COLUMNS))
+    w = words(spark, d).select("doc_id", F.floor(F.col("seq") / 10).alias("line"), G.aligned_with(F.col("x0"), starts).alias("c"))
+    return w.groupBy("doc_id", "line").agg(F.countDistinct("c").alias("aligned")).withColumn("is_row", F.col("aligned") >= 2)
+
+
+@query("SELECT lang, list(n_chars ORDER BY n_chars)[count(*) // 2 + 1] AS median FROM documents GROUP BY lang")
+def upper_median(spark, d):
+    return _t(spark, d, "documents").groupBy("lang").agg(G.upper_median(F.collect_list("n_chars")).alias("median"))
+
+
+@query("""
+    WITH s AS (SELECT o_custkey, list(round(o_totalprice % 612, 2) ORDER BY round(o_totalprice % 612, 2)) AS xs FROM orders GROUP BY o_custkey)
+    SELECT o_custkey, len(list_reduce(xs, lambda a, x: CASE WHEN x - list_extract(a, -1) > 50 THEN list_append(a, x) ELSE a END, [xs[1]])) AS clusters,
+      list_reduce(xs, lambda a, x: CASE WHEN x - list_extract(a, -1) > 50 THEN list_append(a, x) ELSE a END, [xs[1]])[-1] AS last FROM s
+""")
+def greedy_columns(spark, d):
+    xs = F.sort_array(F.collect_list(F.round(F.col("o_totalprice") % 612, 2)))
+    o = _t(spark, d, "orders").groupBy("o_custkey").agg(G.clustered(xs, 50.0).alias("c"))
+    return o.select("o_custkey", F.size("c").cast("long").alias("clusters"), F.element_at("c", -1).alias("last"))
+
+
+@query("""
+    WITH x AS (SELECT o_custkey, round(o_totalprice % 612, 2) AS x FROM orders), g AS (SELECT o_custkey, round(lead(x) OVER (PARTITION BY o_custkey ORDER BY x) - x, 2) AS g FROM x),
+    l AS (SELECT o_custkey, coalesce(list(g ORDER BY g) FILTER (g > 5), []) AS gs FROM g GROUP BY o_custkey)
+    SELECT o_custkey, CASE WHEN len(gs) >= 3 THEN greatest(25.0, least(50.0, gs[trunc(len(gs) * 0.7::DOUBLE)::INT + 1])) ELSE 35.0 END AS gap FROM l
+""")
+def adaptive_gap(spark, d):
+    xs = F.sort_array(F.collect_list(F.round(F.col("o_totalprice") % 612, 2)))
+    return _t(spark, d, "orders").groupBy("o_custkey").agg(F.round(G.adaptive_gap(xs), 2).alias("gap"))
+
+
+@query("""
+    WITH n AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    r AS (SELECT *, n - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM n WHERE event_type IN ('error', 'view'))
+    SELECT user_id, run, count(*) AS length, min(event_id) AS first FROM r GROUP BY user_id, run
+""")
+def consecutive_runs(spark, d):
+    e = _t(spark, d, "events")
+    return G.runs(e, ["user_id"], "event_id", F.col("event_type").isin("error", "view")).groupBy("user_id", F.col("run").cast("long").alias("run")).agg(F.count(F.lit(1)).alias("length"), F.min("event_id").alias("first"))
+
+
+_PAGED = "SELECT source, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Journal of ' || source || chr(10) ELSE '' END || text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Confidential' ELSE '' END AS text FROM documents"
+
+
+def _paged(spark, d) -> DataFrame:
+    k = F.col("doc_id")
+    t = F.concat(F.when(k % 2 == 0, F.concat(F.lit("Journal of "), "source", F.lit("\n"))).otherwise(""), "text", F.when(k % 3 == 0, "\nConfidential").otherwise(""))
+    return _t(spark, d, "documents").select("source", "doc_id", t.alias("text"))
+
+
+_SQL_RUNNING = f"""p AS ({_PAGED}), l AS (SELECT source, count(*) OVER (PARTITION BY source) AS n, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM p),
+    e AS (SELECT source, n, 0 AS k, l[1] AS line FROM l WHERE len(l) > 0 UNION ALL SELECT source, n, 1, l[-1] FROM l WHERE len(l) > 0),
+    r AS (SELECT DISTINCT source, line FROM (SELECT source, line, k, count(*) AS c, any_value(n) AS n FROM e GROUP BY 1, 2, 3) WHERE n >= 3 AND c >= greatest(3, n // 3) AND length(line) < 200)"""
+
+
+@query(f"WITH {_SQL_RUNNING} SELECT source, line FROM r")
+def running_lines(spark, d):
+    return G.running_lines(_paged(spark, d), "source")
+
+
+@query(f"""WITH {_SQL_RUNNING}, s AS (SELECT source, list(line) AS rep FROM r GROUP BY source), a AS (SELECT p.source, doc_id, text, string_split(text, chr(10)) AS l, rep FROM p LEFT JOIN s USING (source)),
+    k AS (SELECT *, list_position(list_transform(l, lambda x: NOT list_contains(rep, trim(x, ' ' || chr(9) || chr(13)))), true) AS f, list_position(list_transform(list_reverse(l), lambda x: NOT list_contains(rep, trim(x, ' ' || chr(9) || chr(13)))), true) AS b FROM a)
+    SELECT source, doc_id, CASE WHEN rep IS NULL THEN text WHEN f IS NULL OR f = 0 THEN '' ELSE array_to_string(l[f:len(l) + 1 - b], chr(10)) END AS text FROM k""")
+def strip_running_lines(spark, d):
+    return G.without_running_lines(_paged(spark, d), "source").select("source", "doc_id", "text")
+
+
+@query("""
+    SELECT conv_id, count(*) AS page_count, regexp_replace(string_agg('## Page ' || turn::VARCHAR || CASE WHEN trim(text) <> '' THEN chr(10) || chr(10) || text ELSE '' END, chr(10) || chr(10) ORDER BY turn), '\\n{3,}', chr(10) || chr(10), 'g') AS markdown FROM conversations GROUP BY conv_id
+""".replace("\\\\", "\\"))
+def page_join(spark, d):
+    return G.joined_pages(_t(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+_SQL_CELLS = "[n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]"
+
+
+@query(f"""
+    WITH c AS (SELECT n_regionkey, n_nationkey, {_SQL_CELLS} AS c FROM nation), w AS (SELECT n_regionkey, [greatest(3, max(length(c[1]))), greatest(3, max(length(c[2]))), greatest(3, max(length(c[3])))] AS w FROM c GROUP BY 1)
+    SELECT n_regionkey, n_nationkey, '| ' || rpad(c[1], w[1]::INT, ' ') || ' | ' || rpad(c[2], w[2]::INT, ' ') || ' | ' || rpad(c[3], w[3]::INT, ' ') || ' |' AS line FROM c JOIN w USING (n_regionkey)
+""")
+def form_table_render(spark, d):
+    n = _t(spark, d, "nation").select("n_regionkey", "n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("c"))
+    w = n.groupBy("n_regionkey").agg(F.array(*[F.greatest(F.lit(3), F.max(F.length(F.col("c")[i]))) for i in range(3)]).alias("w"))
+    return n.join(w, "n_regionkey").select("n_regionkey", "n_nationkey", G.padded_row(F.col("c"), F.col("w")).alias("line"))
+
+
+# ---------------------------------------------------------------- tables, images, metadata
+
+@query("""
+    SELECT c_nationkey, '| c_custkey | c_name | c_mktsegment |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || c_custkey::VARCHAR || ' | ' || c_name || ' | ' || coalesce(c_mktsegment, '') || ' |', chr(10) ORDER BY c_custkey) AS markdown FROM customer GROUP BY c_nationkey
+""")
+def md_table(spark, d):
+    row = F.struct("c_custkey", F.array(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("cells"))
+    c = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["cells"]).alias("rows"))
+    return c.select("c_nationkey", R.pipe_table(F.array(*map(F.lit, ("c_custkey", "c_name", "c_mktsegment"))), F.col("rows")).alias("markdown"))
+
+
+@query("SELECT o_custkey, least(count(*), 10) AS kept, count(*) > 10 AS truncated, list(o_orderkey ORDER BY o_orderkey)[least(count(*), 10)] AS last FROM orders GROUP BY o_custkey")
+def row_cap_truncate(spark, d):
+    o = _t(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("r"))
+    o = o.select("o_custkey", R.capped_rows(F.col("r"), 10).alias("s"))
+    return o.select("o_custkey", F.size("s.rows").cast("long").alias("kept"), "s.truncated", F.element_at("s.rows", -1).alias("last"))
+
+
+@query("""
+    SELECT doc_id, nullif(lang, 'en') AS title, nullif(CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END, '') AS author, CASE WHEN doc_id % 3 > 0 THEN [lang] END AS sheet_names, (doc_id % 4)::INT AS page_count,
+      'doc-' || doc_id::VARCHAR AS source FROM documents
+""")
+def metadata_clean(spark, d):
+    k = F.col("doc_id")
+    names = F.when(k % 3 > 0, F.array("lang")).otherwise(F.array().cast("array<string>"))
+    return _t(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("title"), X.drop_empty(F.when(k % 2 == 0, F.col("source")).otherwise("")).alias("author"), F.when(F.size(names) > 0, names).alias("sheet_names"), (k % 4).cast("int").alias("page_count"), F.concat(F.lit("doc-"), k.cast("string")).alias("source"))
+
+
+_SQL_IMAGES = "SELECT source AS doc, doc_id AS seq, 'image ' || doc_id::VARCHAR AS label, sha1(text) AS sha1, 20 + n_chars % 200 AS width, 60 + n_chars % 90 AS height, CASE WHEN doc_id % 5 = 0 THEN '(no text detected)' ELSE left(text, 40) END AS text FROM documents"
+_SQL_USED = f"""i AS ({_SQL_IMAGES}), g AS (SELECT *, row_number() OVER (PARTITION BY doc, sha1 ORDER BY seq) = 1 AND least(width, height) >= 64 AND trim(text) NOT IN ('(no text detected)', '') AS good FROM i),
+    u AS (SELECT *, good AND sum(good::INT) OVER (PARTITION BY doc ORDER BY seq) <= 20 AS used FROM g)"""
+
+
+def _images(spark, d) -> DataFrame:
+    t = _t(spark, d, "documents")
+    return t.select(F.col("source").alias("doc"), F.col("doc_id").alias("seq"), F.concat(F.lit("image "), F.col("doc_id").cast("string")).alias("label"), F.sha1("text").alias("sha1"), (20 + F.col("n_chars") % 200).alias("width"), (60 + F.col("n_chars") % 90).alias("height"), F.when(F.col("doc_id") % 5 == 0, "(no text detected)").otherwise(F.substring("text", 1, 40)).alias("text"))
+
+
+@query(f"WITH {_SQL_USED} SELECT doc, count(*) AS images_found, count(*) FILTER (used) AS images_ocred, count(*) FILTER (NOT used) AS images_skipped FROM u GROUP BY doc")
+def embedded_ocr_stats(spark, d):
+    return R.image_stats(R.embedded_images(_images(spark, d), "doc", "seq"), "doc")
+
+
+@query(f"WITH {_SQL_USED} SELECT doc, '## Embedded image text' || chr(10) || chr(10) || string_agg('### ' || label || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY seq) AS section FROM u WHERE used GROUP BY doc")
+def embedded_image_text(spark, d):
+    return R.image_section(R.embedded_images(_images(spark, d), "doc", "seq"), "doc", "seq")
+
+
+@query("SELECT doc_id, text FROM (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source, sha1(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def dedup_first(spark, d):
+    t = _t(spark, d, "documents").withColumn("sha1", F.sha1("text"))
+    return R.first_of_each(t, ["source", "sha1"], "doc_id").select("doc_id", "text")
+
+
+@query("""
+    SELECT doc_id, 'a ' || CASE WHEN doc_id % 3 = 0 THEN '$`x_' || doc_id::VARCHAR || '`$' WHEN doc_id % 3 = 1 THEN '' ELSE '' END || ' b ' || '$`y`$' || ' c' AS markdown, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END END::BIGINT AS source_inline, 2::BIGINT AS found_inline FROM documents WHERE doc_id % 3 <> 2
+    UNION ALL SELECT doc_id, 'a $`y`$ b  c', 1, 2 FROM documents WHERE doc_id % 3 = 2
+""")
+def sentinel_restore(spark, d):
+    k = F.col("doc_id")
+    text = F.when(k % 3 == 2, "a XMATHI000000X b XMATHI000007X c").otherwise("a XMATHI000000X b XMATHI000001X c")
+    latex = F.when(k % 3 == 0, F.array(F.concat(F.lit("x_"), k.cast("string")), F.lit("y"))).when(k % 3 == 1, F.array(F.lit(""), F.lit("y"))).otherwise(F.array(F.lit("y")))
+    s = R.equation_stats(text, latex, F.array().cast("array<string>"))
+    return _t(spark, d, "documents").select("doc_id", R.restored(text, latex, False).alias("markdown"), s["source_inline"].alias("source_inline"), s["found_inline"].alias("found_inline"))
