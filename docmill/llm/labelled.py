@@ -48,6 +48,24 @@ def fitted(rows: DataFrame, fit):
     return pickle.loads(found[0]) if found else None
 
 
+def kept(docs: DataFrame, model, scorer, keep, text_col: str) -> DataFrame:
+    """The rows of docs, with all their columns, for whose score keep(score) holds, in one pass without a shuffle."""
+    key = hash(pickle.dumps(model))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        score = resident((scorer.__module__, key), lambda: scorer(sent.value)) if sent.value is not None else lambda texts: [0.5] * len(texts)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part.filter(pa.array([bool(keep(float(x))) for x in score([t or "" for t in part.column(at_text).to_pylist()])], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scores(docs: DataFrame, model, scorer, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """scorer(model) gives a function from texts to numbers from 0 to 1; without a model all are 0.5."""
     key = hash(pickle.dumps(model))

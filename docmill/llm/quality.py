@@ -97,6 +97,12 @@ def scorer(model: dict):
     return score
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, label: str = "quality", each: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that quality() predicts 1 for, with all their columns; without labelled rows all stay."""
+    model = labelled.fitted(labelled.sample(docs, labels, label, each, id_col, text_col), fit)
+    return docs if model is None else labelled.kept(docs, model, scorer, lambda x: x >= threshold, text_col)
+
+
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, label: str = "quality", each: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score (higher: label 1 likelier) and predicted (score >= threshold).
 

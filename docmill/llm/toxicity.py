@@ -279,6 +279,12 @@ def scorer(model: dict):
     return score
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "toxic", each: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that toxicity() predicts 0 for, with all their columns; where the labels lack a class all stay."""
+    model = labelled.fitted(labelled.sample(docs, labels, label, each, id_col, text_col), fit)
+    return docs if model is None else labelled.kept(docs, model, scorer, lambda x: x < threshold, text_col)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "toxic", each: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score (higher: label 1 likelier) and predicted (score >= threshold).
 
