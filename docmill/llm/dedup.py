@@ -77,7 +77,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal texts are those whose normalised forms have the same bytes; null counts as empty. keep_id is the
     smallest id of the group (null only if all its ids are null); kept is doc_id <=> keep_id, so rows that repeat
     an id with the same text stay or go together. An empty table gives an empty result; other columns are left out.
-    Two different texts with the same digest are told apart by their bytes and grouped separately."""
+    Two different texts with the same digest are told apart by their bytes and grouped separately; with another `digest`
+    than sha256, text_sha256 is null."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
     own = own.select("id", "t", digest(F.col("t")).alias("digest"))
@@ -93,13 +94,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clash = spark.read.parquet(clashes)
     if clash.isEmpty():
         groups = run.select("digest", F.col("id").alias("doc_id")).join(top.select("digest", F.col("id").alias("keep_id"), F.col("rows").alias("group_size")), "digest")
-        groups = groups.withColumn("text_sha256", F.lower(F.hex("digest")) if digest is sha256 else F.lit(None).cast("string"))
     else:
         plain = run.join(clash, "digest", "left_anti").select("digest", F.col("id").alias("doc_id")).join(top.select("digest", F.col("id").alias("keep_id"), F.col("rows").alias("group_size")), "digest").withColumn("t", F.lit(None).cast("string"))
         mixed = own.join(clash, "digest", "left_semi").withColumnRenamed("id", "doc_id").join(texts, ["digest", "t"])
         cols = ["digest", "doc_id", "keep_id", "group_size", "t"]
         groups = plain.select(cols).unionByName(mixed.select(cols))
-        groups = groups.withColumn("text_sha256", F.lower(F.hex("digest")) if digest is sha256 else F.sha2(F.encode("t", "UTF-8"), 256))
+    groups = groups.withColumn("text_sha256", F.lower(F.hex("digest")) if digest is sha256 else F.lit(None).cast("string"))
     return groups.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -2,8 +2,8 @@
 
 Two collections of HALVES keys are made, each of ROWS minimum hashes. A table is a pair of one key of either
 collection, so 2 * HALVES * ROWS hashes serve HALVES ** 2 tables of 2 * ROWS hashes, about the square root of what
-separate tables need. At similarity s a link is missed with probability at most 2 (1 - s ** ROWS) ** HALVES, 4e-4 at
-s = 0.8 and 2e-5 at 0.85, and then matters only if no other path joins the two.
+separate tables need. At similarity s a link is missed with probability at most 2 (1 - s ** ROWS) ** HALVES, 9e-5 at
+s = 0.8 and 3e-6 at 0.85, and then matters only if no other path joins the two.
 
 1. Documents with equal shingle sets become one representative (partial sums before the shuffle).
 2. Halves that only one representative has are dropped before pairs of halves are formed.
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import Memo, resident, written
 from .components import connected_components
 
-HALVES, ROWS = 12, 3
+HALVES, ROWS = 14, 3
 #: Documents of a cluster that are compared as one block.
 BLOCK = 384
 _MIX = np.uint64(0x9E3779B97F4A7C15)
