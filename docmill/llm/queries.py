@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, dedup, neardup, packing, ppm, quality, toxicity, transducer
+from . import ann, bpe, dedup, linededup, neardup, packing, ppm, quality, toxicity, transducer
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(documents(spark, sf_dir))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -44,7 +48,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_token_counts, op7_byte_bpe, op9_nearest_neighbours, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_token_counts, op7_byte_bpe, op8_line_dedup, op9_nearest_neighbours, op10_lm_scores)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
