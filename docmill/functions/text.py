@@ -14,7 +14,7 @@ def extension(name: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.try_element_at(F.split(path, "/"), F.lit(-1))
 
 
 def strip(text: Column) -> Column:

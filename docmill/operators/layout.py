@@ -133,15 +133,15 @@ def form_columns(words: DataFrame, page_width: float = 612.0) -> DataFrame:
     found = lines(words, y_form(F.col("top")))
     xs = F.transform("words", lambda w: w["x0"])
     text = line_text()
-    width = F.element_at("words", -1)["x1"] - F.element_at("words", 1)["x0"]
+    width = F.try_element_at("words", F.lit(-1))["x1"] - F.try_element_at("words", F.lit(1))["x0"]
     found = found.withColumn("groups", clustered(F.sort_array(xs), 50.0)).withColumn("text", text)
     found = found.withColumn("is_paragraph", (width > page_width * 0.55) & (F.length("text") > 60))
-    found = found.withColumn("numbered", F.trim(F.element_at("words", 1)["text"]).rlike(r"^\.\d+$"))
+    found = found.withColumn("numbered", F.trim(F.try_element_at("words", F.lit(1))["text"]).rlike(r"^\.\d+$"))
     w = Window.partitionBy(*PAGE)
     mine = F.when((F.size("groups") >= 3) & ~F.col("is_paragraph"), F.col("groups"))
     found = found.withColumn("xs", F.sort_array(F.flatten(F.collect_list(mine).over(w))))
     found = found.withColumn("columns", clustered(F.col("xs"), adaptive_gap(F.col("xs"))))
-    n, span = F.size("columns"), F.element_at("columns", -1) - F.element_at("columns", 1)
+    n, span = F.size("columns"), F.try_element_at("columns", F.lit(-1)) - F.try_element_at("columns", F.lit(1))
     fits = (F.size("xs") > 0) & (n > 1)
     found = found.where(fits).where((span / n >= 30) & (n / (span / 72) <= 10) & (n <= F.greatest(F.lit(15), F.lit(int(20 * page_width / 612)))))
     on = F.array_distinct(F.filter(F.transform("words", lambda x: aligned_with(x["x0"], F.col("columns"))), lambda i: i.isNotNull()))
@@ -186,7 +186,7 @@ def running_lines(pages: DataFrame, doc: str = "doc_id", text: str = "text", lea
     found = F.filter(F.transform(F.split(text, "\n"), X.strip), lambda x: x != "")
     ends = pages.select(doc, found.alias("l")).withColumn("n_pages", F.count(F.lit(1)).over(Window.partitionBy(doc)))
     ends = ends.where((F.size("l") > 0) & (F.col("n_pages") >= least))
-    both = ends.select(doc, "n_pages", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.element_at("l", 1).alias("line")), F.struct(F.lit(1).alias("end"), F.element_at("l", -1).alias("line")))).alias("e"))
+    both = ends.select(doc, "n_pages", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.try_element_at("l", F.lit(1)).alias("line")), F.struct(F.lit(1).alias("end"), F.try_element_at("l", F.lit(-1)).alias("line")))).alias("e"))
     counts = both.groupBy(doc, "e.end", "e.line").agg(F.count(F.lit(1)).alias("n"), F.first("n_pages").alias("n_pages"))
     return counts.where((F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("n_pages") / 3))) & (F.length("line") < 200)).select(doc, "line").distinct()
 
