@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, tokenizer_path, written
+from .common import Memo, resident, tokenizer_path, written
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -232,7 +232,7 @@ class WordCache:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, bound: int = 300_000) -> None:
+    def __init__(self, path: str, bound: int = 700_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -307,7 +307,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     def run(batches):
         import pyarrow as pa
 
-        encode, end = WordCache(path), np.array([separator], dtype="<u4").tobytes()
+        encode, end = resident(("words", path), lambda: WordCache(path)), np.array([separator], dtype="<u4").tobytes()
         width = capacity * 4
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
