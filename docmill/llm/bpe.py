@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, tokenizer_path
+from .common import Memo, resident, tokenizer_path
 
 
 class RankQueue:
@@ -73,7 +73,7 @@ class RankQueue:
             while True:
                 nxt = after[at]
                 better = False
-                if ids[at] >= 0 and find(ids[at] << 20 | ids[nxt]) == rank:  # else stale
+                if find(ids[at] << 20 | ids[nxt]) == rank:  # else stale
                     ids[at], ids[nxt] = rank, -1
                     after[at] = nxt = after[nxt]
                     prev = before[at]
@@ -114,14 +114,19 @@ class RankQueue:
         return b"".join(map(self.text.__getitem__, ids))
 
 
+#: Characters that are a pre-token of their own at the end of a word.
+ENDS = frozenset(".,;:!?")
+
+
 class Codec:
     """Texts to ids and back. Chunks between single spaces are split by the pattern on their own, and both chunks and
     pre-tokens are kept up to a bound; a text that has other white space next to a space is split whole."""
 
-    def __init__(self, path: str, pattern: str, bound: int = 300_000) -> None:
+    def __init__(self, path: str, pattern: str, bound: int = 500_000) -> None:
         import regex
 
         self.findall = regex.compile(pattern).findall
+        self.chunked = pattern == _pattern(None)  # of other patterns nothing is known
         with open(path, "rb") as f:
             self.queue = RankQueue({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.tokens = Memo(self._token, bound)
@@ -142,7 +147,12 @@ class Codec:
         return sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
 
     def _chunk(self, word: str) -> tuple[int, str, bytes]:
-        """Of a space and a word; -1 where the white space at its ends needs a look at its neighbours."""
+        """Of a space and a word (the common forms of a word need no search); -1 where the white space at its ends needs a look at its neighbours."""
+        if word.isalpha():  # one pre-token
+            return self.tokens[f" {word}"]
+        if word[-1:] in ENDS and word[:-1].isalpha():  # two
+            a, b = self.tokens[f" {word[:-1]}"], self.tokens[word[-1]]
+            return a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2]
         if not word or word[0].isspace() or word[-1].isspace():
             return -1, "", b""
         return self._whole(f" {word}")
@@ -156,15 +166,15 @@ class Codec:
         if text:
             words = text.split(" ")
             first = words.pop(0)
-            if first and not first[0].isspace() and not first[-1].isspace() and len(max(words, key=len, default="")) <= 256:
+            if self.chunked and first and not first[0].isspace() and not first[-1].isspace() and len(max(words, key=len, default="")) <= 256:
                 parts = [self._whole(first), *map(self.chunks.__getitem__, words)]
-                counts = [p[0] for p in parts]
+                counts, ids, data = zip(*parts, strict=True)
             else:
-                counts = [-1]
+                counts = (-1,)
             if min(counts) < 0:
                 n, ids, data = self._whole(text)
             else:
-                n, ids, data = sum(counts), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
+                n, ids, data = sum(counts), ",".join(ids), b"".join(data)
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()
 
 
@@ -189,7 +199,7 @@ def encode(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", pattern:
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec(path, pattern)
+        codec = resident(("bpe", path, pattern), lambda: Codec(path, pattern))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.encode(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=CODED.names)
 
@@ -219,7 +229,7 @@ def round_trip(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", patt
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec(path, pattern)
+        codec = resident(("bpe", path, pattern), lambda: Codec(path, pattern))
         for batch in batches:
             rows = [codec.digest(t or "") for a in range(0, batch.num_rows, 256) for t in batch.column(1)[a : a + 256].to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, tokenizer_path
+from .common import Memo, resident, tokenizer_path
 
 SPACE = "▁"
 CHUNK = 1 << 16
@@ -188,7 +188,7 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     def run(batches):
         import pyarrow as pa
 
-        count = counter(path).count
+        count = resident(("transducer", path), lambda: counter(path)).count
         for batch in batches:
             sizes, tokens = [], []
             for a in range(0, batch.num_rows, 256):
