@@ -34,7 +34,7 @@ class Writer(HTMLParser):
         self.links: list[str] = []
         self.marks: list[tuple[str, int]] = []
         self.tables: list[list[list[str]]] = []
-        self.cells: list[int] = []
+        self.cells: list[tuple[int, int]] = []
         self.title: str | None = None
 
     def block(self) -> None:
@@ -42,6 +42,14 @@ class Writer(HTMLParser):
         if self.out and not text.endswith("\n\n"):
             self.out.append("\n\n")
 
+    def close_cell(self) -> None:
+        """Ends the open cell of the innermost table; end tags of cells may be missing."""
+        if self.cells and self.cells[-1][0] == len(self.tables):
+            _, at = self.cells.pop()
+            text = re.sub(r"\s+", " ", "".join(self.out[at:])).strip()
+            del self.out[at:]
+            self.tables[-1][-1].append(text)
+
     def handle_starttag(self, tag, attrs):
         values = dict(attrs)
         if tag in _SKIP:
@@ -89,11 +97,13 @@ class Writer(HTMLParser):
             self.block()
             self.tables.append([])
         elif tag == "tr" and self.tables:
+            self.close_cell()
             self.tables[-1].append([])
         elif tag in ("td", "th") and self.tables:
+            self.close_cell()
             if not self.tables[-1]:
                 self.tables[-1].append([])
-            self.cells.append(len(self.out))
+            self.cells.append((len(self.tables), len(self.out)))
         elif tag in _BLOCK:
             self.block()
 
@@ -128,12 +138,10 @@ class Writer(HTMLParser):
             self.out.append("\n```\n\n")
         elif tag == "code" and not self.pre:
             self.out.append("`")
-        elif tag in ("td", "th") and self.tables and self.cells:
-            at = self.cells.pop()
-            text = re.sub(r"\s+", " ", "".join(self.out[at:])).strip()
-            del self.out[at:]
-            self.tables[-1][-1].append(text)
+        elif tag in ("td", "th") and self.tables:
+            self.close_cell()
         elif tag == "table" and self.tables:
+            self.close_cell()
             rows = [r for r in self.tables.pop() if r]
             if rows:
                 self.out.append(pipe_table(rows) + "\n\n")
