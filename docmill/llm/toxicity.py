@@ -22,9 +22,11 @@ from .svm import dual_coordinate_descent, platt, probability
 ORDER, DECAY, FLOOR = 3, 0.65, 0.35
 #: Longest part of a unit that is compared at once; longer units are taken in overlapping parts.
 WIDTH = 24
+#: Lengths of beginnings of units that can be landmarks too, so words with other endings are found.
+STEMS = (4, 5, 6)
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 32
 #: Log-likelihood ratio from which a unit of toxic sentences can be a landmark.
-EVIDENCE = 20.0
+EVIDENCE = 12.0
 #: Labelled rows of either class that the model is fitted on, at most.
 SAMPLE = 4_000
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
@@ -209,11 +211,16 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     y = np.array(labels) == 1
     if not y.any() or y.all():
         return None
-    counts = (Counter(), Counter())
+    # By different sentences: what copies of a document repeat is no evidence.
+    counts, seen = (Counter(), Counter()), (set(), set())
     for t, one in zip(texts, y, strict=True):
-        counts[int(one)].update({u for w in set(t.split()) if len(u := plain(w)) >= ORDER and len(u) <= WIDTH})
-    n1, n0 = int(y.sum()), int((~y).sum())
-    least = max(3, n1 // 200)
+        for s in SENTENCE.split(t):
+            if s not in seen[int(one)]:
+                seen[int(one)].add(s)
+                units = {u for w in set(s.split()) if len(u := plain(w)) >= ORDER and len(u) <= WIDTH}
+                counts[int(one)].update(units.union(*[{u[:k] for u in units if len(u) > k} for k in STEMS]))
+    n1, n0 = len(seen[1]), len(seen[0])
+    least = 4
 
     def gain(u):
         """Log-likelihood ratio of what a unit says about the class, for those of the toxic one."""
@@ -224,8 +231,14 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
         part = lambda x, p, q: x * np.log(max(p, 1e-12) / q) + (1 - x) * np.log(max(1 - p, 1e-12) / max(1 - q, 1e-12))
         return n1 * part(a, a, m) + n0 * part(b, b, m)
 
-    ranked = sorted(((gain(u), u) for u, c in counts[1].items() if c >= least), reverse=True)
-    landmarks = [u for g, u in ranked[:TOXIC_LANDMARKS] if g >= EVIDENCE]
+    ranked = sorted(((gain(u), len(u), u) for u, c in counts[1].items() if c >= least), reverse=True)
+    landmarks: list[str] = []
+    for g, _, u in ranked:
+        if g < EVIDENCE or len(landmarks) == TOXIC_LANDMARKS:
+            break
+        # A stem that says no more than a longer unit is left out.
+        if not any((v.startswith(u) or u.startswith(v)) and abs(counts[1][u] - counts[1][v]) <= 0.05 * counts[1][v] for v in landmarks):
+            landmarks.append(u)
     toxic = len(landmarks)
     if not landmarks:
         return None
