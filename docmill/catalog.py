@@ -473,3 +473,47 @@ def sentinel_restore(spark, d):
     latex = F.when(k % 3 == 0, F.array(F.concat(F.lit("x_"), k.cast("string")), F.lit("y"))).when(k % 3 == 1, F.array(F.lit(""), F.lit("y"))).otherwise(F.array(F.lit("y")))
     s = R.equation_stats(text, latex, F.array().cast("array<string>"))
     return _t(spark, d, "documents").select("doc_id", R.restored(text, latex, False).alias("markdown"), s["source_inline"].alias("source_inline"), s["found_inline"].alias("found_inline"))
+
+
+# ---------------------------------------------------------------- whole conversions
+
+def _as_files(t: DataFrame, key: str, ext: str, content: Column) -> DataFrame:
+    return t.select(F.concat(F.lit("/made/"), F.col(key).cast("string"), F.lit(ext)).alias("path"), F.current_timestamp().alias("modificationTime"), F.length(content).cast("long").alias("length"), content.alias("content"))
+
+
+@query("SELECT doc_id || '.txt' AS filename, 'text' AS parser, 200 AS status, octet_length(encode(text)) AS bytes, 'doc' AS kind FROM documents WHERE octet_length(encode(text)) > 0")
+def convert_files(spark, d):
+    """All documents as text files through the whole pipeline."""
+    from docmill.plans import pipeline
+
+    t = _t(spark, d, "documents")
+    got = pipeline.convert(_as_files(t, "doc_id", ".txt", F.encode("text", "UTF-8")), "markdown")
+    return got.where("bytes > 0").select("filename", "parser", "status", "bytes", F.lit("doc").alias("kind"))
+
+
+@query()
+def convert_pages(spark, d):
+    """All web pages as HTML files through the general reader."""
+    from docmill.plans import pipeline
+
+    got = pipeline.convert(_as_files(_t(spark, d, "pages"), "page_id", ".html", F.encode("html", "UTF-8")), "both")
+    return got.select("filename", "parser", "status", "markdown", "metadata.title", "metadata.language")
+
+
+@query()
+def convert_mailboxes(spark, d):
+    """Conversations as mailboxes."""
+    from docmill.plans import pipeline
+
+    one = F.concat(F.format_string("From a@b x\nSubject: turn %d\nFrom: %s@example.com\n\n", "turn", "role"), F.regexp_replace("text", "(?m)^From ", ">From "), F.lit("\n\n"))
+    rows = F.sort_array(F.collect_list(F.struct("turn", one.alias("t"))))
+    boxes = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "").alias("t"))
+    got = pipeline.convert(_as_files(boxes, "conv_id", ".mbox", F.encode("t", "UTF-8")), "both")
+    return got.select("filename", "status", "markdown", "metadata.message_count")
+
+
+@query()
+def pdf_layout(spark, d):
+    """Made-up words of all documents as pages, through crop, layout, tables, headings and running lines."""
+    w = words(spark, d)
+    return G.pdf_markdown(w, w.select("doc_id", "page").distinct(), crop=False)
