@@ -5,7 +5,8 @@
 2. Lines with the same token set are a class, held by its first line. Its tokens are sorted by that order; if two sets are
    similar, the shorter one's first n - ceil(2t / (1 + t) n) + 1 tokens and the longer one's first n - ceil(t n) + 1 share
    one. Tokens whose counter is 1 are in no other line and are left out.
-3. Classes meet on those tokens. Before a pair leaves the join it must pass the length filter, the positional filter (tokens
+3. Classes meet on those tokens (their hashes cut to 32 bits: a clash only adds candidates), dealt to buckets as arrays. Before a
+   pair leaves a bucket it must pass the length filter, the positional filter (tokens
    left from the shared one on) and a parity filter: 128 parity bits of the tokens differ in no more places than the sets may.
 4. Pairs that are left are compared by their whole sets. A line goes if an earlier one has a similar or the same set.
 """
@@ -19,33 +20,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, resident, written
+from .common import freed, written
 
 SLOT_BITS, RANGE_BITS = 23, 6
 SALTS = 16
+#: Sets above this size have two words of parity bits, by another bit of their tokens; the words' sum is that of smaller sets.
+SPLIT = 64
+#: Occurrences from which a token's rows are dealt among several tasks.
+HOT = 1 << 17
 #: Hashed places for the ids of documents whose lines are compared; more ids only mean more texts are read again.
 ID_BITS = 23
 
 
-def tokens(texts: list[str | None], known: Memo):
-    """(hashes of all words, line of each, document and number of each line) of lines with words."""
-    words, sizes, docs, numbers = [], [], [], []
-    for d, t in enumerate(texts):
-        for k, line in enumerate((t or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-            w = line.split()
-            if w:
-                words += w
-                sizes.append(len(w))
-                docs.append(d)
-                numbers.append(k)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    return h, np.repeat(np.arange(len(sizes)), sizes), np.array(docs, np.int64), np.array(numbers, np.int32)
-
-
-def word_hashes() -> Memo:
-    import xxhash
-
-    return resident(("lines",), lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w), 400_000))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ALPHABET = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_ALPHABET[65:91] = _ALPHABET[97:123]
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    size = 1 << max(20, int(n).bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        _POWERS[size] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b)]) for b in (_BASE, _INVERSE))
+    return _POWERS[size]
+
+
+def tokens(texts: list[str | None]):
+    """(hashes of all words, line of each, document and number of each line) of lines with words.
+
+    A word's hash is a polynomial in a base over random numbers for its bytes, read off running sums of the whole batch."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    powers, inverse = _powers(len(raw))
+    space = _SPACES[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.r_[0, edge]
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    sums = np.cumsum(np.where(space, np.uint64(0), _ALPHABET[raw] * powers[: len(raw)]))
+    h = (sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))) * inverse[start]
+    h ^= (end - start).astype(np.uint64) * _BASE
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    newline = np.cumsum(raw == 10)
+    lines, line = np.unique(newline[start], return_inverse=True)  # newlines before the word
+    first = np.cumsum([0, *[len(p) + 1 for p in parts[:-1]]])
+    docs = np.searchsorted(first, start[np.searchsorted(newline[start], lines)], "right") - 1
+    return h, line, docs, (lines - np.r_[0, newline][first][docs]).astype(np.int32)
 
 
 def _batches(batches, column: int, size: int = 256):
@@ -65,14 +93,12 @@ def rarity(docs: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
     def count(batches):
         import pyarrow as pa
 
-        known = word_hashes()
         total = np.zeros(1 << slot_bits, np.uint32)
         salt = 0
         for _, texts in _batches(batches, 1):
-            h = tokens(texts, known)[0]
+            h = tokens(texts)[0]
             salt ^= int(h[0] >> np.uint64(7)) if len(h) else 0
-            slot, times = np.unique(h >> np.uint64(64 - slot_bits), return_counts=True)
-            total[slot] += times.astype(np.uint32)
+            np.add.at(total, (h >> np.uint64(64 - slot_bits)).astype(np.int64), np.uint32(1))
         for r in range(1 << RANGE_BITS):
             part = total[r * width : (r + 1) * width]
             at = np.flatnonzero(part)
@@ -101,7 +127,7 @@ def rarity(docs: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
 
 LINES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("class", T.BinaryType()),
-    T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType())),
+    T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("prefix", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.IntegerType())),
 ])
 
 
@@ -126,9 +152,9 @@ def described(docs: DataFrame, counts, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        known, table = word_hashes(), counts.value
+        table = counts.value
         for part, texts in _batches(batches, 1):
-            h, line, docs_, numbers = tokens(texts, known)
+            h, line, docs_, numbers = tokens(texts)
             if not len(h):
                 continue
             h, c, line = sorted_sets(h, line, table)
@@ -137,33 +163,137 @@ def described(docs: DataFrame, counts, percent: int) -> DataFrame:
             data, ends = h.tobytes(), (first + n) * 8
             classes = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip((first * 8).tolist(), ends.tolist(), strict=True)]
             bit = np.uint64(1) << (h & np.uint64(63))
-            high = (h >> np.uint64(6) & np.uint64(1)).astype(bool)
+            high = (h >> np.uint64(6) & np.uint64(1)).astype(bool) & (n > SPLIT)[line]
             s1, s2 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), first).view(np.int64) for x in (~high, high))
             place = np.arange(len(h)) - first[line]
             prefix = n - -(-percent * n // 100) + 1
             keep = (place < prefix[line]) & (c > 1)
             offsets = np.r_[0, np.cumsum(np.bincount(line[keep], minlength=len(n)))].astype(np.int32)
             ids = part.column(0).take(pa.array(docs_))
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (h[keep].view(np.int64), place[keep].astype(np.int32))]
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in ((h[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32), place[keep].astype(np.int32))]
             yield pa.RecordBatch.from_arrays([ids, pa.array(numbers), pa.array(n.astype(np.int32)), pa.array(classes, pa.binary()), pa.array(s1), pa.array(s2), *lists], names=LINES.names)
 
     return docs.mapInArrow(run, LINES)
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
+_FIELDS = (("key", np.uint32), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("place", np.int32), ("role", np.uint8), ("s1", np.uint64), ("s2", np.uint64))
+_INDEX, _PROBE = 1, 2
+PAIRS = T.StructType([T.StructField(x, k) for x, k in (("doc_a", T.LongType()), ("line_a", T.IntegerType()), ("doc_b", T.LongType()), ("line_b", T.IntegerType()))])
+BLOBS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("rows", T.LongType()), T.StructField("data", T.BinaryType())])
+
+
+def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from: int) -> DataFrame:
+    """Prefix tokens of classes by bucket, as arrays. Probing rows of a token above `hot_from` occurrences are copied to parts among which
+    its index rows are dealt, so no task has all of them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        table = counts.value
+        bits = len(table).bit_length() - 1
+        held, rows = [], 0
+
+        def out():
+            cols = {f: np.concatenate([h[f] for h in held]) for f, _ in _FIELDS}
+            where = ((cols["key"].astype(np.uint64) * _BASE) >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.argsort(where, kind="stable")
+            ends = np.searchsorted(where[order], np.arange(buckets + 1))
+            cols = {f: c[order] for f, c in cols.items()}
+            some = np.flatnonzero(np.diff(ends))
+            data = [b"".join(cols[f][ends[b] : ends[b + 1]].tobytes() for f, _ in _FIELDS) for b in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.diff(ends)[some]), pa.array(data, pa.binary())], names=BLOBS.names)
+
+        for batch in batches:
+            get = lambda k: batch.column(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            lists = batch.column(5)
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            doc, line, n, s1, s2 = (get(k)[of] for k in range(5))
+            token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+            place = batch.column(6).flatten().to_numpy(zero_copy_only=False)
+            index = place < n - -(-2 * percent * n // (100 + percent)) + 1
+            parts = 1 + table[(token >> np.uint32(32 - bits)).astype(np.int64)].astype(np.int64) // hot_from
+            role = np.where(index, _INDEX | _PROBE, _PROBE).astype(np.uint8)
+            cols = {"key": token, "doc": doc, "line": line, "n": n, "place": place, "role": role, "s1": s1.view(np.uint64), "s2": s2.view(np.uint64)}
+            hot = parts > 1
+            if hot.any():
+                at = np.flatnonzero(hot)
+                mixed = lambda key, part: ((key.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + part.astype(np.uint64) * _BASE) >> np.uint64(32)).astype(np.uint32)
+                probe = np.repeat(at, parts[at])
+                part = np.arange(len(probe)) - np.repeat(np.cumsum(parts[at]) - parts[at], parts[at])
+                own = at[index[at]]
+                mine = ((doc[own].view(np.uint64) * _BASE + line[own].astype(np.uint64)) >> np.uint64(20)).astype(np.int64) % parts[own]
+                cold = {f: c[~hot] for f, c in cols.items()}
+                a = {f: c[probe] for f, c in cols.items()} | {"key": mixed(token[probe], part), "role": np.full(len(probe), _PROBE, np.uint8)}
+                b = {f: c[own] for f, c in cols.items()} | {"key": mixed(token[own], mine), "role": np.full(len(own), _INDEX, np.uint8)}
+                cols = {f: np.concatenate([cold[f], a[f], b[f]]) for f in cols}
+            held.append({f: cols[f].astype(kind, copy=False) for f, kind in _FIELDS})
+            rows += len(held[-1]["key"])
+            if rows >= 1 << 20:
+                yield out()
+                held, rows = [], 0
+        if rows:
+            yield out()
+
+    return classes.select("doc", "line", "n", "s1", "s2", "prefix", "places").mapInArrow(run, BLOBS)
+
+
+def met(cols: dict[str, np.ndarray], percent: int, at_once: int = 1 << 21):
+    """Positions (a, b) of index and probe rows with the same key that pass all filters; the set of a is the shorter one."""
+    order = np.argsort(cols["key"], kind="stable")
+    c = {f: x[order] for f, x in cols.items()}
+    first = np.flatnonzero(np.r_[True, c["key"][1:] != c["key"][:-1]])
+    last = np.r_[first[1:], len(order)]
+    group = np.repeat(np.arange(len(first)), last - first)
+    index = np.flatnonzero((c["role"] & _INDEX != 0) & (last - first > 1)[group])
+    lows, sizes = first[group[index]], (last - first)[group[index]]
+    ends = np.cumsum(sizes)
+    k = 0
+    while k < len(index):
+        to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + at_once, "right")))
+        # A group above at_once is taken in slices of its probing rows.
+        for shift in range(0, int(sizes[k]) if to == k + 1 else 1, at_once):
+            size = np.minimum(sizes[k:to] - shift, at_once) if to == k + 1 else sizes[k:to]
+            a = np.repeat(index[k:to], size)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lows[k:to] + shift, size)
+            na, nb = c["n"][a].astype(np.int64), c["n"][b].astype(np.int64)
+            same = na == nb
+            ok = (na < nb) | same & ((c["doc"][a] < c["doc"][b]) | (c["doc"][a] == c["doc"][b]) & (c["line"][a] < c["line"][b]))
+            ok &= (na * 100 >= nb * percent) & (c["role"][b] & _PROBE != 0)
+            a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
+            both = na + nb
+            one, two = c["s1"][a] ^ c["s1"][b], c["s2"][a] ^ c["s2"][b]
+            differ = np.where((na > SPLIT) & (nb > SPLIT), np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two), np.bitwise_count(one ^ two))
+            ok = differ * (100 + percent) <= both * (100 - percent)
+            a, b, na, nb, both = a[ok], b[ok], na[ok], nb[ok], both[ok]
+            i, j = c["place"][a].astype(np.int64), c["place"][b].astype(np.int64)
+            ok = (i + j) * (100 + percent) <= both * (100 - percent)  # of the first token that is shared
+            ok &= (np.minimum(i, j) + 1 + np.minimum(na - i - 1, nb - j - 1)) * (100 + percent) >= both * percent
+            yield order[a[ok]], order[b[ok]]
+        k = to
+
+
+def candidates(classes: DataFrame, counts, percent: int, hot_from: int = HOT) -> DataFrame:
     """Pairs (doc_a, line_a, doc_b, line_b) of classes (doc, line, n, s1, s2, prefix, places) that pass all filters."""
-    each = classes.select("doc", "line", "n", "s1", "s2", F.posexplode("prefix").alias("k", "token"), "places").withColumn("place", F.col("places")[F.col("k")]).drop("places", "k")
-    long = each.select("token", *[F.col(x).alias(f"{x}_b") for x in ("doc", "line", "n", "s1", "s2", "place")])
-    index = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
-    short = each.where(F.col("place") < index).select("token", *[F.col(x).alias(f"{x}_a") for x in ("doc", "line", "n", "s1", "s2", "place")])
-    a, b = F.col("n_a"), F.col("n_b")
-    i, j = F.col("place_a"), F.col("place_b")
-    before = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_a") < F.col("line_b")))
-    ok = ((a < b) | ((a == b) & before)) & (a * 100 >= b * percent)
-    ok &= (F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)) * (100 + percent) >= (a + b) * percent
-    differ = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    ok &= differ * (100 + percent) <= (a + b) * (100 - percent)
-    return long.join(short, (long["token"] == short["token"]) & ok).select("doc_a", "line_a", "doc_b", "line_b").distinct()
+    buckets = max(8, min(1 << 18, classes.count() // 60_000))
+
+    def join(t):
+        import pyarrow as pa
+
+        cols = {f: [] for f, _ in _FIELDS}
+        for n, data in zip(t.column("rows").to_pylist(), t.column("data").to_pylist(), strict=True):
+            at = 0
+            for f, kind in _FIELDS:
+                size = n * np.dtype(kind).itemsize
+                cols[f].append(np.frombuffer(data, kind, n, at))
+                at += size
+        cols = {f: np.concatenate(x) for f, x in cols.items()}
+        found = [(cols["doc"][a], cols["line"][a], cols["doc"][b], cols["line"][b]) for a, b in met(cols, percent) if len(a)]
+        if not found:
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32())], names=PAIRS.names)
+        rows = np.unique(np.rec.fromarrays([np.concatenate(x) for x in zip(*found, strict=True)], names=PAIRS.names))
+        return pa.table([pa.array(rows[name]) for name in PAIRS.names], names=PAIRS.names)
+
+    return _scattered(classes, counts, percent, buckets, hot_from).groupBy("bucket").applyInArrow(join, PAIRS).distinct()
 
 
 def _reread(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -180,7 +310,7 @@ def _reread(docs: DataFrame, lines: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        known, table = word_hashes(), sent.value
+        table = sent.value
         for batch in batches:
             # Spark numbers buckets from 1, and bits within one from 0.
             s = batch.column(2).to_numpy(zero_copy_only=False)
@@ -188,7 +318,7 @@ def _reread(docs: DataFrame, lines: DataFrame) -> DataFrame:
             keep = (s < 0) | (table[np.maximum(s, 0) // 8] >> (np.maximum(s, 0) % 8) & 1).astype(bool)
             part = batch.filter(pa.array(keep))
             for some, texts in _batches([part], 1):
-                h, line, docs_, numbers = tokens(texts, known)
+                h, line, docs_, numbers = tokens(texts)
                 if len(h):
                     order = np.lexsort((h, line))
                     h, line = h[order], line[order]
@@ -204,9 +334,6 @@ def _reread(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return read.join(lines, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
 
 
-PAIRS = T.StructType([T.StructField(x, k) for x, k in (("doc_a", T.LongType()), ("line_a", T.IntegerType()), ("doc_b", T.LongType()), ("line_b", T.IntegerType()))])
-
-
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets have 100 * intersection >= percent * union."""
     a, b = (pairs.select(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line")) for x in "ab")
@@ -228,7 +355,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select(*PAIRS.names, "set_a", "set_b").mapInArrow(run, PAIRS)
 
 
-def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS) -> DataFrame:
+def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT) -> DataFrame:
     """Per line with words: doc_id, line (from 0), first_doc and first_line (the first line with the same token set), n_links (other
     token sets that are similar to its own), kept.
 
@@ -241,7 +368,9 @@ def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     lines = written(described(own, counts, percent), "lines")
     held = F.min(F.struct("doc_id", "line", "n", "s1", "s2", "prefix", "places")).alias("f")
     classes = written(lines.groupBy("class").agg(held, F.count(F.lit(1)).alias("rows")).select("class", "rows", F.col("f.doc_id").alias("doc"), "f.line", "f.n", "f.s1", "f.s2", "f.prefix", "f.places"), "classes")
-    pairs = written(candidates(classes, percent), "pairs")
+    freed(spark)
+    pairs = written(candidates(classes, counts, percent, hot_from), "pairs")
+    freed(spark)
     links = written(verified(own, pairs, percent), "linklines")
     there = links.select(F.struct(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).alias("x"), F.struct(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).alias("y"))
     both = there.unionByName(there.select(F.col("y").alias("x"), F.col("x").alias("y")))
@@ -255,12 +384,12 @@ def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     return out.select("doc_id", "line", F.coalesce("first_doc", "doc_id").alias("first_doc"), F.coalesce("first_line", "line").alias("first_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"))
 
 
-def line_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS) -> DataFrame:
+def line_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT) -> DataFrame:
     """Per document: doc_id, n_lines (with words), n_links (over its lines), removed (numbers of its lines that go, from 0).
 
     An id is one document; documents without lines have zeros and an empty list; an id that is null is a row of its own with
     its lines counted and none removed or linked. An empty table gives an empty result."""
-    rows = line_groups(docs, percent, id_col, text_col, slot_bits)
+    rows = line_groups(docs, percent, id_col, text_col, slot_bits, hot_from)
     found = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n_links").alias("n_links"), F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("line")))).alias("removed"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     out = ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

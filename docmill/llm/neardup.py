@@ -40,7 +40,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of 64-bit hashes of `width` consecutive words; words are maximal runs without ASCII white space, A-Z lowered."""
 
-    def __init__(self, width: int, bound: int = 300_000) -> None:
+    def __init__(self, width: int, bound: int = 150_000) -> None:
         import xxhash
 
         self.width = width

@@ -232,7 +232,7 @@ class WordCache:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, bound: int = 700_000) -> None:
+    def __init__(self, path: str, bound: int = 500_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

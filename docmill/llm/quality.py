@@ -34,7 +34,7 @@ def form(word: str) -> str:
 
 
 class Features:
-    def __init__(self, bound: int = 300_000) -> None:
+    def __init__(self, bound: int = 150_000) -> None:
         import xxhash
 
         code = xxhash.xxh3_64_intdigest

@@ -82,7 +82,7 @@ def self_kernel(units: list[str]) -> np.ndarray:
 class Similarity:
     """Similarities of units to the landmarks; None for a unit that is like none of them."""
 
-    def __init__(self, landmarks: list[str], bound: int = 300_000) -> None:
+    def __init__(self, landmarks: list[str], bound: int = 120_000) -> None:
         self.landmarks, self.codes = landmarks, coded(landmarks)
         self.own = np.sqrt(self_kernel(landmarks))
         letters = sorted(set("".join(landmarks)))

@@ -52,6 +52,20 @@ def test_few_counters_are_still_exact(spark):
     assert got == brute(rows)
 
 
+def test_hot_tokens_are_dealt_out(spark):
+    rows = corpus(4)
+    got = {r.doc_id: (r.n_lines, r.n_links, r.removed) for r in linededup.line_dedup(frame(spark, rows), hot_from=3).collect()}
+    assert got == brute(rows)
+
+
+def test_slices_of_large_groups():
+    rng = np.random.default_rng(0)
+    n = 50
+    cols = {"key": np.full(n, 7, np.uint32), "doc": np.arange(n), "line": np.zeros(n, np.int32), "n": rng.integers(8, 11, n).astype(np.int32), "place": np.zeros(n, np.int32), "role": np.full(n, 3, np.uint8), "s1": np.zeros(n, np.uint64), "s2": np.zeros(n, np.uint64)}
+    pairs = lambda size: {(int(a), int(b)) for x, y in linededup.met(cols, 80, size) for a, b in zip(x, y, strict=True)}
+    assert pairs(1 << 21) == pairs(7) == pairs(60) and len(pairs(7)) == n * (n - 1) // 2
+
+
 def test_order_is_total_under_ties():
     h = np.array([1 << 30, (1 << 30) + 1, 5, 5], np.uint64)
     counts = np.ones(1 << linededup.SLOT_BITS, np.uint32)
