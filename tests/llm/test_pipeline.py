@@ -8,7 +8,7 @@ import __spark_entry__
 def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "exact_dedup", "near_dedup", "packing"]
     found = __spark_entry__.queries()
-    assert found["pipeline"] is corpus_pipeline.run
+    assert found["pipeline"].__wrapped__ is corpus_pipeline.run
     assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op")) == list(range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(found)
 
