@@ -8,7 +8,9 @@
 3. Classes meet on those tokens (their hashes cut to 32 bits: a clash only adds candidates), dealt to buckets as arrays. Before a
    pair leaves a bucket it must pass the length filter, the positional filter (tokens
    left from the shared one on) and a parity filter: 128 parity bits of the tokens differ in no more places than the sets may.
-4. Pairs that are left are compared by their whole sets. A line goes if an earlier one has a similar or the same set.
+4. A line goes if an earlier one has a similar or the same set. Each class meets the earlier one whose parity bits differ least
+   from its own; they are compared by their whole sets. Only where that fails are all others that pass compared, so large groups of
+   similar lines give a pair for each line, not one for every two.
 """
 
 from __future__ import annotations
@@ -177,8 +179,9 @@ def described(docs: DataFrame, counts, percent: int) -> DataFrame:
 
 
 _FIELDS = (("key", np.uint32), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("place", np.int32), ("role", np.uint8), ("s1", np.uint64), ("s2", np.uint64))
-_INDEX, _PROBE = 1, 2
+_INDEX, _PROBE, _ASKED = 1, 2, 4
 PAIRS = T.StructType([T.StructField(x, k) for x, k in (("doc_a", T.LongType()), ("line_a", T.IntegerType()), ("doc_b", T.LongType()), ("line_b", T.IntegerType()))])
+FAR = T.StructType([*PAIRS.fields, T.StructField("far", T.FloatType())])
 BLOBS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("rows", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
@@ -212,7 +215,8 @@ def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from:
             place = batch.column(6).flatten().to_numpy(zero_copy_only=False)
             index = place < n - -(-2 * percent * n // (100 + percent)) + 1
             parts = 1 + table[(token >> np.uint32(32 - bits)).astype(np.int64)].astype(np.int64) // hot_from
-            role = np.where(index, _INDEX | _PROBE, _PROBE).astype(np.uint8)
+            asked = np.where(get(7), _ASKED, 0)[of].astype(np.uint8)
+            role = np.where(index, _INDEX | _PROBE, _PROBE).astype(np.uint8) | asked
             cols = {"key": token, "doc": doc, "line": line, "n": n, "place": place, "role": role, "s1": s1.view(np.uint64), "s2": s2.view(np.uint64)}
             hot = parts > 1
             if hot.any():
@@ -223,8 +227,8 @@ def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from:
                 own = at[index[at]]
                 mine = ((doc[own].view(np.uint64) * _BASE + line[own].astype(np.uint64)) >> np.uint64(20)).astype(np.int64) % parts[own]
                 cold = {f: c[~hot] for f, c in cols.items()}
-                a = {f: c[probe] for f, c in cols.items()} | {"key": mixed(token[probe], part), "role": np.full(len(probe), _PROBE, np.uint8)}
-                b = {f: c[own] for f, c in cols.items()} | {"key": mixed(token[own], mine), "role": np.full(len(own), _INDEX, np.uint8)}
+                a = {f: c[probe] for f, c in cols.items()} | {"key": mixed(token[probe], part), "role": asked[probe] | np.uint8(_PROBE)}
+                b = {f: c[own] for f, c in cols.items()} | {"key": mixed(token[own], mine), "role": asked[own] | np.uint8(_INDEX)}
                 cols = {f: np.concatenate([cold[f], a[f], b[f]]) for f in cols}
             held.append({f: cols[f].astype(kind, copy=False) for f, kind in _FIELDS})
             rows += len(held[-1]["key"])
@@ -234,11 +238,12 @@ def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from:
         if rows:
             yield out()
 
-    return classes.select("doc", "line", "n", "s1", "s2", "prefix", "places").mapInArrow(run, BLOBS)
+    return classes.select("doc", "line", "n", "s1", "s2", "prefix", "places", "asked").mapInArrow(run, BLOBS)
 
 
 def met(cols: dict[str, np.ndarray], percent: int, at_once: int = 1 << 21):
-    """Positions (a, b) of index and probe rows with the same key that pass all filters; the set of a is the shorter one."""
+    """Positions (earlier, later) of rows with the same key that pass all filters, the later one being asked for, and how far their
+    parity bits differ as a share of what may."""
     order = np.argsort(cols["key"], kind="stable")
     c = {f: x[order] for f, x in cols.items()}
     first = np.flatnonzero(np.r_[True, c["key"][1:] != c["key"][:-1]])
@@ -262,18 +267,21 @@ def met(cols: dict[str, np.ndarray], percent: int, at_once: int = 1 << 21):
             a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
             both = na + nb
             one, two = c["s1"][a] ^ c["s1"][b], c["s2"][a] ^ c["s2"][b]
+            before = (c["doc"][a] < c["doc"][b]) | (c["doc"][a] == c["doc"][b]) & (c["line"][a] < c["line"][b])
             differ = np.where((na > SPLIT) & (nb > SPLIT), np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two), np.bitwise_count(one ^ two))
-            ok = differ * (100 + percent) <= both * (100 - percent)
-            a, b, na, nb, both = a[ok], b[ok], na[ok], nb[ok], both[ok]
+            ok = (differ * (100 + percent) <= both * (100 - percent)) & (c["role"][np.where(before, b, a)] & _ASKED != 0)
+            a, b, na, nb, both, differ, before = a[ok], b[ok], na[ok], nb[ok], both[ok], differ[ok], before[ok]
             i, j = c["place"][a].astype(np.int64), c["place"][b].astype(np.int64)
             ok = (i + j) * (100 + percent) <= both * (100 - percent)  # of the first token that is shared
             ok &= (np.minimum(i, j) + 1 + np.minimum(na - i - 1, nb - j - 1)) * (100 + percent) >= both * percent
-            yield order[a[ok]], order[b[ok]]
+            a, b, before = a[ok], b[ok], before[ok]
+            yield order[np.where(before, a, b)], order[np.where(before, b, a)], (differ[ok] / both[ok]).astype(np.float32)
         k = to
 
 
-def candidates(classes: DataFrame, counts, percent: int, hot_from: int = HOT) -> DataFrame:
-    """Pairs (doc_a, line_a, doc_b, line_b) of classes (doc, line, n, s1, s2, prefix, places) that pass all filters."""
+def candidates(classes: DataFrame, counts, percent: int, best: bool, hot_from: int = HOT) -> DataFrame:
+    """Pairs (doc_a, line_a, doc_b, line_b) of classes (doc, line, n, s1, s2, prefix, places, asked) that pass all filters: b is
+    asked for and a comes before it. With `best`, for each b only the a whose parity bits differ least."""
     buckets = max(8, min(1 << 18, classes.count() // 60_000))
 
     def join(t):
@@ -287,13 +295,29 @@ def candidates(classes: DataFrame, counts, percent: int, hot_from: int = HOT) ->
                 cols[f].append(np.frombuffer(data, kind, n, at))
                 at += size
         cols = {f: np.concatenate(x) for f, x in cols.items()}
-        found = [(cols["doc"][a], cols["line"][a], cols["doc"][b], cols["line"][b]) for a, b in met(cols, percent) if len(a)]
-        if not found:
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32())], names=PAIRS.names)
-        rows = np.unique(np.rec.fromarrays([np.concatenate(x) for x in zip(*found, strict=True)], names=PAIRS.names))
-        return pa.table([pa.array(rows[name]) for name in PAIRS.names], names=PAIRS.names)
-
-    return _scattered(classes, counts, percent, buckets, hot_from).groupBy("bucket").applyInArrow(join, PAIRS).distinct()
+        held: list[np.ndarray] = []
+        for a, b, far in met(cols, percent):
+            if len(a):
+                held.append(fewest(np.rec.fromarrays([cols["doc"][b], cols["line"][b], far, cols["doc"][a], cols["line"][a]], names="doc_b,line_b,far,doc_a,line_a")))
+                if len(held) > 16:
+                    held = [fewest(np.concatenate(held))]
+        if not held:
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float32())], names=FAR.names)
+        rows = fewest(np.concatenate(held))
+        return pa.table([pa.array(rows[name]) for name in FAR.names], names=FAR.names)
+
+    def fewest(rows):
+        """Each pair once; with `best`, each b once."""
+        rows = rows[np.lexsort((rows["line_a"], rows["doc_a"], rows["far"], rows["line_b"], rows["doc_b"]))]
+        same = (rows["doc_b"][1:] == rows["doc_b"][:-1]) & (rows["line_b"][1:] == rows["line_b"][:-1])
+        if not best:
+            same &= (rows["doc_a"][1:] == rows["doc_a"][:-1]) & (rows["line_a"][1:] == rows["line_a"][:-1])
+        return rows[np.r_[True, ~same]]
+
+    found = _scattered(classes, counts, percent, buckets, hot_from).groupBy("bucket").applyInArrow(join, FAR)
+    if not best:
+        return found.select(*PAIRS.names).distinct()
+    return found.groupBy("doc_b", "line_b").agg(F.min(F.struct("far", "doc_a", "line_a")).alias("a")).select("a.doc_a", "a.line_a", "doc_b", "line_b")
 
 
 def _reread(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -356,8 +380,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT) -> DataFrame:
-    """Per line with words: doc_id, line (from 0), first_doc and first_line (the first line with the same token set), n_links (other
-    token sets that are similar to its own), kept.
+    """Per line with words: doc_id, line (from 0), first_doc and first_line (the first line with the same token set), kept.
 
     Lines are the parts of a text between newlines; tokens are words without ASCII white space, A-Z lowered. A line is kept unless
     an earlier one, by doc_id and line, has a similar set (100 * intersection >= percent * union). Null texts have no lines;
@@ -369,32 +392,36 @@ def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     held = F.min(F.struct("doc_id", "line", "n", "s1", "s2", "prefix", "places")).alias("f")
     classes = written(lines.groupBy("class").agg(held, F.count(F.lit(1)).alias("rows")).select("class", "rows", F.col("f.doc_id").alias("doc"), "f.line", "f.n", "f.s1", "f.s2", "f.prefix", "f.places"), "classes")
     freed(spark)
-    pairs = written(candidates(classes, counts, percent, hot_from), "pairs")
+    # One good earlier line is enough: each class is first held against the one that looks most like it, and only where that
+    # fails against all others that the filters leave.
+    first = written(candidates(classes.withColumn("asked", F.lit(True)), counts, percent, True, hot_from), "pairs")
     freed(spark)
-    links = written(verified(own, pairs, percent), "linklines")
-    there = links.select(F.struct(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).alias("x"), F.struct(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).alias("y"))
-    both = there.unionByName(there.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    of = both.groupBy("x").agg(F.count(F.lit(1)).alias("n_links"), F.min("y").alias("least")).select(F.col("x.doc").alias("doc"), F.col("x.line").alias("line"), "n_links", "least")
-    linked = classes.select("class", "rows", "doc", "line").join(of, ["doc", "line"], "left")
-    special = linked.where("rows > 1 OR n_links > 0").select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "n_links", "least")
+    good = written(verified(own, first, percent), "goodlines")
+    left = written(first.join(good, ["doc_b", "line_b"], "left_anti").select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")), "leftlines")
+    if not left.isEmpty():
+        freed(spark)
+        again = classes.join(left.withColumn("asked", F.lit(True)), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        rest = written(candidates(again, counts, percent, False, hot_from), "pairs").join(first, PAIRS.names, "left_anti")
+        good = good.unionByName(written(verified(own, rest, percent), "goodlines"))
+    gone = good.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct().withColumn("like", F.lit(True))
+    special = classes.select("class", "rows", "doc", "line").join(gone, ["doc", "line"], "left").where("rows > 1 OR like")
+    special = special.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("like", F.lit(False)).alias("like"))
     out = lines.select("doc_id", "line", "class").join(special, "class", "left")
-    mine = F.struct(F.col("doc_id").alias("doc"), F.col("line").alias("line"))
     is_first = F.col("first_doc").isNull() | ((F.col("first_doc") == F.col("doc_id")) & (F.col("first_line") == F.col("line")))
-    kept = is_first & (F.col("least").isNull() | (mine < F.col("least")))
-    return out.select("doc_id", "line", F.coalesce("first_doc", "doc_id").alias("first_doc"), F.coalesce("first_line", "line").alias("first_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"))
+    return out.select("doc_id", "line", F.coalesce("first_doc", "doc_id").alias("first_doc"), F.coalesce("first_line", "line").alias("first_line"), (is_first & ~F.coalesce("like", F.lit(False))).alias("kept"))
 
 
 def line_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT) -> DataFrame:
-    """Per document: doc_id, n_lines (with words), n_links (over its lines), removed (numbers of its lines that go, from 0).
+    """Per document: doc_id, n_lines (with words), n_removed, removed (numbers of its lines that go, from 0).
 
     An id is one document; documents without lines have zeros and an empty list; an id that is null is a row of its own with
-    its lines counted and none removed or linked. An empty table gives an empty result."""
+    its lines counted and none removed. An empty table gives an empty result."""
     rows = line_groups(docs, percent, id_col, text_col, slot_bits, hot_from)
-    found = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n_links").alias("n_links"), F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("line")))).alias("removed"))
+    found = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("line")))).alias("removed"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    out = ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    out = ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
     lines = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_links"), F.array().cast("array<int>").alias("removed"))
+    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"))
     return out.unionByName(nameless)
 
 
