@@ -323,9 +323,10 @@ def candidates(classes: DataFrame, counts, percent: int, best: bool, hot_from: i
 def _reread(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc, line, set) of the given (doc, line). Texts of other documents are skipped where they are read, by a bitmap of hashed
     ids whose size is fixed."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS))
+    # Spark numbers buckets from 1 only for positions from 1; 0 has a bucket of its own.
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS)) + F.lit(1)
     bits = lines.select(slot("doc").alias("s")).groupBy(F.bitmap_bucket_number(F.col("s")).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    found = np.zeros((1 << ID_BITS) // 8 + 4096, np.uint8)
+    found = np.zeros((1 << ID_BITS) // 8, np.uint8)
     for r in bits.toLocalIterator():
         found[(r.b - 1) * 4096 : r.b * 4096] |= np.frombuffer(r.bits, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(found)
@@ -336,10 +337,8 @@ def _reread(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
         table = sent.value
         for batch in batches:
-            # Spark numbers buckets from 1, and bits within one from 0.
-            s = batch.column(2).to_numpy(zero_copy_only=False)
-            s = s - 1
-            keep = (s < 0) | (table[np.maximum(s, 0) // 8] >> (np.maximum(s, 0) % 8) & 1).astype(bool)
+            s = batch.column(2).to_numpy(zero_copy_only=False) - 1
+            keep = (table[s // 8] >> (s % 8) & 1).astype(bool)
             part = batch.filter(pa.array(keep))
             for some, texts in _batches([part], 1):
                 h, line, docs_, numbers = tokens(texts)

@@ -83,3 +83,13 @@ def test_texts_without_removed_lines(spark):
 
 def test_empty_table(spark):
     assert linededup.line_dedup(frame(spark, [])).collect() == []
+
+
+def test_documents_whose_hashed_id_is_zero(spark):
+    zero = 25317696
+    slots = spark.sql(f"SELECT pmod(xxhash64({zero}L), {1 << linededup.ID_BITS}L) AS s").first()
+    assert slots.s == 0
+    line = "one two three four five six seven eight nine ten"
+    rows = [(4, line + " eleven"), (zero, "other words\n" + line), (zero + 1, line + " twelve")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in linededup.line_dedup(frame(spark, rows)).collect()}
+    assert got == brute(rows) and got[zero] == (2, 1, [1])
