@@ -4,7 +4,9 @@ Units are words without punctuation, and runs of single characters joined. Two u
 kernel of their common subsequences of ORDER characters, normalised, so inserted or spread characters lower it little.
 A sentence is compared with a landmark by its most similar unit; the similarities to all landmarks, times the inverse root
 of the landmarks' own kernel matrix, are its features. A landmark is looked at only where a unit has all of its
-characters, or all but one of five or more; lower similarities than FLOOR count as none. A document has the margin of its most toxic sentence.
+characters, or all but one of five or more. The machine learns from sentences' similarities of at least FLOOR, and
+from all similarities of those single units of clean texts that come inside its margin. What it has learned is applied to
+sentences and to every single unit with all its similarities, however low. A document has the highest of these margins.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from . import labelled
 from .common import Memo
 from .svm import dual_coordinate_descent, platt, probability
 
-ORDER, DECAY, FLOOR = 3, 0.65, 0.35
+ORDER, DECAY = 3, 0.65
+#: Lower similarities are left out of a sentence's; they count for single units.
+FLOOR = 0.35
 #: Longest part of a unit that is compared at once; longer units are taken in overlapping parts.
 WIDTH = 24
 #: Lengths of beginnings of units that can be landmarks too, so words with other endings are found.
@@ -80,9 +84,10 @@ def self_kernel(units: list[str]) -> np.ndarray:
 
 
 class Similarity:
-    """Similarities of units to the landmarks; None for a unit that is like none of them."""
+    """Similarities of units to the landmarks, None for a unit that is like none of them; with a direction also margins of single units."""
 
-    def __init__(self, landmarks: list[str], bound: int = 120_000) -> None:
+    def __init__(self, landmarks: list[str], direction: np.ndarray | None = None, bound: int = 120_000) -> None:
+        self.direction = direction
         self.landmarks, self.codes = landmarks, coded(landmarks)
         self.own = np.sqrt(self_kernel(landmarks))
         letters = sorted(set("".join(landmarks)))
@@ -113,15 +118,14 @@ class Similarity:
         who, back = np.unique(i, return_inverse=True)
         own = np.sqrt(kernel(codes[who], codes[who]))
         k = kernel(codes[i], self.codes[j]) / (own[back] * self.own[j])
-        for x in np.flatnonzero(k >= FLOOR):
-            a = int(i[x])
-            if out[a] is None:
-                out[a] = np.zeros(len(self.landmarks))
-            out[a][j[x]] = k[x]
+        rows = np.zeros((len(who), len(self.landmarks)))
+        rows[back, j] = k
+        for x in np.flatnonzero(rows.any(axis=1)):
+            out[int(who[x])] = rows[x]
         return out
 
     def learn(self, words: list[str]) -> None:
-        """Make the similarities of raw words known."""
+        """Make known of raw words: similarities of at least FLOOR, or None; the margin of all similarities."""
         units, of = [], []
         for w in words:
             for p in parts(plain(w)):
@@ -131,12 +135,26 @@ class Similarity:
         for at in range(0, len(units), 20_000):
             for w, k in zip(of[at : at + 20_000], self.of(units[at : at + 20_000]), strict=True):
                 if k is not None:
-                    found[w] = np.maximum(found[w], k) if found[w] is not NONE else k
+                    high = np.where(k >= FLOOR, k, 0.0) if k.max() >= FLOOR else None
+                    alone = 0.0 if self.direction is None else float(self.direction @ k)
+                    if found[w] is not NONE:
+                        before, other = found[w]
+                        high, alone = before if high is None else high if before is None else np.maximum(before, high), max(alone, other)
+                    if high is not None or alone > 0:
+                        found[w] = (high, alone)
         for w, k in found.items():
             self.known.put(w, k)
 
     def sentences(self, texts: list[str]) -> list[list[np.ndarray]]:
-        """Of each text: similarities of those sentences that are like some landmark."""
+        """Of each text: similarities from FLOOR of those sentences that are like some landmark."""
+        return [x for x, _ in self.looked_up(texts)]
+
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """Of each text: the highest margin of a sentence or of a single unit, 0 at least."""
+        return np.array([max([0.0, alone, *(float(self.direction @ x) for x in found)]) for found, alone in self.looked_up(texts)])
+
+    def looked_up(self, texts: list[str]) -> list[tuple[list[np.ndarray], float]]:
+        """sentences() of each text, and the highest margin of a single unit."""
         split, new = [], {}
         known = self.known
         if len(known) > known.bound:
@@ -168,24 +186,19 @@ class Similarity:
         out = []
         for t, (words, spelled) in zip(texts, split, strict=True):
             got = list(map(known.__getitem__, words))
-            like = [i for i, k in enumerate(got) if k is not NONE]
-            if spelled:
-                like += [i for i, w in spelled if known[w] is not NONE]
+            like = [(i, k) for i, k in enumerate(got) if k is not NONE]
+            like += [(i, known[w]) for i, w in spelled if known[w] is not NONE]
             if not like:
-                out.append([])
+                out.append(([], 0.0))
                 continue
+            alone = max(k[1] for _, k in like)
+            like = [(i, k[0]) for i, k in like if k[0] is not None]
             found: dict[int, np.ndarray] = {}
-            ends = np.cumsum([ends_sentence(w) for w in words])
-            for i in like:
+            ends = np.cumsum([ends_sentence(w) for w in words]) if like else ()
+            for i, k in like:
                 s = int(ends[i - 1]) if i else 0
-                k = got[i]
-                if k is not NONE:
-                    found[s] = np.maximum(found[s], k) if s in found else k
-            for i, w in spelled:
-                if known[w] is not NONE:
-                    s = int(ends[i - 1]) if i else 0
-                    found[s] = np.maximum(found[s], known[w]) if s in found else known[w]
-            out.append(list(found.values()))
+                found[s] = np.maximum(found[s], k) if s in found else k
+            out.append((list(found.values()), alone))
         return out
 
 
@@ -248,7 +261,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     near = []
     for at in range(0, len(clean), 20_000):
         some = clean[at : at + 20_000]
-        near += [(float(k.max()), u) for u, k in zip(some, rough.of(some), strict=True) if k is not None]
+        near += [(float(k.max()), u) for u, k in zip(some, rough.of(some), strict=True) if k is not None and k.max() >= FLOOR]
     landmarks += [u for _, u in sorted(near, reverse=True)[:CLEAN_LANDMARKS]]
     similar = Similarity(landmarks)
     m = len(landmarks)
@@ -275,19 +288,26 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     cost = np.where(sign > 0, len(sign) / (2 * ones), len(sign) / (2 * max(len(sign) - ones, 1)))
     cost[0] = len(sign)
     every = np.arange(m)
-    w = dual_coordinate_descent([(every, root @ r) for r in rows], sign, m, cost)
+    rows = [(every, root @ r) for r in rows]
+    w = dual_coordinate_descent(rows, sign, m, cost)
+    # Single units of clean texts, with all their similarities, that come inside the margin: learned from in a second turn.
+    units = sorted({p for k in np.flatnonzero(~test & ~y) for x in set(texts[k].split()) for p in parts(plain(x)) if len(p) >= ORDER})
+    hard = []
+    for at in range(0, len(units), 20_000):
+        some = np.array([root @ k for k in similar.of(units[at : at + 20_000]) if k is not None]).reshape(-1, m)
+        hard += [(every, r) for r in some[some @ w[:m] + w[m] > -1]]
+    w = dual_coordinate_descent(rows + hard, np.r_[sign, -np.ones(len(hard))], m, np.r_[cost, np.ones(len(hard))])
     direction, bias = root @ w[:m], float(w[m])
-    margin = lambda x: max((float(direction @ s) for s in x), default=0.0)
-    margins = np.array([max(margin(found[k]), 0.0) + bias for k in np.flatnonzero(test)])
+    scored, tests = Similarity(landmarks, direction), [texts[k] for k in np.flatnonzero(test)]
+    margins = np.concatenate([scored.margins(tests[at : at + 256]) for at in range(0, max(len(tests), 1), 256)]) + bias
     return {"landmarks": landmarks, "direction": direction, "bias": bias, "platt": platt(margins, y[test])}
 
 
 def scorer(model: dict):
-    similar, direction = Similarity(model["landmarks"]), model["direction"]
+    similar = Similarity(model["landmarks"], model["direction"])
 
     def score(texts):
-        margins = [max([0.0, *(float(direction @ s) for s in x)]) + model["bias"] for x in similar.sentences(texts)]
-        return probability(np.array(margins), *model["platt"])
+        return probability(similar.margins(texts) + model["bias"], *model["platt"])
 
     return score
 

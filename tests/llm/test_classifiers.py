@@ -121,3 +121,15 @@ def test_labels_never_reach_a_held_out_row(spark):
     turned = [(i, 1 - y if zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, y in labels]
     scores = [sorted((r.doc_id, r.score) for r in toxicity.toxicity(frame(spark, rows), spark.createDataFrame(x, "doc_id long, toxic int")).collect()) for x in (labels, turned)]
     assert scores[0] == scores[1]
+
+
+def test_letters_in_every_gap_are_no_empty_text():
+    pairs = {"idiot": "ixdxixoxt", "scum": "sxcxuxm", "moron": "mxoxrxoxn", "stupid": "sqtwueprid"}
+    for landmark, text in pairs.items():
+        own = [plain_kernel(a, b) for a, b in ((landmark, text), (landmark, landmark), (text, text))]
+        got = toxicity.Similarity([landmark], np.ones(1)).margins(["", f"a {text} here"])
+        assert got[0] == 0 and np.isclose(got[1], own[0] / np.sqrt(own[1] * own[2]), rtol=1e-3) and got[1] > 0.1
+    rows, labels = labelled_docs("villain")
+    score = toxicity.scorer(toxicity.fit([t for _, t in rows], [y for _, y in labels]))
+    empty, exact, *found = score(["", "a villain", *(f"a {x} here" for x in ("vxixlxlxaxixn", "vqiwlelraiiyn", "viollkljahigfn"))])
+    assert exact >= 0.3 > empty and all(x > empty for x in found)
