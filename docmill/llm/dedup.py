@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, written
 
 #: Runs of a level that are merged into one of the next.
 FANOUT = 8
@@ -104,6 +104,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Rows with a null id stay with the group they are in: one is kept by id only."""
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__kept_id"]), "left_semi")
+    """One row of each group of equal texts, one with the smallest id, with all its columns."""
+    keep = exact_groups(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
+    keep = written(keep.agg((F.count(F.lit(1)) > 1).alias("__again")), "kept")
+    own = docs.withColumn("__sha", F.lower(F.hex(sha256(normalised(F.col(text_col))))))
+    joined = own.join(keep, own[id_col].eqNullSafe(keep["__kept_id"]) & (own["__sha"] == keep["__kept_sha"]))
+    # Only rows that repeat an id with the same text need meet.
+    once = joined.where("NOT __again").select(*docs.columns)
+    if keep.where("__again").isEmpty():
+        return once
+    return once.unionByName(joined.where("__again").dropDuplicates([id_col, "__sha"]).select(*docs.columns))

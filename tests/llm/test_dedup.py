@@ -52,5 +52,11 @@ def test_drop_copies_keeps_columns(spark):
     assert out.columns == df.columns and out.count() == len({normalised(t) for _, t in corpus()})
 
 
+def test_drop_copies_keeps_one_row_of_each_text(spark):
+    rows = [(5, "A"), (3, "B"), (5, "B"), (9, "twice"), (9, "twice"), (None, "B"), (None, "C"), (None, "C "), (None, "C"), (7, "twice  more"), (8, "twice more")]
+    out = sorted(((r.doc_id, r.text) for r in dedup.drop_copies(frame(spark, rows)).collect()), key=repr)
+    assert out == sorted([(5, "A"), (3, "B"), (9, "twice"), (None, "C"), (None, "C "), (7, "twice  more")], key=repr)
+
+
 def test_empty_table(spark):
     assert dedup.exact_groups(frame(spark, [])).collect() == []
