@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, resident, tokenizer_path, written
+from .common import resident, tokenizer_path, written
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -223,16 +223,18 @@ def slots(groups: list[Group]) -> dict[str, np.ndarray]:
     return {"length": a[:, 0], "times": a[:, 1], "sequence": a[:, 3], "offset": a[:, 4], "first": first, "base": base}
 
 
-class WordCache:
+class WordTable:
     """Token ids of texts by a tokenizers file, as little-endian unsigned 32-bit bytes.
 
-    Pre-tokens of such a file never cross a space, so ids of space-separated chunks are kept and joined; `bound` chunks are
-    kept besides the `bound` before them. Chunks that are not known go to the library as few long texts, with a mark
-    between them; where the mark is not a token of its own, or a chunk holds it, they go one by one."""
+    Pre-tokens of such a file never cross a space, so ids of chunks between spaces are joined. Chunks of up to 15 bytes and
+    INLINE ids are kept in a table of fixed size, one chunk a slot, the latest one there; whole batches are looked up at once by
+    the chunks' own bytes, so a hit is exact. All others go to the library, each once a batch, as few long texts
+    with a mark between them; where the mark is not a token of its own, or a chunk holds it, they go one by one."""
 
     MARK = "\x01"
+    INLINE = 6
 
-    def __init__(self, path: str, bound: int = 700_000) -> None:
+    def __init__(self, path: str, bits: int = 20) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -245,48 +247,101 @@ class WordCache:
         apart = self.tokenizer.encode(f"a {self.MARK} a", add_special_tokens=False).ids
         alone = self.tokenizer.encode("a", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 and apart == alone + mark + alone else None
-        self.known = Memo(None, bound)
-
-    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _together(self, chunks: list[str]) -> list[bytes]:
+        self.shift = np.uint64(64 - bits)
+        self.low, self.high = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.times, self.values = np.zeros(1 << bits, np.uint8), np.zeros((1 << bits, self.INLINE), np.uint32)
+        #: By length: which of 8 bytes belong to a chunk, and the last byte of the second 8 says its length.
+        size = np.arange(16)
+        ones = lambda n: np.array([(1 << 8 * min(int(k), 8)) - 1 for k in n], np.uint64)
+        self.first, self.second, self.length = ones(size), ones(np.maximum(size - 8, 0)), size.astype(np.uint64) << np.uint64(56)
+
+    def _one_by_one(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each chunk begin, how many it has)."""
         if self.mark is None or any(self.MARK in c for c in chunks):
             return self._one_by_one(chunks)
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(chunks)], add_special_tokens=False)[0].ids, dtype=np.uint32)
         marks = np.flatnonzero(ids == self.mark)
         if len(marks) != len(chunks) - 1:
             return self._one_by_one(chunks)
-        data, out, at = ids.tobytes(), [], 0
-        for to in (marks * 4).tolist():
-            out.append(data[at:to])
-            at = to + 4
-        out.append(data[at:])
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        known, new, todo = self.known, {}, []
-        for t in texts:
-            chunks = t.replace("\n", " ").split(" ")
-            values = list(map(known.get, chunks))
-            missing = [i for i, v in enumerate(values) if v is None] if None in values else ()
-            for i in missing:
-                new[chunks[i]] = None
-            todo.append((values, missing, [chunks[i] for i in missing]))
-        for c in new:
-            new[c] = known.old.pop(c, None)
-        ask = [c for c, v in new.items() if v is None]
-        for a in range(0, len(ask), 500):
-            new.update(zip(ask[a : a + 500], self._together(ask[a : a + 500]), strict=True))
-        for c, v in new.items():
-            if len(c) <= 256:
-                known.put(c, v)
-        out = []
-        for values, missing, chunks in todo:
-            for i, c in zip(missing, chunks, strict=True):
-                values[i] = new[c]
-            out.append(b"".join(values))
-        return out
+        starts = np.r_[0, marks + 1]
+        return ids, starts, np.r_[marks, len(ids)] - starts
+
+    def _asked(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for chunks of raw; equal ones are asked for once."""
+        words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        places = dict.fromkeys(words)
+        chunks = [c.decode("utf-8", "surrogatepass") for c in places]
+        places.update(zip(places, range(len(places)), strict=True))
+        of = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        parts, shift, begins = [self._together(chunks[k : k + 1000]) for k in range(0, len(chunks), 1000)], 0, []
+        for ids, at, _ in parts:
+            begins.append(at + shift)
+            shift += len(ids)
+        return np.concatenate([x[0] for x in parts]), np.concatenate(begins)[of], np.concatenate([x[2] for x in parts])[of]
+
+    def _joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where those of each begin (with the end of the last)."""
+        raw = b"\n".join(texts) + b"\n" + bytes(16)
+        a = np.frombuffer(raw, np.uint8, len(raw) - 16)
+        word = (a != 32) & (a != 10)
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        if word[0]:
+            edge = np.r_[0, edge]
+        start, end = edge[::2], edge[1::2]
+        begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        n = end - start
+        eights = np.lib.stride_tricks.as_strided(np.frombuffer(raw, np.uint64, 1), (len(raw) - 7,), (1,))
+        short = n < 16
+        size = np.where(short, n, 0)
+        low = eights[start] & self.first[size]
+        high = eights[start + 8] & self.second[size] | self.length[size]
+        slot = ((low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD) >> self.shift).astype(np.int64)
+        known = short & (self.low[slot] == low) & (self.high[slot] == high)
+        miss = np.flatnonzero(~known)
+        count = self.times[slot].astype(np.int64)
+        if len(miss):
+            ids, at, sizes = self._asked(raw, start[miss], end[miss])
+            count[miss] = sizes
+        ends = np.cumsum(count)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        first = ends - count
+        for k in range(self.INLINE):
+            have = np.flatnonzero(known & (count > k))
+            out[first[have] + k] = self.values[slot[have], k]
+        if len(miss):
+            inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out[np.repeat(first[miss], sizes) + inner] = ids[np.repeat(at, sizes) + inner]
+            new = short[miss] & (sizes <= self.INLINE)
+            # Of several chunks with one slot, one is kept.
+            where, one = np.unique(slot[miss[new]], return_index=True)
+            m, at, sizes = miss[new][one], at[new][one], sizes[new][one]
+            self.low[where], self.high[where], self.times[where] = low[m], high[m], sizes
+            for k in range(self.INLINE):
+                have = sizes > k
+                self.values[where[have], k] = ids[at[have] + k]
+        return out, np.r_[0, ends][np.searchsorted(start, begins)]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
+        ids, at = self._joined(texts)
+        data, at = ids.astype("<u4", copy=False).tobytes(), (at * 4).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def slices(texts: list[bytes], size: int = 2 << 20):
+    """Runs [a, b) of texts of about `size` bytes in all."""
+    a = total = 0
+    for b, t in enumerate(texts, 1):
+        total += len(t)
+        if total >= size or b == len(texts):
+            yield a, b
+            a, total = b, 0
 
 
 PIECE = T.StructType([
@@ -307,15 +362,15 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     def run(batches):
         import pyarrow as pa
 
-        encode, end = resident(("words", path), lambda: WordCache(path)), np.array([separator], dtype="<u4").tobytes()
+        encode, end = resident(("words", path), lambda: WordTable(path)), np.array([separator], dtype="<u4").tobytes()
         width = capacity * 4
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for a in range(0, len(ids), 256):
-                texts = ["" if t is None else t for t in batch.column(1)[a : a + 256].to_pylist()]
+            whole = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for a, b in slices(whole):
                 rows = []
-                for doc, got in zip(ids[a : a + 256], encode(texts), strict=True):
+                for doc, got in zip(ids[a:b], encode(whole[a:b]), strict=True):
                     got += end
                     for k, at in enumerate(range(0, len(got), width)):
                         x = got[at : at + width]

@@ -40,12 +40,18 @@ def test_nnls_matches_known_solutions():
     assert np.allclose(packing.nnls(a, np.array([-1.0, 2.0, 1.0])), [0, 1.5])
 
 
-def test_word_cache_equals_the_library():
+@pytest.mark.parametrize("bits", [4, 20])
+def test_word_table_equals_the_library(bits):
     from tokenizers import Tokenizer
 
     path = packing.tokenizer_path("word_bpe_49k.json")
     texts = [t or "" for _, t in corpus()] + ["<|endoftext|>a <|startoftext|>", "\x01 mark \x01", "it's  WE'LL　x y", "é İΣ Σ"]
-    got = packing.WordCache(path, bound=50)(texts)
+    texts += ["a\x00", "a", "x" * 15, "x" * 16, "x" * 14 + "\x00", "fifteen bytes..", " \n ", "no end", "\x00" * 3, "\x00"]
+    table = packing.WordTable(path, bits)
+    data = [t.encode() for t in texts]
+    table(data[::-1])
+    got = [x for a, b in packing.slices(data, 2000) for x in table(data[a:b])]
+    assert table([]) == []
     want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in want]
 
