@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from docmill.llm import dedup
+from docmill.llm import common, dedup
 
 from .helpers import corpus, frame, normalised
 
@@ -46,6 +46,25 @@ def test_index_compacts_levels(spark):
     assert top == {(min(i for i in ids if i % 3 == m), sum(i % 3 == m for i in ids)) for m in range(3)}
 
 
+def test_a_table_is_flushed_as_several_runs(spark):
+    rows = spark.range(0, 300, 1, 9).select(F.unhex(F.sha2((F.col("id") % 40).cast("string"), 256)).alias("digest"), F.col("id"))
+    index = dedup.DigestIndex(spark, fanout=4)
+    assert index.flush(rows, 6).count() == 300 and {k: len(v) for k, v in index.runs.items()} == {1: 2}
+    later = spark.range(30, 60).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id"))
+    assert sorted(r.id for r in index.lookup(later).collect()) == list(range(30, 40))
+    index.flush(later)
+    assert {(r.id, r.rows) for r in index.compact().collect()} == {(i, 300 // 40 + (i < 20) + (i >= 30)) for i in range(40)} | {(i, 1) for i in range(40, 60)}
+
+
+def test_filters_lose_nothing(spark):
+    values = common.written(spark.range(0, 60_000, 7).selectExpr("id * 3 AS v"), "values")
+    rows = spark.range(180_000).selectExpr("id", "id AS v", "'x' AS text").unionByName(spark.sql("SELECT NULL AS id, NULL AS v, 'x' AS text"))
+    found = common.likely_among(rows, F.col("id"), values)
+    assert found.columns == rows.columns and found.join(values, "v", "left_semi").count() == values.count()
+    assert found.count() < values.count() + 20_000
+    assert common.marked(rows, F.col("id"), values.limit(0), "m").where("NOT m").count() == 180_001
+
+
 def test_drop_copies_keeps_columns(spark):
     df = frame(spark, corpus())
     out = dedup.drop_copies(df)
