@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, written(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(last)
         new = _mark(e)
         if new == mark:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, resident, written
+from .common import Memo, dropped, likely_among, marked, resident, written
 from .components import connected_components
 
 HALVES, ROWS = 14, 3
@@ -121,7 +121,9 @@ def _candidates(reps: DataFrame, halves: int) -> DataFrame:
     tables = pairs.select("rep", F.xxhash64("a.half", "b.half").alias("key"))
     tables = written(tables, "tables")
     stars = tables.groupBy("key").agg(F.min("rep").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "u")
-    return tables.join(stars, "key").where("rep <> u").select("u", F.col("rep").alias("v")).distinct()
+    edges = written(tables.join(stars, "key").where("rep <> u").select("u", F.col("rep").alias("v")).distinct(), "stars")
+    dropped(tables)
+    return edges
 
 
 def links(sets: list[np.ndarray], blocks: list[int], percent: int) -> list[tuple[int, int]]:
@@ -218,23 +220,31 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     """Per row: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included), kept.
 
     Texts without words have no shingles and no links. A row with a null id takes no part in links: its component_id
-    is null and it is kept. Rows that repeat an id are one document if their texts are equal. An empty table gives an
-    empty result; other columns are left out."""
+    is null and it is kept. An id is one document: rows that repeat it, with the same text or others, are linked with what any of
+    them is linked with. An empty table gives an empty result; other columns are left out."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(shingle_sets(own, width, halves, rows), "sets")
     whole = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = written(whole.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")), "reps")
     clusters = connected_components(_candidates(reps, halves))
     clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct())
+    clusters = written(clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct()), "clusters")
+    # Texts that are in no cluster are left out where they are read.
+    ids = clusters.select(F.col("rep").alias("doc_id"))
+    texts = likely_among(own, F.col("doc_id"), ids).join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct()
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A member goes to every pair of blocks that its own is part of.
     tasks = placed.select("rep", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select("rep", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    texts = own.join(clusters.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = texts.withColumnRenamed("doc_id", "rep").join(tasks, "rep").select("cluster", "i", "j", "block", "rep", "text")
-    roots = connected_components(written(_confirmed(members, width, percent), "links"))
+    members = texts.join(tasks, "rep").select("cluster", "i", "j", "block", "rep", "text")
+    found = written(_confirmed(members, width, percent), "links")
+    numbered = whole.select("doc_id", "set_hash", F.xxhash64("set_hash").alias("x"))
+    again = written(numbered.groupBy("doc_id").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("doc_id"), "again")
+    if not again.isEmpty():  # ids with several texts join the classes of these
+        several = written(numbered.join(again, "doc_id", "left_semi").join(reps.select("set_hash", "rep"), "set_hash").select("doc_id", "rep").distinct(), "several")
+        found = found.unionByName(several.join(several.groupBy("doc_id").agg(F.min("rep").alias("u")), "doc_id").select("u", F.col("rep").alias("v")))
+    roots = connected_components(found)
     groups = reps.select("set_hash", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("root", "rep").alias("found"))
     out = sets.select("doc_id", "n_shingles", "set_hash").join(groups, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("found"), F.col("doc_id")))
@@ -243,5 +253,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of linked ones, with all its columns."""
-    keep = near_groups(docs, width, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__kept_id"]), "left_semi")
+    gone = written(near_groups(docs, width, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
+    own = marked(docs, F.col(id_col).cast("long"), gone, "__hit")
+    # Only rows that the filter cannot tell from dropped ones are moved.
+    hit = own.where("__hit")
+    return own.where("NOT __hit").unionByName(hit.join(gone, hit[id_col].cast("long") == gone["__gone_id"], "left_anti")).select(*docs.columns)

@@ -61,6 +61,14 @@ def test_null_ids_and_repeated_rows(spark):
     assert sorted(got, key=repr) == sorted([(None, 5, None, True), (4, 5, 2, False), (2, 5, 2, True), (2, 5, 2, True), (7, 0, 7, True)], key=repr)
 
 
+def test_ids_with_several_texts(spark):
+    a, b, c = "a b c d e f g h", "i j k l m n o p q r s t u v w x y z", "1 2 3 4 5 6 7 8"
+    rows = [(5, a), (5, b), (3, b), (9, a), (8, c), (8, c), (4, b + " zz"), (6, "x"), (6, None)]
+    got = sorted(tuple(r)[::2] for r in neardup.near_groups(frame(spark, rows), 4).collect())
+    assert got == [(3, 3), (4, 3), (5, 3), (5, 3), (6, 6), (6, 6), (8, 8), (8, 8), (9, 3)]
+    assert sorted(r.doc_id for r in neardup.drop_near_copies(frame(spark, rows), 4).collect()) == [3, 6, 6, 8, 8]
+
+
 def test_drop_near_copies(spark):
     df = frame(spark, corpus(seed=4))
     out = neardup.drop_near_copies(df, width=4)
