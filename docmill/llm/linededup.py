@@ -9,8 +9,9 @@
    pair leaves a bucket it must pass the length filter, the positional filter (tokens
    left from the shared one on) and a parity filter: 128 parity bits of the tokens differ in no more places than the sets may.
 4. A line goes if an earlier one has a similar or the same set. Each class meets the earlier one whose parity bits differ least
-   from its own; they are compared by their whole sets. Only where that fails are all others that pass compared, so large groups of
-   similar lines give a pair for each line, not one for every two.
+   from its own; they are compared by their whole sets. Only where that fails are all others that pass compared: the tokens of
+   such lines alone are dealt out again, a bucket returns a spanning forest of its pairs, and the clusters
+   that these join are compared in blocks, so that large groups of similar lines never give a row for every two.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freed, written
+from .blocks import in_blocks, overlaps
+from .common import freed, marked, written
+from .components import connected_components
 
 SLOT_BITS, RANGE_BITS = 23, 6
 SALTS = 16
@@ -30,8 +33,13 @@ SALTS = 16
 SPLIT = 64
 #: Occurrences from which a token's rows are dealt among several tasks.
 HOT = 1 << 17
-#: Hashed places for the ids of documents whose lines are compared; more ids only mean more texts are read again.
-ID_BITS = 23
+#: Hashed places for the ids of documents whose lines are compared, and for tokens that are dealt out again; more of them only
+#: mean that more texts are read again, and more tokens dealt out.
+ID_BITS, TOKEN_BITS = 23, 24
+#: Classes whose prefixes one bucket has, about, and lines that are compared as one block.
+BUCKET, BLOCK = 40_000, 256
+#: Bits of the number of a text in the number of a line: an id that comes with several texts has lines of each.
+TAG_BITS = 32
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +136,7 @@ def rarity(docs: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
 
 
 LINES = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("class", T.BinaryType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("line", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("class", T.BinaryType()),
     T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("prefix", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.IntegerType())),
 ])
 
@@ -148,8 +156,12 @@ def sorted_sets(h: np.ndarray, line: np.ndarray, counts: np.ndarray):
     return h[new], c[new], line[new]
 
 
+def _numbered(tags, docs_: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return (numbers.astype(np.int64) << TAG_BITS) | tags.to_numpy(zero_copy_only=False)[docs_]
+
+
 def described(docs: DataFrame, counts, percent: int) -> DataFrame:
-    """A row (LINES) for every line with words of (doc_id, text)."""
+    """A row (LINES) for every line with words of (doc_id, text, tag)."""
 
     def run(batches):
         import pyarrow as pa
@@ -171,22 +183,22 @@ def described(docs: DataFrame, counts, percent: int) -> DataFrame:
             prefix = n - -(-percent * n // 100) + 1
             keep = (place < prefix[line]) & (c > 1)
             offsets = np.r_[0, np.cumsum(np.bincount(line[keep], minlength=len(n)))].astype(np.int32)
-            ids = part.column(0).take(pa.array(docs_))
+            ids, numbers = part.column(0).take(pa.array(docs_)), _numbered(part.column(2), docs_, numbers)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in ((h[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32), place[keep].astype(np.int32))]
             yield pa.RecordBatch.from_arrays([ids, pa.array(numbers), pa.array(n.astype(np.int32)), pa.array(classes, pa.binary()), pa.array(s1), pa.array(s2), *lists], names=LINES.names)
 
     return docs.mapInArrow(run, LINES)
 
 
-_FIELDS = (("key", np.uint32), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("place", np.int32), ("role", np.uint8), ("s1", np.uint64), ("s2", np.uint64))
+_FIELDS = (("key", np.uint32), ("doc", np.int64), ("line", np.int64), ("n", np.int32), ("place", np.int32), ("role", np.uint8), ("s1", np.uint64), ("s2", np.uint64))
 _INDEX, _PROBE, _ASKED = 1, 2, 4
-PAIRS = T.StructType([T.StructField(x, k) for x, k in (("doc_a", T.LongType()), ("line_a", T.IntegerType()), ("doc_b", T.LongType()), ("line_b", T.IntegerType()))])
+PAIRS = T.StructType([T.StructField(x, k) for x, k in (("doc_a", T.LongType()), ("line_a", T.LongType()), ("doc_b", T.LongType()), ("line_b", T.LongType()))])
 FAR = T.StructType([*PAIRS.fields, T.StructField("far", T.FloatType())])
 BLOBS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("rows", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
-def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from: int) -> DataFrame:
-    """Prefix tokens of classes by bucket, as arrays. Probing rows of a token above `hot_from` occurrences are copied to parts among which
+def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from: int, only=None) -> DataFrame:
+    """Prefix tokens of classes by bucket, as arrays; with `only`, a bitmap of tokens, those that it may hold. Probing rows of a token above `hot_from` occurrences are copied to parts among which
     its index rows are dealt, so no task has all of them."""
 
     def run(batches):
@@ -213,6 +225,9 @@ def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from:
             doc, line, n, s1, s2 = (get(k)[of] for k in range(5))
             token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
             place = batch.column(6).flatten().to_numpy(zero_copy_only=False)
+            if only is not None:
+                wanted = np.flatnonzero(_has(only.value, token >> np.uint32(32 - TOKEN_BITS)))
+                of, doc, line, n, s1, s2, token, place = (x[wanted] for x in (of, doc, line, n, s1, s2, token, place))
             index = place < n - -(-2 * percent * n // (100 + percent)) + 1
             parts = 1 + table[(token >> np.uint32(32 - bits)).astype(np.int64)].astype(np.int64) // hot_from
             asked = np.where(get(7), _ASKED, 0)[of].astype(np.uint8)
@@ -225,7 +240,7 @@ def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from:
                 probe = np.repeat(at, parts[at])
                 part = np.arange(len(probe)) - np.repeat(np.cumsum(parts[at]) - parts[at], parts[at])
                 own = at[index[at]]
-                mine = ((doc[own].view(np.uint64) * _BASE + line[own].astype(np.uint64)) >> np.uint64(20)).astype(np.int64) % parts[own]
+                mine = ((doc[own].view(np.uint64) * _BASE + line[own].view(np.uint64)) >> np.uint64(20)).astype(np.int64) % parts[own]
                 cold = {f: c[~hot] for f, c in cols.items()}
                 a = {f: c[probe] for f, c in cols.items()} | {"key": mixed(token[probe], part), "role": asked[probe] | np.uint8(_PROBE)}
                 b = {f: c[own] for f, c in cols.items()} | {"key": mixed(token[own], mine), "role": asked[own] | np.uint8(_INDEX)}
@@ -279,10 +294,25 @@ def met(cols: dict[str, np.ndarray], percent: int, at_once: int = 1 << 21):
         k = to
 
 
-def candidates(classes: DataFrame, counts, percent: int, best: bool, hot_from: int = HOT) -> DataFrame:
-    """Pairs (doc_a, line_a, doc_b, line_b) of classes (doc, line, n, s1, s2, prefix, places, asked) that pass all filters: b is
-    asked for and a comes before it. With `best`, for each b only the a whose parity bits differ least."""
-    buckets = max(8, min(1 << 18, classes.count() // 60_000))
+def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The smallest number that edges a-b between numbers below n join each number with; root: from earlier edges."""
+    root = np.arange(n) if root is None else root
+    while True:
+        x, y = root[a], root[b]
+        differ = x != y
+        if not differ.any():
+            return root
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def candidates(classes: DataFrame, counts, percent: int, best: bool, hot_from: int = HOT, only=None) -> DataFrame:
+    """Pairs (doc_a, line_a, doc_b, line_b) of classes (doc, line, n, s1, s2, prefix, places, asked) that pass all filters, b being
+    asked for and a coming before it: with `best`, for each b the a whose parity bits differ least; else some pairs that join
+    all those that pass."""
+    buckets = max(8, min(1 << 30, classes.count() // BUCKET))
 
     def join(t):
         import pyarrow as pa
@@ -295,51 +325,75 @@ def candidates(classes: DataFrame, counts, percent: int, best: bool, hot_from: i
                 cols[f].append(np.frombuffer(data, kind, n, at))
                 at += size
         cols = {f: np.concatenate(x) for f, x in cols.items()}
+        rows = fewest_of(cols) if best else joined(cols)
+        if rows is None:
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float32())], names=FAR.names)
+        return pa.table([pa.array(rows[name]) for name in FAR.names], names=FAR.names)
+
+    def fewest_of(cols):
         held: list[np.ndarray] = []
         for a, b, far in met(cols, percent):
             if len(a):
                 held.append(fewest(np.rec.fromarrays([cols["doc"][b], cols["line"][b], far, cols["doc"][a], cols["line"][a]], names="doc_b,line_b,far,doc_a,line_a")))
                 if len(held) > 16:
                     held = [fewest(np.concatenate(held))]
-        if not held:
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float32())], names=FAR.names)
-        rows = fewest(np.concatenate(held))
-        return pa.table([pa.array(rows[name]) for name in FAR.names], names=FAR.names)
+        return fewest(np.concatenate(held)) if held else None
 
     def fewest(rows):
-        """Each pair once; with `best`, each b once."""
+        """Each b once."""
         rows = rows[np.lexsort((rows["line_a"], rows["doc_a"], rows["far"], rows["line_b"], rows["doc_b"]))]
         same = (rows["doc_b"][1:] == rows["doc_b"][:-1]) & (rows["line_b"][1:] == rows["line_b"][:-1])
-        if not best:
-            same &= (rows["doc_a"][1:] == rows["doc_a"][:-1]) & (rows["line_a"][1:] == rows["line_a"][:-1])
         return rows[np.r_[True, ~same]]
 
-    found = _scattered(classes, counts, percent, buckets, hot_from).groupBy("bucket").applyInArrow(join, FAR)
+    def joined(cols):
+        order = np.lexsort((cols["line"], cols["doc"]))
+        doc, line = cols["doc"][order], cols["line"][order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]
+        node = np.empty(len(order), np.int64)
+        node[order] = np.cumsum(new) - 1
+        doc, line, root = doc[new], line[new], None
+        for a, b, _ in met(cols, percent):
+            root = forest(len(doc), node[a], node[b], root)
+        if root is None:
+            return None
+        x = np.flatnonzero(root != np.arange(len(root)))
+        return np.rec.fromarrays([doc[root[x]], line[root[x]], doc[x], line[x], np.zeros(len(x), np.float32)], names="doc_a,line_a,doc_b,line_b,far")
+
+    found = _scattered(classes, counts, percent, buckets, hot_from, only).groupBy("bucket").applyInArrow(join, FAR)
     if not best:
-        return found.select(*PAIRS.names).distinct()
+        return found.select(*PAIRS.names)
     return found.groupBy("doc_b", "line_b").agg(F.min(F.struct("far", "doc_a", "line_a")).alias("a")).select("a.doc_a", "a.line_a", "doc_b", "line_b")
 
 
+def _bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2 ** bits places from a column `s` of their numbers."""
+    # Spark numbers buckets from 1 only for positions from 1; 0 has a bucket of its own.
+    s = F.col("s") + F.lit(1)
+    rows = places.groupBy(F.bitmap_bucket_number(s).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(s)).alias("bits"))
+    found = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        found[(r.b - 1) * 4096 : r.b * 4096] |= np.frombuffer(r.bits, np.uint8)
+    return found
+
+
+def _has(bitmap: np.ndarray, s: np.ndarray) -> np.ndarray:
+    s = s.astype(np.int64)
+    return (bitmap[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _reread(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc, line, set) of the given (doc, line). Texts of other documents are skipped where they are read, by a bitmap of hashed
     ids whose size is fixed."""
-    # Spark numbers buckets from 1 only for positions from 1; 0 has a bucket of its own.
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS)) + F.lit(1)
-    bits = lines.select(slot("doc").alias("s")).groupBy(F.bitmap_bucket_number(F.col("s")).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    found = np.zeros((1 << ID_BITS) // 8, np.uint8)
-    for r in bits.toLocalIterator():
-        found[(r.b - 1) * 4096 : r.b * 4096] |= np.frombuffer(r.bits, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(found)
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("set", T.BinaryType())])
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS))
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(lines.select(slot("doc").alias("s")), ID_BITS))
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("line", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
 
         table = sent.value
         for batch in batches:
-            s = batch.column(2).to_numpy(zero_copy_only=False) - 1
-            keep = (table[s // 8] >> (s % 8) & 1).astype(bool)
-            part = batch.filter(pa.array(keep))
+            part = batch.filter(pa.array(_has(table, batch.column(3).to_numpy(zero_copy_only=False))))
             for some, texts in _batches([part], 1):
                 h, line, docs_, numbers = tokens(texts)
                 if len(h):
@@ -351,9 +405,9 @@ def _reread(docs: DataFrame, lines: DataFrame) -> DataFrame:
                     first = np.searchsorted(line, np.arange(len(numbers) + 1)) * 8
                     data = h.tobytes()
                     sets = [data[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(docs_)), pa.array(numbers), pa.array(sets, pa.binary())], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(docs_)), pa.array(_numbered(some.column(2), docs_, numbers)), pa.array(sets, pa.binary())], names=schema.names)
 
-    read = docs.select("doc_id", "text", slot("doc_id").alias("s")).mapInArrow(run, schema)
+    read = docs.select("doc_id", "text", "tag", slot("doc_id").alias("s")).mapInArrow(run, schema)
     return read.join(lines, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
 
 
@@ -378,56 +432,146 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select(*PAIRS.names, "set_a", "set_b").mapInArrow(run, PAIRS)
 
 
-def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT) -> DataFrame:
-    """Per line with words: doc_id, line (from 0), first_doc and first_line (the first line with the same token set), kept.
+GONE = T.StructType([T.StructField("doc", T.LongType()), T.StructField("line", T.LongType())])
+
+
+def like_earlier(sets: list[np.ndarray], place: np.ndarray, asked: np.ndarray, blocks: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the asked sets are similar to one that comes before them by `place`; of two blocks, only sets of different ones meet."""
+    rows = np.flatnonzero(asked)
+    if len(sets) < 2 or not len(rows):
+        return rows[:0]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    both = overlaps(sets, rows)
+    ok = (100 * both >= percent * (sizes[rows][:, None] + sizes[None] - both)) & (place[None] < place[rows][:, None])
+    if blocks.min() != blocks.max():
+        ok &= blocks[None] != blocks[rows][:, None]
+    return rows[ok.any(axis=1)]
+
+
+def _gone_in_blocks(docs: DataFrame, clusters: DataFrame, asked: DataFrame, percent: int, block: int) -> DataFrame:
+    """(doc, line) of asked lines that have an earlier similar one in their cluster; clusters: (node of doc and line, cluster)."""
+    tasks = in_blocks(clusters, block).select(F.col("node.doc").alias("doc"), F.col("node.line").alias("line"), F.xxhash64("cluster").alias("c"), F.col("cluster.doc").alias("cd"), F.col("cluster.line").alias("cl"), "i", "j", "block")
+    lines = clusters.select("node.doc", "node.line")
+    sets = _reread(docs, lines).join(asked.withColumn("asked", F.lit(True)), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    members = tasks.join(sets, ["doc", "line"]).select("cd", "cl", "i", "j", "block", "doc", "line", "asked", "set")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+
+        def found():
+            if not held:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], names=GONE.names)
+            block, doc, line, wanted, sets = zip(*held, strict=True)
+            place = np.empty(len(doc), np.int64)
+            place[np.lexsort((line, doc))] = np.arange(len(doc))
+            at = like_earlier([np.frombuffer(x, np.uint64) for x in sets], place, np.array(wanted), np.array(block), percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for k in at], pa.int64()) for x in (doc, line)], names=GONE.names)
+
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for new, row in zip(zip(*cols[:4], strict=True), zip(*cols[4:], strict=True), strict=True):
+                if new != key:
+                    yield found()
+                    key, held = new, []
+                held.append(row)
+        yield found()
+
+    task = ["cd", "cl", "i", "j"]
+    return members.repartition(*task).sortWithinPartitions(*task).mapInArrow(run, GONE).distinct()
+
+
+def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, tag): tag is 0, but for ids that come with several texts a number from 32 bits of a hash of the text."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    x = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = own.where("doc_id IS NOT NULL").select("doc_id", x.alias("x")).groupBy("doc_id").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    several = written(several.where("a <> b").select("doc_id"), "several")
+    if several.isEmpty():
+        return own.withColumn("tag", F.lit(0).cast("long"))
+    return marked(own, F.col("doc_id"), several, "again").select("doc_id", "text", F.when(F.col("again"), F.pmod(x, F.lit(1 << TAG_BITS))).otherwise(F.lit(0)).cast("long").alias("tag"))
+
+
+def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT, block: int = BLOCK) -> DataFrame:
+    """Per line with words: doc_id, tag, line (from 0), first_doc and first_line (the first line with the same token set), kept.
 
     Lines are the parts of a text between newlines; tokens are words without ASCII white space, A-Z lowered. A line is kept unless
-    an earlier one, by doc_id and line, has a similar set (100 * intersection >= percent * union). Null texts have no lines;
-    rows with a null id are left out; rows that repeat an id with the same text have their lines kept or removed alike."""
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    an earlier one, by doc_id, line and tag, has a similar set (100 * intersection >= percent * union). Null texts have no lines;
+    rows with a null id are left out; rows that repeat an id with the same text are one document; an id that comes with several
+    texts has the lines of each, told apart by their tags (tagged())."""
+    return _groups(tagged(docs, id_col, text_col).where("doc_id IS NOT NULL"), percent, slot_bits, hot_from, block)
+
+
+def _groups(own: DataFrame, percent: int, slot_bits: int, hot_from: int, block: int) -> DataFrame:
+    spark = own.sparkSession
     counts = spark.sparkContext.broadcast(rarity(own, slot_bits))
     lines = written(described(own, counts, percent), "lines")
+    # Most lines have a set of their own and are classes as they are; only others meet.
+    again = lines.groupBy(F.xxhash64("class").alias("x")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
+    told = marked(lines, F.xxhash64("class"), written(again, "again"), "again")
+    cols = ["doc", "line", "n", "s1", "s2", "prefix", "places"]
     held = F.min(F.struct("doc_id", "line", "n", "s1", "s2", "prefix", "places")).alias("f")
-    classes = written(lines.groupBy("class").agg(held, F.count(F.lit(1)).alias("rows")).select("class", "rows", F.col("f.doc_id").alias("doc"), "f.line", "f.n", "f.s1", "f.s2", "f.prefix", "f.places"), "classes")
+    several = written(told.where("again").groupBy("class").agg(held).select("class", F.col("f.doc_id").alias("doc"), *[f"f.{c}" for c in cols[1:]]), "classes")
+    classes = told.where("NOT again").withColumnRenamed("doc_id", "doc").select(*cols).unionByName(several.select(*cols))
     freed(spark)
-    # One good earlier line is enough: each class is first held against the one that looks most like it, and only where that
-    # fails against all others that the filters leave.
+    # One good earlier line is enough: each class is first held against the one that looks most like it.
     first = written(candidates(classes.withColumn("asked", F.lit(True)), counts, percent, True, hot_from), "pairs")
     freed(spark)
-    good = written(verified(own, first, percent), "goodlines")
-    left = written(first.join(good, ["doc_b", "line_b"], "left_anti").select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")), "leftlines")
+    good = written(verified(own, first, percent), "goodlines").select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"))
+    left = written(first.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).join(good, ["doc", "line"], "left_anti"), "leftlines")
     if not left.isEmpty():
         freed(spark)
-        again = classes.join(left.withColumn("asked", F.lit(True)), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        rest = written(candidates(again, counts, percent, False, hot_from), "pairs").join(first, PAIRS.names, "left_anti")
-        good = good.unionByName(written(verified(own, rest, percent), "goodlines"))
-    gone = good.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct().withColumn("like", F.lit(True))
-    special = classes.select("class", "rows", "doc", "line").join(gone, ["doc", "line"], "left").where("rows > 1 OR like")
-    special = special.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("like", F.lit(False)).alias("like"))
-    out = lines.select("doc_id", "line", "class").join(special, "class", "left")
-    is_first = F.col("first_doc").isNull() | ((F.col("first_doc") == F.col("doc_id")) & (F.col("first_line") == F.col("line")))
-    return out.select("doc_id", "line", F.coalesce("first_doc", "doc_id").alias("first_doc"), F.coalesce("first_line", "line").alias("first_line"), (is_first & ~F.coalesce("like", F.lit(False))).alias("kept"))
-
-
-def line_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT) -> DataFrame:
-    """Per document: doc_id, n_lines (with words), n_removed, removed (numbers of its lines that go, from 0).
-
-    An id is one document; documents without lines have zeros and an empty list; an id that is null is a row of its own with
-    its lines counted and none removed. An empty table gives an empty result."""
-    rows = line_groups(docs, percent, id_col, text_col, slot_bits, hot_from)
-    found = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("line")))).alias("removed"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    out = ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+        # Only where that fails against all others that the filters leave; those that seem to be asked for cost time, not results.
+        asked = marked(classes, F.xxhash64("doc", "line"), written(left.select(F.xxhash64("doc", "line").alias("x")), "asked"), "asked")
+        token = asked.where("asked").select(F.explode("prefix").alias("t")).select(F.shiftrightunsigned("t", 32 - TOKEN_BITS).cast("long").alias("s"))
+        only = spark.sparkContext.broadcast(_bitmap(token, TOKEN_BITS))
+        pairs = written(candidates(asked, counts, percent, False, hot_from, only), "pairs")
+        node = lambda x: F.struct(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line"))
+        roots = connected_components(pairs.select(node("a").alias("u"), node("b").alias("v")))
+        clusters = roots.select("node", F.col("root").alias("cluster"))
+        clusters = written(clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster").distinct()), "clusters")
+        good = good.unionByName(_gone_in_blocks(own, clusters, left, percent, block))
+    gone = written(good.distinct(), "gone")
+    # Lines of classes with several rows follow the first; others are gone if they are among those found.
+    like = F.coalesce("like", F.lit(False))
+    known = gone.withColumn("like", F.lit(True))
+    special = several.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line")).join(known.withColumnsRenamed({"doc": "first_doc", "line": "first_line"}), ["first_doc", "first_line"], "left")
+    out = marked(lines.select("doc_id", "line", "class"), F.col("class"), several.select("class"), "again")
+    is_first = (F.col("first_doc") == F.col("doc_id")) & (F.col("first_line") == F.col("line"))
+    shared = out.where("again").join(special, "class", "left").select("doc_id", "line", F.coalesce("first_doc", "doc_id").alias("first_doc"), F.coalesce("first_line", "line").alias("first_line"), F.coalesce(is_first & ~like, F.lit(True)).alias("kept"), F.col("first_doc").isNull().alias("alone"))
+    alone = out.where("NOT again").unionByName(shared.where("alone").select("doc_id", "line", F.lit(None).cast("binary").alias("class"), F.lit(False).alias("again")))
+    alone = marked(alone.select("doc_id", "line"), F.xxhash64("doc_id", "line"), written(gone.select(F.xxhash64("doc", "line").alias("x")), "gonehash"), "hit")
+    hit = alone.where("hit").select("doc_id", "line").join(known.withColumnRenamed("doc", "doc_id"), ["doc_id", "line"], "left").select("doc_id", "line", (~like).alias("kept"))
+    alone = alone.where("NOT hit").select("doc_id", "line", F.lit(True).alias("kept")).unionByName(hit)
+    alone = alone.select("doc_id", "line", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), "kept")
+    out = shared.where("NOT alone").drop("alone").unionByName(alone)
+    number = lambda c: F.shiftright(c, TAG_BITS).cast("int").alias(c)
+    return out.select("doc_id", F.col("line").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag"), number("line"), "first_doc", number("first_line"), "kept")
+
+
+def line_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, n_lines (with words), n_removed, removed (numbers of its lines that go, from 0), tag.
+
+    An id is one document, or if it comes with several texts one for each text, told apart by tag (else 0); documents without lines
+    have zeros and an empty list; an id that is null is a row of its own with its lines counted and none removed. An empty
+    table gives an empty result."""
+    own = tagged(docs, id_col, text_col)
+    rows = _groups(own.where("doc_id IS NOT NULL"), percent, slot_bits, hot_from, block).distinct()
+    found = rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("line")))).alias("removed"))
+    ids = own.where("doc_id IS NOT NULL").select("doc_id", "tag").distinct()
+    out = ids.join(found, ["doc_id", "tag"], "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "tag").select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "tag")
     lines = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"))
+    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"), F.lit(0).cast("long").alias("tag"))
     return out.unionByName(nameless)
 
 
 def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all their columns, the removed lines cut out of their texts; lines without words stay."""
-    gone = line_dedup(docs, percent, id_col, text_col).where(F.size("removed") > 0).select(F.col("doc_id").alias("__gone_id"), F.col("removed").alias("__gone"))
-    joined = docs.join(gone, docs[id_col] == gone["__gone_id"], "left")
+    gone = line_dedup(docs, percent, id_col, text_col).where(F.size("removed") > 0).select(F.col("doc_id").alias("__gone_id"), "tag", F.col("removed").alias("__gone"))
+    gone = gone.withColumnRenamed("tag", "__tag")
+    same = F.col("__tag").isin(0) | (F.pmod(F.xxhash64(F.coalesce(docs[text_col], F.lit(""))), F.lit(1 << TAG_BITS)) == F.col("__tag"))
+    joined = docs.join(gone, (docs[id_col].cast("long") == gone["__gone_id"]) & same, "left")
     rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest)
     return joined.select(*[text.alias(c) if c == text_col else joined[c] for c in docs.columns])

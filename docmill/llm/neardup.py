@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import in_blocks, overlaps
 from .common import Memo, dropped, likely_among, marked, resident, written
 from .components import connected_components
 
@@ -157,24 +158,7 @@ def links(sets: list[np.ndarray], blocks: list[int], percent: int) -> list[tuple
                         if 100 * both >= percent * (small + large - both):
                             join(i, j)
         return out
-    owner = np.repeat(np.arange(n), sizes)
-    codes = np.concatenate(sets)
-    order = np.argsort(codes, kind="stable")
-    codes, owner = codes[order], owner[order]
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-    times = np.diff(np.r_[first, len(codes)])
-    column = np.repeat(np.arange(len(first)), times)
-    keep = np.repeat(times > 1, times)  # a shingle of one set adds to no intersection
-    owner, column = owner[keep], np.unique(column[keep], return_inverse=True)[1]
-    both = np.zeros((n, n), np.float32)
-    total, step = int(column.max(initial=-1)) + 1, 4096
-    edges = np.searchsorted(column, np.arange(0, total + step, step))
-    for k in range(len(edges) - 1):
-        part = slice(edges[k], edges[k + 1])
-        x = np.zeros((n, step), np.float32)
-        x[owner[part], column[part] - k * step] = 1
-        both += x @ x.T
-    both = both.astype(np.int64)
+    both = overlaps(sets)
     ok = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     if not within:
         b = np.array(blocks)
@@ -232,11 +216,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     # Texts that are in no cluster are left out where they are read.
     ids = clusters.select(F.col("rep").alias("doc_id"))
     texts = likely_among(own, F.col("doc_id"), ids).join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct()
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # A member goes to every pair of blocks that its own is part of.
-    tasks = placed.select("rep", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("rep", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    tasks = in_blocks(clusters.select(F.col("rep").alias("node"), "cluster"), block).withColumnRenamed("node", "rep")
     members = texts.join(tasks, "rep").select("cluster", "i", "j", "block", "rep", "text")
     found = written(_confirmed(members, width, percent), "links")
     numbered = whole.select("doc_id", "set_hash", F.xxhash64("set_hash").alias("x"))

@@ -59,7 +59,7 @@ def test_hot_tokens_are_dealt_out(spark):
 def test_slices_of_large_groups():
     rng = np.random.default_rng(0)
     n = 50
-    cols = {"key": np.full(n, 7, np.uint32), "doc": np.arange(n), "line": np.zeros(n, np.int32), "n": rng.integers(8, 11, n).astype(np.int32), "place": np.zeros(n, np.int32), "role": np.full(n, 7, np.uint8), "s1": np.zeros(n, np.uint64), "s2": np.zeros(n, np.uint64)}
+    cols = {"key": np.full(n, 7, np.uint32), "doc": np.arange(n), "line": np.zeros(n, np.int64), "n": rng.integers(8, 11, n).astype(np.int32), "place": np.zeros(n, np.int32), "role": np.full(n, 7, np.uint8), "s1": np.zeros(n, np.uint64), "s2": np.zeros(n, np.uint64)}
     pairs = lambda size: {(int(a), int(b)) for x, y, _ in linededup.met(cols, 80, size) for a, b in zip(x, y, strict=True)}
     assert pairs(1 << 21) == pairs(7) == pairs(60) and len(pairs(7)) == n * (n - 1) // 2
 
@@ -72,13 +72,42 @@ def test_order_is_total_under_ties():
     assert a.tolist() == b.tolist() and len(a) == 3
 
 
+def test_blocks_and_ids_with_several_texts(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(70):  # similar to few of the lines before, so that the likeliest one often fails
+        w = list(base)
+        for _ in range(rng.randint(2, 5)):
+            w[rng.randrange(30)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    for block in (5, 256):
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in linededup.line_dedup(frame(spark, rows), block=block).collect()}
+        assert got == brute(rows)
+    rows = [(1, "a b c d e"), (1, "f g h i j"), (1, "f g h i j"), (2, "a b c d e\nf g h i j"), (0, "f g h i j k")]
+    got = sorted((r.doc_id, r.n_lines, r.removed, r.tag > 0) for r in linededup.line_dedup(frame(spark, rows)).collect())
+    assert got == [(0, 1, [], False), (1, 1, [], True), (1, 1, [0], True), (2, 2, [0, 1], False)]
+    assert sorted(r.text for r in linededup.without_lines(frame(spark, rows)).collect()) == ["", "", "", "a b c d e", "f g h i j k"]
+
+
+def test_forest():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
+    root = linededup.forest(300, a[100:], b[100:], linededup.forest(300, a[:100], b[:100]))
+    group = list(range(300))
+    for _ in range(300):
+        for x, y in zip(a, b, strict=True):
+            group[x] = group[y] = min(group[x], group[y])
+    assert root.tolist() == group
+
+
 def test_texts_without_removed_lines(spark):
     df = frame(spark, [(1, "x y z\nkeep me"), (2, "X  y z\n\nother words"), (3, None), (None, "x y z"), (None, "x y z")])
     out = linededup.without_lines(df)
     assert out.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, "x y z\nkeep me"), (2, "\nother words"), (3, None), (None, "x y z"), (None, "x y z")], key=repr)
     got = [tuple(r) for r in linededup.line_dedup(df).collect() if r.doc_id is None]
-    assert got == [(None, 1, 0, []), (None, 1, 0, [])]
+    assert got == [(None, 1, 0, [], 0), (None, 1, 0, [], 0)]
 
 
 def test_empty_table(spark):
