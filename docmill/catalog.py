@@ -221,10 +221,10 @@ def sample_per_ext(spark, d):
 @query("""
     WITH r AS (SELECT event_id AS seq, event_type AS ext, value >= 5 AS ok, value AS ms, CASE WHEN user_id % 3 = 0 THEN 'fallback' ELSE 'main' END AS parser, 'e' || event_id::VARCHAR AS error FROM events),
     g AS (SELECT ext, count(*) AS n, count(*) FILTER (ok) AS ok, round(avg(ms), 4) AS avg_ms FROM r GROUP BY ROLLUP (ext)),
-    h AS (SELECT coalesce(ext, '') AS k, string_agg(parser || '=' || c::VARCHAR, ',' ORDER BY parser) AS parsers FROM (SELECT ext, parser, count(*) AS c FROM r GROUP BY GROUPING SETS ((ext, parser), (parser))) GROUP BY 1),
+    h AS (SELECT coalesce(ext, '') AS k, string_agg(parser || '=' || c::VARCHAR, ',' ORDER BY parser) AS readers FROM (SELECT ext, parser, count(*) AS c FROM r GROUP BY GROUPING SETS ((ext, parser), (parser))) GROUP BY 1),
     f AS (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY seq) AS a, row_number() OVER (ORDER BY seq) AS b FROM r WHERE NOT ok),
     e AS (SELECT ext AS k, string_agg(error, ';' ORDER BY seq) AS errors FROM f WHERE a <= 3 GROUP BY ext UNION ALL SELECT '', string_agg(error, ';' ORDER BY seq) FROM f WHERE b <= 3)
-    SELECT g.ext, n, ok, avg_ms, parsers, coalesce(errors, '') AS errors FROM g LEFT JOIN h ON coalesce(g.ext, '') = h.k LEFT JOIN e ON coalesce(g.ext, '') = e.k
+    SELECT g.ext, n, ok, avg_ms, readers, coalesce(errors, '') AS errors FROM g LEFT JOIN h ON coalesce(g.ext, '') = h.k LEFT JOIN e ON coalesce(g.ext, '') = e.k
 """)
 def benchmark_rollup(spark, d):
     e = _t(spark, d, "events")

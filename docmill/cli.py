@@ -29,7 +29,7 @@ def bench(spark: SparkSession, folder: str, per_ext: int, settings: Settings):
     began = time.time()
     rows = pipeline.convert(chosen, "markdown", settings).select("doc_id", "ext", "status", "parser", "error").collect()
     each = (time.time() - began) * 1000 / max(1, len(rows))
-    runs = spark.createDataFrame([(r.doc_id, r.ext, r.status == 200, each, r.parser or "", r.error) for r in rows], "seq long, ext string, ok boolean, ms double, parser string, error string")
+    runs = spark.createDataFrame([(r.doc_id, r.ext, r.status == 200, each, r.parser or "", r.error) for r in rows], "seq string, ext string, ok boolean, ms double, parser string, error string")
     return R.report(runs).orderBy(F.col("ext").asc_nulls_last())
 
 

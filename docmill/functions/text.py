@@ -63,7 +63,7 @@ def pdf_date(text: Column) -> Column:
     part = lambda i: F.regexp_extract(text, r"^(?:D:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?", i)
     y, mo, d, h, mi, s = (part(i) for i in range(1, 7))
     day = F.concat(y, F.when(mo != "", F.concat(F.lit("-"), mo)).otherwise(""), F.when((mo != "") & (d != ""), F.concat(F.lit("-"), d)).otherwise(""))
-    time = F.when((d != "") & (h != "") & (mi != ""), F.concat(F.lit("T"), h, F.lit(":"), mi, F.when(s != "", F.concat(F.lit(":"), s)).otherwise(""))).otherwise("")
+    time = F.when((d != "") & (h != ""), F.concat(F.lit("T"), h, F.when(mi != "", F.concat(F.lit(":"), mi)).otherwise(""), F.when(s != "", F.concat(F.lit(":"), s)).otherwise(""))).otherwise("")
     return F.coalesce(F.when(y == "", "").otherwise(F.concat(day, time)), F.lit(""))
 
 

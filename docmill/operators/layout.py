@@ -26,9 +26,19 @@ def y_form(top: Column) -> Column:
     return F.bround(top / 5) * 5
 
 
-def cropped(words: DataFrame, page_width: float = 612.0, right: float = 30.0, top: float = 140.0) -> DataFrame:
-    """Without the right margin, and without the head of the first page."""
-    return words.where((F.col("x1") <= page_width - right) & ((F.col("page") > 1) | (F.col("top") >= top)))
+#: Width of a page that does not say its own, in points.
+WIDTH = 612.0
+
+
+def with_width(words: DataFrame) -> DataFrame:
+    """words whose `width` is that of their page, WIDTH where it is not known."""
+    return words.withColumn("width", F.coalesce("width", F.lit(WIDTH)) if "width" in words.columns else F.lit(WIDTH))
+
+
+def cropped(words: DataFrame, right: float = 30.0, top: float = 140.0) -> DataFrame:
+    """Without the right margin, and without the head of the first page; pages that are no wider than the margin are left whole."""
+    words = with_width(words)
+    return words.where((F.col("width") <= right) | ((F.col("x1") <= F.col("width") - right) & ((F.col("page") > 1) | (F.col("top") >= top))))
 
 
 def lines(words: DataFrame, y: Column, *more: str) -> DataFrame:
@@ -52,16 +62,16 @@ def body_size(words: DataFrame, pages: int = 20, default: float = 10.0) -> DataF
     return some.select("doc_id", F.coalesce(upper_median(F.col("sizes")), F.lit(default)).alias("body"))
 
 
-def line_flags(words: DataFrame, page_width: float = 612.0) -> DataFrame:
-    left = F.col("x0") < page_width / 2
-    return words.groupBy(*PAGE, y_layout(F.col("top")).alias("y")).agg(F.min("x0").alias("x_min"), F.bool_or(left).alias("has_left"), F.bool_or(~left).alias("has_right"))
+def line_flags(words: DataFrame, *more: Column) -> DataFrame:
+    left = F.col("x0") < F.col("width") / 2
+    return with_width(words).groupBy(*PAGE, y_layout(F.col("top")).alias("y")).agg(F.min("x0").alias("x_min"), F.bool_or(left).alias("has_left"), F.bool_or(~left).alias("has_right"), *more)
 
 
-def classified(words: DataFrame, page_width: float = 612.0) -> DataFrame:
+def classified(words: DataFrame) -> DataFrame:
     """(doc_id, page, layout, divider): single, glossary or prose_multi."""
-    x = F.col("x_min")
-    middle = F.when((x > page_width * 0.35) & (x < page_width * 0.60), x)
-    of_lines = line_flags(words, page_width).groupBy(*PAGE).agg(
+    x, width = F.col("x_min"), F.col("width")
+    middle = F.when((x > width * 0.35) & (x < width * 0.60), x)
+    of_lines = line_flags(words, F.max("width").alias("width")).groupBy(*PAGE).agg(
         F.count(F.lit(1)).alias("n_lines"), F.count(middle).alias("n_middle"), upper_median(F.collect_list(middle)).alias("divider"),
         F.count_if(F.col("has_right") & ~F.col("has_left")).alias("right_only"), F.count_if(F.col("has_left") & ~F.col("has_right")).alias("left_only"))
     joined = words.join(of_lines.select(*PAGE, "divider"), list(PAGE))
@@ -98,7 +108,13 @@ def in_strips(words: DataFrame, pages: DataFrame) -> DataFrame:
 def clustered(sorted_values: Column, gap: Column | float) -> Column:
     """Starts of clusters of a sorted array: a value starts one if it is more than `gap` after the last start."""
     empty = F.array().cast("array<double>")
-    return F.aggregate(sorted_values, empty, lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) > gap), F.array_append(a, x)).otherwise(a))
+    fold = lambda g: F.aggregate(sorted_values, empty, lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) > g), F.array_append(a, x)).otherwise(a))
+    return let(gap, fold) if isinstance(gap, Column) else fold(gap)
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.try_element_at(F.transform(F.array(value), f), F.lit(1))
 
 
 def adaptive_gap(sorted_values: Column, share: float = 0.70) -> Column:
@@ -128,25 +144,27 @@ def runs(rows: DataFrame, keys: list[str], order: str, flag: Column) -> DataFram
     return rows.withColumn("__n", F.row_number().over(w)).where(flag).withColumn("run", F.col("__n") - F.row_number().over(w)).drop("__n")
 
 
-def form_columns(words: DataFrame, page_width: float = 612.0) -> DataFrame:
-    """A row per line of pages that look like forms: words, columns of the page, is_row (a table row)."""
-    found = lines(words, y_form(F.col("top")))
+def form_columns(words: DataFrame) -> DataFrame:
+    """A row per line of pages that look like forms: words, columns of the page, is_row (a table row).
+
+    The columns of a page are found once, in one row per page, and meet its lines again."""
+    found = lines(with_width(words), y_form(F.col("top")), "width")
     xs = F.transform("words", lambda w: w["x0"])
-    text = line_text()
-    width = F.try_element_at("words", F.lit(-1))["x1"] - F.try_element_at("words", F.lit(1))["x0"]
-    found = found.withColumn("groups", clustered(F.sort_array(xs), 50.0)).withColumn("text", text)
-    found = found.withColumn("is_paragraph", (width > page_width * 0.55) & (F.length("text") > 60))
-    found = found.withColumn("numbered", F.trim(F.try_element_at("words", F.lit(1))["text"]).rlike(r"^\.\d+$"))
-    w = Window.partitionBy(*PAGE)
-    mine = F.when((F.size("groups") >= 3) & ~F.col("is_paragraph"), F.col("groups"))
-    found = found.withColumn("xs", F.sort_array(F.flatten(F.collect_list(mine).over(w))))
-    found = found.withColumn("columns", clustered(F.col("xs"), adaptive_gap(F.col("xs"))))
+    wide = F.try_element_at("words", F.lit(-1))["x1"] - F.try_element_at("words", F.lit(1))["x0"]
+    found = found.withColumn("text", line_text())
+    found = found.withColumn("is_paragraph", (wide > F.col("width") * 0.55) & (F.length("text") > 60))
+    groups = clustered(F.sort_array(xs), 50.0)
+    mine = F.when(~F.col("is_paragraph") & (F.size("words") >= 3), let(groups, lambda g: F.when(F.size(g) >= 3, g)))
+    of_pages = found.groupBy(*PAGE).agg(F.sort_array(F.flatten(F.collect_list(mine))).alias("xs"), F.max("width").alias("page_width")).where(F.size("xs") > 0)
+    # An exploded array of one: what is below it is computed once.
+    of_pages = of_pages.select(*PAGE, "page_width", F.explode(F.array(clustered(F.col("xs"), adaptive_gap(F.col("xs"))))).alias("columns"))
     n, span = F.size("columns"), F.try_element_at("columns", F.lit(-1)) - F.try_element_at("columns", F.lit(1))
-    fits = (F.size("xs") > 0) & (n > 1)
-    found = found.where(fits).where((span / n >= 30) & (n / (span / 72) <= 10) & (n <= F.greatest(F.lit(15), F.lit(int(20 * page_width / 612)))))
+    of_pages = of_pages.where(n > 1).where((span / n >= 30) & (n / (span / 72) <= 10) & (n <= F.greatest(F.lit(15), F.floor(F.lit(20) * F.col("page_width") / WIDTH))))
+    found = found.drop("width").join(of_pages, list(PAGE))
+    numbered = F.trim(F.try_element_at("words", F.lit(1))["text"]).rlike(r"^\.\d+$")
     on = F.array_distinct(F.filter(F.transform("words", lambda x: aligned_with(x["x0"], F.col("columns"))), lambda i: i.isNotNull()))
-    found = found.withColumn("is_row", ~F.col("is_paragraph") & ~F.col("numbered") & (F.size(on) >= 2))
-    return found.withColumn("row_share", F.avg(F.col("is_row").cast("double")).over(w)).where("row_share >= 0.2").select(*PAGE, "y", "words", "text", "columns", "is_row")
+    found = found.select(*PAGE, "y", "words", "text", "columns", F.explode(F.array(~F.col("is_paragraph") & ~numbered & (F.size(on) >= 2))).alias("is_row"))
+    return found.withColumn("row_share", F.avg(F.col("is_row").cast("double")).over(Window.partitionBy(*PAGE))).where("row_share >= 0.2").drop("row_share")
 
 
 def cells(words: Column, starts: Column) -> Column:
@@ -160,24 +178,24 @@ def padded_row(row: Column, widths: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(F.zip_with(row, widths, pad), " | "), F.lit(" |"))
 
 
-def form_tables(words: DataFrame, page_width: float = 612.0, least_rows: int = 3) -> DataFrame:
+def form_tables(words: DataFrame, least_rows: int = 3) -> DataFrame:
     """Pages (doc_id, page, text) of forms, their table regions as pipe tables; pages whose longest run of table lines is
-    below `least_rows` are left out."""
+    below `least_rows` are left out. A region is one row while its widths are found and it is rendered."""
     w = Window.partitionBy(*PAGE).orderBy("y")
-    found = form_columns(words, page_width).withColumn("cells", F.when(F.col("is_row"), cells(F.col("words"), F.col("columns"))))
-    found = found.withColumn("n", F.row_number().over(w)).withColumn("m", F.sum(F.col("is_row").cast("int")).over(w))
-    found = found.withColumn("region", F.when(F.col("is_row"), F.col("n") - F.col("m")))
-    r = Window.partitionBy(*PAGE, "region")
-    size = F.col("columns")
-    wide = F.collect_list("cells").over(r)
-    widths = F.transform(F.sequence(F.lit(0), F.size(size) - 1), lambda k: F.greatest(F.lit(3), F.array_max(F.transform(wide, lambda row: F.length(F.get(row, k))))))
-    found = found.withColumn("widths", F.when(F.col("is_row"), widths)).withColumn("first", F.row_number().over(r.orderBy("y")) == 1).withColumn("run", F.when(F.col("is_row"), F.count(F.lit(1)).over(r)).otherwise(0))
+    found = form_columns(words).withColumn("n", F.row_number().over(w)).withColumn("m", F.sum(F.col("is_row").cast("int")).over(w))
+    row = F.struct("y", cells(F.col("words"), F.col("columns")).alias("cells"))
+    rows = F.transform(F.sort_array(F.collect_list(row)), lambda r: r["cells"])
+    regions = found.where("is_row").groupBy(*PAGE, (F.col("n") - F.col("m")).alias("region")).agg(F.min("y").alias("y"), rows.alias("rows"))
+    widest = lambda k: F.greatest(F.lit(3), F.array_max(F.transform("rows", lambda r: F.length(F.get(r, k)))))
+    regions = regions.select(*PAGE, "y", "rows", F.explode(F.array(F.transform(F.sequence(F.lit(0), F.size(F.get("rows", F.lit(0))) - 1), widest))).alias("widths"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform("widths", lambda n: F.repeat(F.lit("-"), n)), " | "), F.lit(" |"))
-    row = padded_row(F.col("cells"), F.col("widths"))
-    out = F.when(~F.col("is_row"), F.col("text")).when(F.col("first"), F.concat(row, F.lit("\n"), rule)).otherwise(row)
+    shown = F.transform("rows", lambda r: padded_row(r, F.col("widths")))
+    n = F.size("rows")
+    table = F.array_join(F.concat(F.slice(shown, 1, 1), F.array(rule), F.slice(shown, F.lit(2), F.greatest(n - 1, F.lit(0)))), "\n")
     # The rule under the head cuts the head off from the rows below it.
-    longest = F.max(F.when(F.col("run") > 1, F.col("run") - 1).otherwise(F.col("run")))
-    page = found.select(*PAGE, "y", "run", out.alias("text")).groupBy(*PAGE).agg(longest.alias("rows"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "text"))), lambda s: s["text"]), "\n").alias("text"))
+    tables = regions.select(*PAGE, "y", F.when(n > 1, n - 1).otherwise(n).alias("run"), table.alias("text"))
+    others = found.where("NOT is_row").select(*PAGE, "y", F.lit(0).alias("run"), "text")
+    page = tables.unionByName(others).groupBy(*PAGE).agg(F.max("run").alias("rows"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "text"))), lambda s: s["text"]), "\n").alias("text"))
     return page.where(F.col("rows") >= least_rows).select(*PAGE, "text")
 
 
@@ -210,14 +228,15 @@ def joined_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page", text
     return pages.groupBy(doc).agg(F.count(F.lit(1)).alias("page_count"), X.collapsed(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n")).alias("markdown"))
 
 
-def pdf_markdown(words: DataFrame, pages: DataFrame, crop: bool = True, page_width: float = 612.0) -> DataFrame:
+def pdf_markdown(words: DataFrame, pages: DataFrame, crop: bool = True, right: float = 30.0, top: float = 140.0) -> DataFrame:
     """Words to documents: (doc_id, page_count, markdown, garbage). pages (doc_id, page) also names pages without words."""
-    used = cropped(words, page_width) if crop else words
+    words = with_width(words)
+    used = cropped(words, right, top) if crop else words
     body = body_size(words)
-    kinds = classified(used, page_width)
+    kinds = classified(used)
     columns = joined_lines(prose(in_strips(used, kinds), body, "strip"), "strip")
     rest = used.join(kinds.where("layout = 'prose_multi'"), list(PAGE), "left_anti")
-    forms = form_tables(rest, page_width)
+    forms = form_tables(rest)
     plain = joined_lines(prose(rest.join(forms, list(PAGE), "left_anti"), body))
     found = pages.join(columns.unionByName(forms).unionByName(plain), list(PAGE), "left").withColumn("text", F.coalesce("text", F.lit("")))
     raw = found.groupBy("doc_id").agg(X.garbage_ratio(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda r: r["text"]), "\n")).alias("garbage"))

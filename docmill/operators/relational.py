@@ -131,7 +131,7 @@ def sampled(files: DataFrame, per_group: int, group: str = "ext", order: str = "
 
 
 def report(runs: DataFrame, errors: int = 3) -> DataFrame:
-    """Per extension and in all (ext null): files, successes, mean time, parsers and how often, and the first errors.
+    """Per extension and in all (ext null): files, successes, mean time, readers and how often, and the first errors.
 
     runs: (seq, ext, ok, ms, parser, error). Counts are summed before they meet; of errors, tasks keep the first few."""
     base = runs.rollup("ext").agg(F.grouping("ext").alias("whole"), F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("ok"), F.round(F.avg("ms"), 4).alias("avg_ms"))
@@ -139,12 +139,12 @@ def report(runs: DataFrame, errors: int = 3) -> DataFrame:
     by_ext = counts.where("g = 0").select("ext", F.lit(0).alias("whole"), "parser", "n")
     in_all = runs.groupBy("parser").agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("ext"), F.lit(1).alias("whole"), "parser", "n")
     shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("parser", "n"))), lambda r: F.concat(r["parser"], F.lit("="), r["n"].cast("string"))), ",")
-    parsers = by_ext.unionByName(in_all).groupBy("ext", "whole").agg(shown.alias("parsers"))
+    readers = by_ext.unionByName(in_all).groupBy("ext", "whole").agg(shown.alias("readers"))
     failed = runs.where(~F.col("ok"))
     first = lambda rows, *by: rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("seq"))).where(F.col("r") <= errors)
     some = first(failed.withColumn("whole", F.lit(0)), "ext", "whole").select("ext", "whole", "seq", "error")
     top = failed.orderBy("seq").limit(errors).select(F.lit(None).cast("string").alias("ext"), F.lit(1).alias("whole"), "seq", "error")
     listed = some.unionByName(top).groupBy("ext", "whole").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "error"))), lambda r: r["error"]), ";").alias("errors"))
-    base, parsers, listed = (d.withColumn("__k", F.coalesce("ext", F.lit(""))) for d in (base, parsers, listed))
+    base, readers, listed = (d.withColumn("__k", F.coalesce("ext", F.lit(""))) for d in (base, readers, listed))
     keys = ["__k", "whole"]
-    return base.join(parsers.drop("ext"), keys, "left").join(listed.drop("ext"), keys, "left").select("ext", "n", "ok", "avg_ms", "parsers", F.coalesce("errors", F.lit("")).alias("errors"))
+    return base.join(readers.drop("ext"), keys, "left").join(listed.drop("ext"), keys, "left").select("ext", "n", "ok", "avg_ms", "readers", F.coalesce("errors", F.lit("")).alias("errors"))

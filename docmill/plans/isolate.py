@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import fcntl
 import multiprocessing
+import os
+import tempfile
+import time
 
 
 def _serve(pipe, function) -> None:
@@ -47,3 +52,26 @@ class Child:
         except (EOFError, OSError) as e:
             self.stop()
             return {"error_kind": "failed", "error": f"the reader's process died: {type(e).__name__}"}
+
+
+@contextlib.contextmanager
+def slot(most: int):
+    """One of `most` places on this machine, waited for where all are taken; the lock goes with the process that holds it."""
+    if most <= 0:
+        yield
+        return
+    names = [os.path.join(tempfile.gettempdir(), f"docmill-slot-{os.getuid()}-{k}") for k in range(most)]
+    while True:
+        for name in names:
+            f = os.open(name, os.O_CREAT | os.O_RDWR, 0o600)
+            try:
+                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            except OSError:
+                os.close(f)
+                continue
+            try:
+                yield
+            finally:
+                os.close(f)
+            return
+        time.sleep(0.01)

@@ -16,7 +16,7 @@ from docmill.functions import language as L
 from docmill.functions import text as X
 from docmill.operators import layout as G
 from docmill.operators import relational as R
-from docmill.plans.store import written
+from docmill.plans.store import outside, written
 from docmill.sources import files as S
 
 _WORD = T.StructType([f for f in schema.WORDS.fields if f.name != "doc_id"])
@@ -24,7 +24,7 @@ _MESSAGE = T.StructType([T.StructField("index", T.IntegerType()), T.StructField(
 _PDF = T.StructType([T.StructField(x, T.StringType()) for x in ("created", "modified", "creator")] + [T.StructField("width", T.DoubleType())])
 _IMAGE = T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("sha1", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("text", T.StringType())])
 READ = T.StructType(
-    [T.StructField("doc_id", T.LongType()), *schema.PARSED.fields, T.StructField("words", T.ArrayType(_WORD)), T.StructField("messages", T.ArrayType(_MESSAGE)), T.StructField("pdf", _PDF), T.StructField("images", T.ArrayType(_IMAGE)), T.StructField("engine", T.StringType())]
+    [T.StructField("doc_id", T.StringType()), *schema.PARSED.fields, T.StructField("words", T.ArrayType(_WORD)), T.StructField("messages", T.ArrayType(_MESSAGE)), T.StructField("pdf", _PDF), T.StructField("images", T.ArrayType(_IMAGE)), T.StructField("engine", T.StringType())]
 )
 _LIGHT = ("text", "markdown")
 
@@ -64,8 +64,9 @@ def recognised(images: list[tuple[str, bytes]], ocr) -> list[dict]:
     return out
 
 
-def read(files: DataFrame, settings: Settings, structured: bool, isolated: bool, ocr=None) -> DataFrame:
-    """READ rows of (doc_id, parser, read_as, ext, content)."""
+def read(files: DataFrame, settings: Settings, structured: bool, ocr=None) -> DataFrame:
+    """READ rows of (doc_id, parser, ext, heavy, content). Heavy ones are read in a child process that can be killed, as many at a
+    time on a machine as the settings allow; others are read at once."""
     extra = dict(registry.KERNELS)
 
     def one(parser, ext, data):
@@ -82,20 +83,23 @@ def read(files: DataFrame, settings: Settings, structured: bool, isolated: bool,
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        from docmill.plans.isolate import Child
+        from docmill.plans.isolate import Child, slot
 
         want = to_arrow_schema(READ)
-        child = Child(one, settings.worker_timeout_s) if isolated else None
+        child = Child(one, settings.worker_timeout_s)
         for batch in batches:
             for i in range(batch.num_rows):
-                d, parser, ext, data = (batch.column(k)[i].as_py() for k in range(4))
-                found = {**(child or one)(parser, ext, data or b""), "doc_id": d}
+                d, parser, ext, heavy, data = (batch.column(k)[i].as_py() for k in range(5))
+                if heavy:
+                    with slot(settings.max_concurrent_heavy):
+                        found = {**child(parser, ext, data or b""), "doc_id": d}
+                else:
+                    found = {**one(parser, ext, data or b""), "doc_id": d}
                 found["parser"] = found.get("parser") or parser
                 yield pa.RecordBatch.from_arrays([pa.array([_shaped(found.get(f.name), f.dataType)], w.type) for f, w in zip(READ.fields, want, strict=True)], schema=want)
-        if child is not None:
-            child.stop()
+        child.stop()
 
-    return files.select("doc_id", "parser", "ext", "content").mapInArrow(run, READ)
+    return files.select("doc_id", "parser", "ext", "heavy", "content").mapInArrow(run, READ)
 
 
 def _metadata(**given: Column) -> Column:
@@ -122,7 +126,7 @@ def _pdfs(got: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
     ok = got.where("parser = 'pdf' AND error_kind IS NULL")
     words = ok.select("doc_id", F.explode("words").alias("w")).select("doc_id", "w.*")
     pages = ok.where("metadata.page_count > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("metadata.page_count"))).alias("page"))
-    laid = G.pdf_markdown(words, pages)
+    laid = G.pdf_markdown(words, pages, right=settings.pdf_crop_right, top=settings.pdf_crop_top)
     j = ok.drop("markdown").join(laid, "doc_id", "left").join(sizes.select("doc_id", "length"), "doc_id")
     markdown = F.coalesce("markdown", F.lit(""))
     needs = X.needs_ocr(markdown, F.col("metadata.page_count"), F.col("pdf.creator"), F.col("length"), settings.ocr_min_chars_per_page, settings.ocr_min_chars_per_heavy_page, settings.heavy_bytes_per_page)
@@ -156,10 +160,10 @@ def _mailboxes(got: DataFrame, names: DataFrame, settings: Settings) -> DataFram
     return j.select("doc_id", "parser", F.concat(head, "body").alias("markdown"), structured.alias("structured"), _metadata(message_count=F.col("kept")).alias("metadata"), "stats", F.when(empty, "invalid_mbox").alias("error_kind"), F.when(empty, "no message within the cap").alias("error"))
 
 
-def _described(got: DataFrame, names: DataFrame) -> DataFrame:
+def _described(got: DataFrame, names: DataFrame, settings: Settings) -> DataFrame:
     """Formats whose kernel gives all but a rendering: mail, images, embedded images."""
     mail = F.col("structured.mail")
-    section = R.image_section(R.embedded_images(got.where("images IS NOT NULL").select("doc_id", F.explode("images").alias("x")).select("doc_id", "x.*"), "doc_id", "seq"), "doc_id", "seq")
+    section = R.image_section(R.embedded_images(got.where("images IS NOT NULL").select("doc_id", F.explode("images").alias("x")).select("doc_id", "x.*"), "doc_id", "seq", settings.ocr_min_pixels, settings.ocr_max_images), "doc_id", "seq")
     j = got.join(section, "doc_id", "left").join(names.select("doc_id", "filename"), "doc_id")
     said = F.col("structured.text")
     picture = F.concat(F.lit("# Image: "), "filename", F.lit("\n\n"), F.when(F.length(said) > 0, said).otherwise("(no text detected)"))
@@ -183,25 +187,25 @@ def convert(files: DataFrame, mode: str | None = None, settings: Settings | None
     f = registry.routed(f)
     limit = settings.max_file_mb << 20
     refused = F.when(F.col("filename") == "", "bad_request").when(F.lit(limit > 0) & (F.col("length") > limit), "too_large").when(F.col("parser").isNull(), "unsupported").when((F.col("parser") == "mbox") & ~X.mbox_signed(F.col("content")), "invalid_mbox")
-    f = f.withColumn("error_kind", refused)
-    bad = f.where("error_kind IS NOT NULL").select("doc_id", "error_kind")
+    # What is known of a file without reading it is written once; everything below but the readers goes by that.
+    f = f.withColumn("error_kind", refused).withColumn("zipped", F.hex(F.substring("content", 1, 4)) == "504B0304")
+    names = written(f.select("doc_id", "filename", "ext", "length", "parser", "error_kind", "zipped"), "names")
+    bad = names.where("error_kind IS NOT NULL").select("doc_id", "error_kind")
     good = f.where("error_kind IS NULL").drop("error_kind")
-    zipped = good.where(F.hex(F.substring("content", 1, 4)) == "504B0304")
-    verdicts = R.archive_verdicts(S.zip_entries(zipped), "doc_id", settings.zip_max_entries, settings.zip_max_total_mb << 20, settings.zip_max_ratio).where("reason IS NOT NULL").select("doc_id", F.lit("decompression_bomb").alias("error_kind"))
-    unsafe = verdicts
+    unsafe = written(R.archive_verdicts(S.zip_entries(good.where("zipped")), "doc_id", settings.zip_max_entries, settings.zip_max_total_mb << 20, settings.zip_max_ratio).where("reason IS NOT NULL").select("doc_id", F.lit("decompression_bomb").alias("error_kind")), "verdicts")
+    good = outside(good, "doc_id", unsafe)
     if settings.scan_command:
-        unsafe = unsafe.unionByName(S.scanned(good, settings.scan_command, settings.scan_timeout_s).join(verdicts, "doc_id", "left_anti"))
-    good = good.join(unsafe, "doc_id", "left_anti")
+        unsafe_too = written(S.scanned(good, settings.scan_command, settings.scan_timeout_s), "scanned")
+        good = outside(good, "doc_id", unsafe_too)
+        unsafe = unsafe.unionByName(unsafe_too)
     heavy = F.col("heavy") | F.lit(settings.ocr_embedded and ocr is not None) & (F.col("parser") == "docx")
-    others = good.where(~F.col("parser").isin(*_LIGHT))
-    at_once = max(settings.max_concurrent_heavy, files.sparkSession.sparkContext.defaultParallelism)
     # Each file is read once, whatever the number of branches below.
-    got = written(read(others.where(~heavy), settings, structured, False, ocr).unionByName(read(others.where(heavy).repartition(at_once), settings, structured, True, ocr)), "read")
-    plain = _described(got.where("NOT (parser IN ('pdf', 'mbox') AND error_kind IS NULL)"), good)
-    parsed = _light(good.where(F.col("parser").isin(*_LIGHT))).unionByName(plain).unionByName(_pdfs(got, good, settings)).unionByName(_mailboxes(got, good, settings))
+    got = written(read(good.where(~F.col("parser").isin(*_LIGHT)).withColumn("heavy", heavy), settings, structured, ocr), "read")
+    plain = _described(got.where("NOT (parser IN ('pdf', 'mbox') AND error_kind IS NULL)"), names, settings)
+    parsed = _light(good.where(F.col("parser").isin(*_LIGHT))).unionByName(plain).unionByName(_pdfs(got, names, settings)).unionByName(_mailboxes(got, names, settings))
     nothing = [F.lit(None).cast(x.dataType).alias(x.name) for x in schema.PARSED.fields if x.name != "error_kind"]
     failed = bad.unionByName(unsafe).select("doc_id", "error_kind", *nothing)
-    joined = f.select("doc_id", "filename", "ext", F.col("length").alias("bytes"), F.col("parser").alias("routed")).join(parsed.unionByName(failed.select(*_OUT)), "doc_id", "left")
+    joined = names.select("doc_id", "filename", "ext", F.col("length").alias("bytes"), F.col("parser").alias("routed")).join(parsed.unionByName(failed.select(*_OUT)), "doc_id", "left")
     kind = F.col("error_kind")
     ok = kind.isNull()
     text = X.normalised_markdown(F.col("markdown"))

@@ -31,4 +31,5 @@ STRUCTURED = _of(
 STATS = T.MapType(T.StringType(), T.LongType())
 #: What a kernel gives for one file.
 PARSED = _of(parser=T.StringType(), markdown=T.StringType(), structured=STRUCTURED, metadata=METADATA, stats=STATS, error_kind=T.StringType(), error=T.StringType())
-WORDS = _of(doc_id=T.LongType(), page=T.IntegerType(), seq=T.IntegerType(), text=T.StringType(), x0=T.DoubleType(), x1=T.DoubleType(), top=T.DoubleType(), size=T.DoubleType())
+#: width: of the page.
+WORDS = _of(doc_id=T.StringType(), page=T.IntegerType(), seq=T.IntegerType(), text=T.StringType(), x0=T.DoubleType(), x1=T.DoubleType(), top=T.DoubleType(), size=T.DoubleType(), width=T.DoubleType())

@@ -28,11 +28,11 @@ def stream(spark: SparkSession, path: str, per_trigger: int = 1000, glob: str |
 
 
 def named(files: DataFrame) -> DataFrame:
-    """With doc_id, filename and ext."""
-    return files.withColumn("doc_id", F.xxhash64("path")).withColumn("filename", X.basename(F.col("path"))).withColumn("ext", X.extension(F.col("filename")))
+    """With doc_id (128 bits of a hash of the path), filename and ext."""
+    return files.withColumn("doc_id", F.md5("path")).withColumn("filename", X.basename(F.col("path"))).withColumn("ext", X.extension(F.col("filename")))
 
 
-ENTRIES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("file_size", T.LongType()), T.StructField("compress_size", T.LongType())])
+ENTRIES = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("file_size", T.LongType()), T.StructField("compress_size", T.LongType())])
 
 
 def zip_entries(files: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def zip_entries(files: DataFrame) -> DataFrame:
 def scanned(files: DataFrame, command: str, timeout: int = 60) -> DataFrame:
     """(doc_id, error_kind) of files that an outside scanner does not pass: another exit code than 0, or no end in time. The
     file's path is the command's last argument; a scanner that is missing fails the job rather than passing files."""
-    schema = "doc_id long, error_kind string"
+    schema = "doc_id string, error_kind string"
 
     def run(batches):
         import pandas as pd

@@ -519,7 +519,7 @@ def _words(page: Page) -> list[dict]:
 
 
 def pdf_words(data: bytes) -> dict:
-    """{"words": rows of schema.WORDS without ids, "pages": n, "width": of the first page, "info": document information}."""
+    """{"words": rows of schema.WORDS without ids, each with its page's width, "pages": n, "width": of the first page, "info": document information}."""
     file = File(data)
     words, n, width = [], 0, 612.0
     for node, inherited in file.pages():
@@ -531,5 +531,5 @@ def pdf_words(data: bytes) -> dict:
         parts = [file.get(c) for c in contents] if isinstance(contents, list) else [contents]
         body = b"\n".join(unpacked(p, file.get) for p in parts if isinstance(p, Stream))
         _draw(file, body, file.get(inherited.get("Resources")) or {}, page, (1, 0, 0, 1, -box[0], -box[1]))
-        words += [{"page": n, "seq": i, **w} for i, w in enumerate(_words(page))]
+        words += [{"page": n, "seq": i, **w, "width": float(page.width)} for i, w in enumerate(_words(page))]
     return {"words": words, "pages": n, "width": width, "info": file.info()}

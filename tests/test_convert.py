@@ -50,7 +50,7 @@ def test_failures(results, name, status, kind):
     ("k.md", "markdown", ["**bold**"]),
     ("l.html", "html", ["# Title", "Hello **world**", "- one\n- two"]),
     ("m.rtf", "rtf", ["hello world\n\ncafé €"]),
-    ("n.json", "json", ['```json\n{\n  "project": "parsers"']),
+    ("n.json", "json", ['```json\n{\n  "name": "mill"']),
     ("o.json", "json", ["```\n{not json\n```"]),
     ("p.pdf", "pdf", ["## Page 1", "## Page 2", "This sentence number 29 carries"]),
     ("q.odt", "docx", ["# Open Title", "Open paragraph.", "- item"]),
@@ -75,7 +75,7 @@ def test_structured(results):
     assert s["d.csv"].columns == ["name", "score"] and s["d.csv"].rows[0] == ["alice", "90"] and s["d.csv"].truncated is False
     assert [x.name for x in s["c.xlsx"].sheets] == ["Sales"] and s["c.xlsx"].sheets[0].rows[3] == ["", "58"]
     assert s["b.pptx"].slides[0].notes == "say hello"
-    assert json.loads(s["n.json"].json)["project"] == "parsers" and s["o.json"].raw == "{not json"
+    assert json.loads(s["n.json"].json)["name"] == "mill" and s["o.json"].raw == "{not json"
     assert [p.page for p in s["p.pdf"].pages] == [1, 2] and "number 15 " in s["p.pdf"].pages[1].markdown
     assert [m["index"] for m in s["h.mbox"].messages] == [1, 2] and s["h.mbox"].messages[0].mail.subject == "Note 1"
     assert s["f.eml"].mail.attachments[0].size == 3000
