@@ -19,12 +19,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import in_blocks, overlaps
-from .common import freed, marked, written
+from .common import freed, likely_among, marked, written
 from .components import connected_components
 
 SLOT_BITS, RANGE_BITS = 23, 6
@@ -33,9 +33,9 @@ SALTS = 16
 SPLIT = 64
 #: Occurrences from which a token's rows are dealt among several tasks.
 HOT = 1 << 17
-#: Hashed places for the ids of documents whose lines are compared, and for tokens that are dealt out again; more of them only
-#: mean that more texts are read again, and more tokens dealt out.
-ID_BITS, TOKEN_BITS = 23, 24
+#: Hashed places for the lines that are compared by their whole sets, and for tokens that are dealt out again; more of them only
+#: mean that more lines are read again, and more tokens dealt out.
+ID_BITS, TOKEN_BITS = 25, 24
 #: Classes whose prefixes one bucket has, about, and lines that are compared as one block.
 BUCKET, BLOCK = 40_000, 256
 #: Bits of the number of a text in the number of a line: an id that comes with several texts has lines of each.
@@ -43,54 +43,66 @@ TAG_BITS = 32
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_ALPHABET = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_ALPHABET[65:91] = _ALPHABET[97:123]
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: By length: which of the first and of the second 8 bytes belong to a word.
+_FIRST, _SECOND = (np.array([(1 << 8 * min(max(n - k, 0), 8)) - 1 for n in range(17)], np.uint64) for k in (0, 8))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64."""
-    size = 1 << max(20, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        _POWERS[size] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b)]) for b in (_BASE, _INVERSE))
-    return _POWERS[size]
+def _joined(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts with a newline after each and 16 more bytes, the bytes before these, where newlines are, newlines before each text)."""
+    raw = b"\n".join([t or b"" for t in texts]) + b"\n" + bytes(16)
+    a = np.frombuffer(raw, np.uint8, len(raw) - 16)
+    newline = np.flatnonzero(a == 10)
+    first = np.cumsum([0, *[len(t or b"") + 1 for t in texts[:-1]]])
+    return raw, a, newline, np.searchsorted(newline, first)
 
 
-def tokens(texts: list[str | None]):
-    """(hashes of all words, line of each, document and number of each line) of lines with words.
+def tokens(texts: list[bytes | None]):
+    """(hashes of all words, line of each, text and number of each line) of lines with words.
 
-    A word's hash is a polynomial in a base over random numbers for its bytes, read off running sums of the whole batch."""
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    powers, inverse = _powers(len(raw))
-    space = _SPACES[raw]
+    A word's hash is a mix of its first 16 bytes, read 8 at a time, and its length; longer ones are hashed one by one."""
+    import xxhash
+
+    raw, a, newline, before = _joined(texts)
+    space = _SPACES[a]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.r_[0, edge]
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    sums = np.cumsum(np.where(space, np.uint64(0), _ALPHABET[raw] * powers[: len(raw)]))
-    h = (sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))) * inverse[start]
-    h ^= (end - start).astype(np.uint64) * _BASE
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    low = np.concatenate([_LOWER[a], np.zeros(16, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(low[:8].view(np.uint64), (len(low) - 7,), (1,))
+    n = end - start
+    size = np.minimum(n, 16)
+    h = (eights[start] & _FIRST[size]) * _BASE
+    h ^= h >> np.uint64(32)
+    h = (h ^ (eights[start + 8] & _SECOND[size])) * _MIX
     h ^= h >> np.uint64(29)
-    newline = np.cumsum(raw == 10)
-    lines, line = np.unique(newline[start], return_inverse=True)  # newlines before the word
-    first = np.cumsum([0, *[len(p) + 1 for p in parts[:-1]]])
-    docs = np.searchsorted(first, start[np.searchsorted(newline[start], lines)], "right") - 1
-    return h, line, docs, (lines - np.r_[0, newline][first][docs]).astype(np.int32)
+    h = (h + n.astype(np.uint64)) * _BASE
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(n > 16):
+        h[k] = xxhash.xxh3_64_intdigest(low[start[k] : end[k]].tobytes())
+    words = np.diff(np.r_[0, np.searchsorted(start, newline)])
+    lines = np.flatnonzero(words)
+    docs = np.searchsorted(before, lines, "right") - 1
+    return h, np.repeat(np.arange(len(lines)), words[lines]), docs, (lines - before[docs]).astype(np.int32)
+
+
+def _slots(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    h = (doc.view(np.uint64) * _BASE ^ line.view(np.uint64) * _MIX) * _BASE
+    return ((h ^ (h >> np.uint64(31))) * _MIX >> np.uint64(64 - ID_BITS)).astype(np.int64)
 
 
 def _batches(batches, column: int, size: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             part = batch.slice(at, size)
-            yield part, part.column(column).to_pylist()
+            yield part, part.column(column).cast("binary").to_pylist()
 
 
 COUNTS = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("salt", T.IntegerType()), T.StructField("counts", T.BinaryType())])
@@ -142,20 +154,29 @@ LINES = T.StructType([
 
 
 def sorted_sets(h: np.ndarray, line: np.ndarray, counts: np.ndarray):
-    """Distinct tokens of each line in the global order: (tokens, counters, line of each)."""
+    """Distinct tokens of each line in the global order: (tokens, counters, line of each).
+
+    The order is by eighths of the counter's logarithm, then by the token's hash."""
     c = counts[(h >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)]
-    key = np.minimum(c, 0xFFFFFF).astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
-    order = np.lexsort((key, line))
+    rare = _RARITY[np.minimum(c, 255)]
+    many = np.flatnonzero(c > 255)
+    rare[many] = (np.log2(c[many]) * 8).astype(np.uint64)
+    bits = int(line[-1]).bit_length()
+    key = line.astype(np.uint64) << np.uint64(64 - bits) | rare << np.uint64(55 - bits) | h >> np.uint64(9 + bits) if bits else rare << np.uint64(55) | h >> np.uint64(9)
+    order = np.argsort(key)
     a, b = key[order], h[order]
     same = a[1:] == a[:-1]
     if (b[1:][same] != b[:-1][same]).any():
-        order = np.lexsort((h, key, line))
+        order = np.lexsort((h, rare, line))
     h, c, line = h[order], c[order], line[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
     return h[new], c[new], line[new]
 
 
+_RARITY = (np.log2(np.maximum(np.arange(256), 1)) * 8).astype(np.uint64)
+
+
 def _numbered(tags, docs_: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (numbers.astype(np.int64) << TAG_BITS) | tags.to_numpy(zero_copy_only=False)[docs_]
 
@@ -382,39 +403,48 @@ def _has(bitmap: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def _reread(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc, line, set) of the given (doc, line). Texts of other documents are skipped where they are read, by a bitmap of hashed
-    ids whose size is fixed."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS))
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(lines.select(slot("doc").alias("s")), ID_BITS))
+    """(doc, line, set) of the given (doc, line). Texts of other documents are skipped where they are read, their other lines by a
+    bitmap of hashed numbers whose size is fixed."""
+    def hashed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))))], names=["s"])
+
+    lines = written(lines.distinct(), "asked")
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(lines.mapInArrow(hashed, "s long"), ID_BITS))
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("line", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
 
-        table = sent.value
-        for batch in batches:
-            part = batch.filter(pa.array(_has(table, batch.column(3).to_numpy(zero_copy_only=False))))
-            for some, texts in _batches([part], 1):
-                h, line, docs_, numbers = tokens(texts)
-                if len(h):
-                    order = np.lexsort((h, line))
-                    h, line = h[order], line[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-                    h, line = h[new], line[new]
-                    first = np.searchsorted(line, np.arange(len(numbers) + 1)) * 8
-                    data = h.tobytes()
-                    sets = [data[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(docs_)), pa.array(_numbered(some.column(2), docs_, numbers)), pa.array(sets, pa.binary())], names=schema.names)
-
-    read = docs.select("doc_id", "text", "tag", slot("doc_id").alias("s")).mapInArrow(run, schema)
-    return read.join(lines, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
+        for part, texts in ((p, t) for b in batches for p, t in _batches([b], 1)):
+            raw, _, newline, before = _joined(texts)
+            of = np.searchsorted(before, np.arange(len(newline)), "right") - 1
+            ids = part.column(0).to_numpy(zero_copy_only=False)[of]
+            numbers = _numbered(part.column(2), of, np.arange(len(newline)) - before[of])
+            keep = np.flatnonzero(_has(sent.value, _slots(ids, numbers)))
+            starts = np.r_[0, newline[:-1] + 1]
+            h, line, at, _ = tokens([raw[a:b] for a, b in zip(starts[keep].tolist(), newline[keep].tolist(), strict=True)])
+            if len(h):
+                order = np.lexsort((h, line))
+                h, line = h[order], line[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+                h, line = h[new], line[new]
+                first = np.searchsorted(line, np.arange(len(at) + 1)) * 8
+                data = h.tobytes()
+                sets = [data[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep[at]]), pa.array(numbers[keep[at]]), pa.array(sets, pa.binary())], names=schema.names)
+
+    some = likely_among(docs, F.col("doc_id"), written(lines.select("doc").distinct(), "askeddocs"))
+    return some.select("doc_id", "text", "tag").mapInArrow(run, schema).join(lines, ["doc", "line"], "left_semi")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets have 100 * intersection >= percent * union."""
     a, b = (pairs.select(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line")) for x in "ab")
-    sets = written(_reread(docs, a.unionByName(b).distinct()), "linesets")
+    sets = written(_reread(docs, a.unionByName(b)), "linesets")
 
     def run(batches):
         import pyarrow as pa
@@ -483,14 +513,19 @@ def _gone_in_blocks(docs: DataFrame, clusters: DataFrame, asked: DataFrame, perc
 
 
 def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, tag): tag is 0, but for ids that come with several texts a number from 32 bits of a hash of the text."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    x = F.xxhash64(F.coalesce("text", F.lit("")))
-    several = own.where("doc_id IS NOT NULL").select("doc_id", x.alias("x")).groupBy("doc_id").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    several = written(several.where("a <> b").select("doc_id"), "several")
+    """(doc_id, text, tag) of rows with an id, equal rows once: tag is 0, but for ids that come more than once one more than a number
+    from 31 bits of a hash of the text."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    several = written(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
     if several.isEmpty():
         return own.withColumn("tag", F.lit(0).cast("long"))
-    return marked(own, F.col("doc_id"), several, "again").select("doc_id", "text", F.when(F.col("again"), F.pmod(x, F.lit(1 << TAG_BITS))).otherwise(F.lit(0)).cast("long").alias("tag"))
+    told = marked(own, F.col("doc_id"), several, "again")
+    hit = told.where("again").join(several.withColumn("known", F.lit(True)), "doc_id", "left").withColumn("tag", F.when(F.col("known"), _tag(F.col("text"))).otherwise(F.lit(0)).cast("long"))
+    return told.where("NOT again").select("doc_id", "text", F.lit(0).cast("long").alias("tag")).unionByName(written(hit.select("doc_id", "text", "tag").dropDuplicates(["doc_id", "tag"]), "tagged"))
+
+
+def _tag(text) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit((1 << 31) - 1)) + F.lit(1)
 
 
 def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -500,20 +535,32 @@ def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     an earlier one, by doc_id, line and tag, has a similar set (100 * intersection >= percent * union). Null texts have no lines;
     rows with a null id are left out; rows that repeat an id with the same text are one document; an id that comes with several
     texts has the lines of each, told apart by their tags (tagged())."""
-    return _groups(tagged(docs, id_col, text_col).where("doc_id IS NOT NULL"), percent, slot_bits, hot_from, block)
+    lines, several, gone = _found(tagged(docs, id_col, text_col), percent, slot_bits, hot_from, block)
+    known = gone.select(F.col("doc").alias("doc_id"), "line", F.lit(True).alias("like"))
+    firsts = several.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
+    out = lines.select("doc_id", "line", "class").join(firsts, "class", "left").join(known, ["doc_id", "line"], "left")
+    first = F.col("first_doc").isNull() | ((F.col("first_doc") == F.col("doc_id")) & (F.col("first_line") == F.col("line")))
+    number = lambda c: F.shiftright(c, TAG_BITS).cast("int")
+    return out.select("doc_id", _tag_of("line"), number("line").alias("line"), F.coalesce("first_doc", "doc_id").alias("first_doc"), number(F.coalesce("first_line", "line")).alias("first_line"), (first & F.col("like").isNull()).alias("kept"))
+
+
+def _tag_of(line: str) -> Column:
+    return F.col(line).bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag")
 
 
-def _groups(own: DataFrame, percent: int, slot_bits: int, hot_from: int, block: int) -> DataFrame:
+def _found(own: DataFrame, percent: int, slot_bits: int, hot_from: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, several, gone): all lines with their classes; the first line of each class that may have more; and those
+    first lines of classes, as (doc, line), that are similar to an earlier one."""
     spark = own.sparkSession
     counts = spark.sparkContext.broadcast(rarity(own, slot_bits))
     lines = written(described(own, counts, percent), "lines")
     # Most lines have a set of their own and are classes as they are; only others meet.
     again = lines.groupBy(F.xxhash64("class").alias("x")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
-    told = marked(lines, F.xxhash64("class"), written(again, "again"), "again")
+    lines = marked(lines, F.xxhash64("class"), written(again, "again"), "again")
     cols = ["doc", "line", "n", "s1", "s2", "prefix", "places"]
     held = F.min(F.struct("doc_id", "line", "n", "s1", "s2", "prefix", "places")).alias("f")
-    several = written(told.where("again").groupBy("class").agg(held).select("class", F.col("f.doc_id").alias("doc"), *[f"f.{c}" for c in cols[1:]]), "classes")
-    classes = told.where("NOT again").withColumnRenamed("doc_id", "doc").select(*cols).unionByName(several.select(*cols))
+    several = written(lines.where("again").groupBy("class").agg(held).select("class", F.col("f.doc_id").alias("doc"), *[f"f.{c}" for c in cols[1:]]), "classes")
+    classes = lines.where("NOT again").withColumnRenamed("doc_id", "doc").select(*cols).unionByName(several.select(*cols))
     freed(spark)
     # One good earlier line is enough: each class is first held against the one that looks most like it.
     first = written(candidates(classes.withColumn("asked", F.lit(True)), counts, percent, True, hot_from), "pairs")
@@ -522,47 +569,39 @@ def _groups(own: DataFrame, percent: int, slot_bits: int, hot_from: int, block:
     left = written(first.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).join(good, ["doc", "line"], "left_anti"), "leftlines")
     if not left.isEmpty():
         freed(spark)
-        # Only where that fails against all others that the filters leave; those that seem to be asked for cost time, not results.
-        asked = marked(classes, F.xxhash64("doc", "line"), written(left.select(F.xxhash64("doc", "line").alias("x")), "asked"), "asked")
-        token = asked.where("asked").select(F.explode("prefix").alias("t")).select(F.shiftrightunsigned("t", 32 - TOKEN_BITS).cast("long").alias("s"))
+        # Only where that fails against all others that the filters leave.
+        told = marked(classes, F.xxhash64("doc", "line"), written(left.select(F.xxhash64("doc", "line").alias("x")), "asked"), "asked")
+        hit = told.where("asked").drop("asked").join(left.withColumn("asked", F.lit(True)), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        hit = written(hit, "askedlines")
+        token = hit.where("asked").select(F.explode("prefix").alias("t")).select(F.shiftrightunsigned("t", 32 - TOKEN_BITS).cast("long").alias("s"))
         only = spark.sparkContext.broadcast(_bitmap(token, TOKEN_BITS))
-        pairs = written(candidates(asked, counts, percent, False, hot_from, only), "pairs")
+        pairs = written(candidates(told.where("NOT asked").unionByName(hit), counts, percent, False, hot_from, only), "pairs")
         node = lambda x: F.struct(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line"))
         roots = connected_components(pairs.select(node("a").alias("u"), node("b").alias("v")))
         clusters = roots.select("node", F.col("root").alias("cluster"))
         clusters = written(clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster").distinct()), "clusters")
         good = good.unionByName(_gone_in_blocks(own, clusters, left, percent, block))
-    gone = written(good.distinct(), "gone")
-    # Lines of classes with several rows follow the first; others are gone if they are among those found.
-    like = F.coalesce("like", F.lit(False))
-    known = gone.withColumn("like", F.lit(True))
-    special = several.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line")).join(known.withColumnsRenamed({"doc": "first_doc", "line": "first_line"}), ["first_doc", "first_line"], "left")
-    out = marked(lines.select("doc_id", "line", "class"), F.col("class"), several.select("class"), "again")
-    is_first = (F.col("first_doc") == F.col("doc_id")) & (F.col("first_line") == F.col("line"))
-    shared = out.where("again").join(special, "class", "left").select("doc_id", "line", F.coalesce("first_doc", "doc_id").alias("first_doc"), F.coalesce("first_line", "line").alias("first_line"), F.coalesce(is_first & ~like, F.lit(True)).alias("kept"), F.col("first_doc").isNull().alias("alone"))
-    alone = out.where("NOT again").unionByName(shared.where("alone").select("doc_id", "line", F.lit(None).cast("binary").alias("class"), F.lit(False).alias("again")))
-    alone = marked(alone.select("doc_id", "line"), F.xxhash64("doc_id", "line"), written(gone.select(F.xxhash64("doc", "line").alias("x")), "gonehash"), "hit")
-    hit = alone.where("hit").select("doc_id", "line").join(known.withColumnRenamed("doc", "doc_id"), ["doc_id", "line"], "left").select("doc_id", "line", (~like).alias("kept"))
-    alone = alone.where("NOT hit").select("doc_id", "line", F.lit(True).alias("kept")).unionByName(hit)
-    alone = alone.select("doc_id", "line", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), "kept")
-    out = shared.where("NOT alone").drop("alone").unionByName(alone)
-    number = lambda c: F.shiftright(c, TAG_BITS).cast("int").alias(c)
-    return out.select("doc_id", F.col("line").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag"), number("line"), "first_doc", number("first_line"), "kept")
+    return lines, several, written(good.distinct(), "gone")
 
 
 def line_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_lines (with words), n_removed, removed (numbers of its lines that go, from 0), tag.
 
-    An id is one document, or if it comes with several texts one for each text, told apart by tag (else 0); documents without lines
-    have zeros and an empty list; an id that is null is a row of its own with its lines counted and none removed. An empty
-    table gives an empty result."""
+    An id is one document, or if it comes with several texts one for each text, told apart by tag (else 0, or the one text's); documents
+    without lines have zeros and an empty list; an id that is null is a row of its own with its lines counted and none
+    removed. An empty table gives an empty result."""
     own = tagged(docs, id_col, text_col)
-    rows = _groups(own.where("doc_id IS NOT NULL"), percent, slot_bits, hot_from, block).distinct()
-    found = rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("line")))).alias("removed"))
-    ids = own.where("doc_id IS NOT NULL").select("doc_id", "tag").distinct()
-    out = ids.join(found, ["doc_id", "tag"], "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "tag").select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "tag")
-    lines = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"), F.lit(0).cast("long").alias("tag"))
+    lines, several, gone = _found(own, percent, slot_bits, hot_from, block)
+    n_lines = lines.groupBy("doc_id", _tag_of("line")).agg(F.count(F.lit(1)).alias("n_lines"))
+    # Lines that go: the first of a class if it is like an earlier one, and all others of a class.
+    firsts = several.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
+    others = lines.where("again").select("doc_id", "line", "class").join(firsts, "class").where("doc_id <> first_doc OR line <> first_line")
+    goes = gone.select(F.col("doc").alias("doc_id"), "line").unionByName(others.select("doc_id", "line"))
+    removed = goes.groupBy("doc_id", _tag_of("line")).agg(F.sort_array(F.collect_list(F.shiftright("line", TAG_BITS).cast("int"))).alias("removed"))
+    out = own.select("doc_id", "tag").join(n_lines, ["doc_id", "tag"], "left").join(removed, ["doc_id", "tag"], "left")
+    out = out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "tag").select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "tag")
+    words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), words.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"), F.lit(0).cast("long").alias("tag"))
     return out.unionByName(nameless)
 
 
@@ -570,7 +609,7 @@ def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     """docs with all their columns, the removed lines cut out of their texts; lines without words stay."""
     gone = line_dedup(docs, percent, id_col, text_col).where(F.size("removed") > 0).select(F.col("doc_id").alias("__gone_id"), "tag", F.col("removed").alias("__gone"))
     gone = gone.withColumnRenamed("tag", "__tag")
-    same = F.col("__tag").isin(0) | (F.pmod(F.xxhash64(F.coalesce(docs[text_col], F.lit(""))), F.lit(1 << TAG_BITS)) == F.col("__tag"))
+    same = F.col("__tag").isin(0) | (_tag(docs[text_col]) == F.col("__tag"))
     joined = docs.join(gone, (docs[id_col].cast("long") == gone["__gone_id"]) & same, "left")
     rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest)

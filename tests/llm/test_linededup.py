@@ -87,6 +87,8 @@ def test_blocks_and_ids_with_several_texts(spark):
     rows = [(1, "a b c d e"), (1, "f g h i j"), (1, "f g h i j"), (2, "a b c d e\nf g h i j"), (0, "f g h i j k")]
     got = sorted((r.doc_id, r.n_lines, r.removed, r.tag > 0) for r in linededup.line_dedup(frame(spark, rows)).collect())
     assert got == [(0, 1, [], False), (1, 1, [], True), (1, 1, [0], True), (2, 2, [0, 1], False)]
+    lines = {(r.doc_id, r.line, r.first_doc, r.kept) for r in linededup.line_groups(frame(spark, rows)).collect()}
+    assert lines == {(0, 0, 0, True), (1, 0, 1, True), (1, 0, 1, False), (2, 0, 1, False), (2, 1, 1, False)}
     assert sorted(r.text for r in linededup.without_lines(frame(spark, rows)).collect()) == ["", "", "", "a b c d e", "f g h i j k"]
 
 
@@ -114,11 +116,14 @@ def test_empty_table(spark):
     assert linededup.line_dedup(frame(spark, [])).collect() == []
 
 
-def test_documents_whose_hashed_id_is_zero(spark):
-    zero = 25317696
-    slots = spark.sql(f"SELECT pmod(xxhash64({zero}L), {1 << linededup.ID_BITS}L) AS s").first()
-    assert slots.s == 0
-    line = "one two three four five six seven eight nine ten"
-    rows = [(4, line + " eleven"), (zero, "other words\n" + line), (zero + 1, line + " twelve")]
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in linededup.line_dedup(frame(spark, rows)).collect()}
-    assert got == brute(rows) and got[zero] == (2, 1, [1])
+def test_bitmaps_keep_all_places(spark):
+    places = [0, 1, 7, 8, 32767, 32768, 40000, (1 << 20) - 1]
+    found = linededup._bitmap(spark.createDataFrame([(x,) for x in places], "s long"), 20)
+    assert np.flatnonzero(linededup._has(found, np.arange(1 << 20))).tolist() == places
+
+
+def test_words_are_told_apart():
+    texts = [b"one two  One\n\nthree", None, b"a" * 16 + b" " + b"a" * 17 + b" " + b"A" * 17 + b" " + b"a" * 18, b"x\n" + "é É".encode(), b"a\x00 a"]
+    h, line, docs, numbers = linededup.tokens(texts)
+    assert (docs.tolist(), numbers.tolist(), line.tolist()) == ([0, 0, 2, 3, 3, 4], [0, 2, 0, 0, 1, 0], [0, 0, 0, 1, 2, 2, 2, 2, 3, 4, 4, 5, 5])
+    assert h[0] == h[2] and h[5] == h[6] and len(set(h.tolist())) == 11
