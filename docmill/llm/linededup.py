@@ -9,9 +9,10 @@
    pair leaves a bucket it must pass the length filter, the positional filter (tokens
    left from the shared one on) and a parity filter: 128 parity bits of the tokens differ in no more places than the sets may.
 4. A line goes if an earlier one has a similar or the same set. Each class meets the earlier one whose parity bits differ least
-   from its own; they are compared by their whole sets. Only where that fails are all others that pass compared: the tokens of
-   such lines alone are dealt out again, a bucket returns a spanning forest of its pairs, and the clusters
-   that these join are compared in blocks, so that large groups of similar lines never give a row for every two.
+   from its own; they are compared by their whole sets. Only where that fails are the KEPT likeliest ones of each bucket compared, and
+   where a bucket had more of them all that pass: the tokens of such lines alone are dealt out again, a
+   bucket returns a spanning forest of its pairs, and the clusters that these join are compared in blocks, so that large
+   groups of similar lines never give a row for every two.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ HOT = 1 << 17
 #: mean that more lines are read again, and more tokens dealt out.
 ID_BITS, TOKEN_BITS = 25, 24
 #: Classes whose prefixes one bucket has, about, and lines that are compared as one block.
-BUCKET, BLOCK = 40_000, 256
+BUCKET, BLOCK = 12_000, 256
+#: Candidates of a line that a bucket returns besides saying whether there are more.
+KEPT = 8
 #: Bits of the number of a text in the number of a line: an id that comes with several texts has lines of each.
 TAG_BITS = 32
 
@@ -214,7 +217,8 @@ def described(docs: DataFrame, counts, percent: int) -> DataFrame:
 _FIELDS = (("key", np.uint32), ("doc", np.int64), ("line", np.int64), ("n", np.int32), ("place", np.int32), ("role", np.uint8), ("s1", np.uint64), ("s2", np.uint64))
 _INDEX, _PROBE, _ASKED = 1, 2, 4
 PAIRS = T.StructType([T.StructField(x, k) for x, k in (("doc_a", T.LongType()), ("line_a", T.LongType()), ("doc_b", T.LongType()), ("line_b", T.LongType()))])
-FAR = T.StructType([*PAIRS.fields, T.StructField("far", T.FloatType())])
+#: The best candidate a of b in a bucket, the best ones (doc and line of each) and whether there are more.
+FAR = T.StructType([*PAIRS.fields, T.StructField("far", T.FloatType()), T.StructField("best", T.BinaryType()), T.StructField("more", T.BooleanType())])
 BLOBS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("rows", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
@@ -268,7 +272,7 @@ def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from:
                 cols = {f: np.concatenate([cold[f], a[f], b[f]]) for f in cols}
             held.append({f: cols[f].astype(kind, copy=False) for f, kind in _FIELDS})
             rows += len(held[-1]["key"])
-            if rows >= 1 << 20:
+            if rows >= 1 << 19:
                 yield out()
                 held, rows = [], 0
         if rows:
@@ -277,7 +281,7 @@ def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from:
     return classes.select("doc", "line", "n", "s1", "s2", "prefix", "places", "asked").mapInArrow(run, BLOBS)
 
 
-def met(cols: dict[str, np.ndarray], percent: int, at_once: int = 1 << 21):
+def met(cols: dict[str, np.ndarray], percent: int, at_once: int = 1 << 20):
     """Positions (earlier, later) of rows with the same key that pass all filters, the later one being asked for, and how far their
     parity bits differ as a share of what may."""
     order = np.argsort(cols["key"], kind="stable")
@@ -329,14 +333,29 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None)
             root = root[root]
 
 
-def candidates(classes: DataFrame, counts, percent: int, best: bool, hot_from: int = HOT, only=None) -> DataFrame:
-    """Pairs (doc_a, line_a, doc_b, line_b) of classes (doc, line, n, s1, s2, prefix, places, asked) that pass all filters, b being
-    asked for and a coming before it: with `best`, for each b the a whose parity bits differ least; else some pairs that join
-    all those that pass."""
+def likeliest(rows: np.ndarray, kept: int) -> np.ndarray:
+    """Of rows (doc_b, line_b, far, doc_a, line_a, more) each pair once and the `kept` best of each b, `more` where it has others."""
+    rows = rows[np.lexsort((rows["line_a"], rows["doc_a"], rows["far"], rows["line_b"], rows["doc_b"]))]
+    same = (rows["doc_b"][1:] == rows["doc_b"][:-1]) & (rows["line_b"][1:] == rows["line_b"][:-1])
+    new = np.r_[True, ~same]
+    twice = np.r_[False, same & (rows["doc_a"][1:] == rows["doc_a"][:-1]) & (rows["line_a"][1:] == rows["line_a"][:-1])]
+    group = np.cumsum(new) - 1
+    more = np.bincount(group, rows["more"] & new) > 0  # of groups that were cut before
+    rows, group = rows[~twice], group[~twice]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    place = np.arange(len(rows)) - first[group]
+    more |= np.bincount(group) > kept
+    rows["more"] = more[group]
+    return rows[place < kept]
+
+
+def _met(classes: DataFrame, counts, percent: int, hot_from: int, only, gives, schema: T.StructType) -> DataFrame:
+    """What `gives` makes of each bucket's arrays."""
     buckets = max(8, min(1 << 30, classes.count() // BUCKET))
 
     def join(t):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
         cols = {f: [] for f, _ in _FIELDS}
         for n, data in zip(t.column("rows").to_pylist(), t.column("data").to_pylist(), strict=True):
@@ -345,28 +364,58 @@ def candidates(classes: DataFrame, counts, percent: int, best: bool, hot_from: i
                 size = n * np.dtype(kind).itemsize
                 cols[f].append(np.frombuffer(data, kind, n, at))
                 at += size
-        cols = {f: np.concatenate(x) for f, x in cols.items()}
-        rows = fewest_of(cols) if best else joined(cols)
-        if rows is None:
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float32())], names=FAR.names)
-        return pa.table([pa.array(rows[name]) for name in FAR.names], names=FAR.names)
+        found = gives({f: np.concatenate(x) for f, x in cols.items()}) or [[]] * len(schema)
+        want = to_arrow_schema(schema)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(found, want, strict=True)], schema=want)
 
-    def fewest_of(cols):
+    return _scattered(classes, counts, percent, buckets, hot_from, only).groupBy("bucket").applyInArrow(join, schema)
+
+
+def candidates(classes: DataFrame, counts, percent: int, hot_from: int = HOT, kept: int = KEPT) -> DataFrame:
+    """For classes b of (doc, line, n, s1, s2, prefix, places) that have a candidate a, one before them that passes all filters:
+    (doc_a, line_a, doc_b, line_b) of the a whose parity bits differ least, `best` (bytes with doc and line of those
+    next to it, per bucket) and `more` (whether there are others)."""
+
+    def gives(cols):
         held: list[np.ndarray] = []
         for a, b, far in met(cols, percent):
             if len(a):
-                held.append(fewest(np.rec.fromarrays([cols["doc"][b], cols["line"][b], far, cols["doc"][a], cols["line"][a]], names="doc_b,line_b,far,doc_a,line_a")))
+                rows = np.rec.fromarrays([cols["doc"][b], cols["line"][b], far, cols["doc"][a], cols["line"][a], np.zeros(len(a), bool)], names="doc_b,line_b,far,doc_a,line_a,more")
+                held.append(likeliest(rows, kept))
                 if len(held) > 16:
-                    held = [fewest(np.concatenate(held))]
-        return fewest(np.concatenate(held)) if held else None
+                    held = [likeliest(np.concatenate(held), kept)]
+        if not held:
+            return None
+        rows = likeliest(np.concatenate(held), kept)
+        first = np.flatnonzero(np.r_[True, (rows["doc_b"][1:] != rows["doc_b"][:-1]) | (rows["line_b"][1:] != rows["line_b"][:-1])])
+        data, ends = np.stack([rows["doc_a"], rows["line_a"]], 1).tobytes(), np.r_[first[1:], len(rows)]
+        best = [data[a * 16 : b * 16] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+        return [rows[x][first] for x in (*PAIRS.names, "far")] + [best, rows["more"][first]]
+
+    found = _met(classes.withColumn("asked", F.lit(True)), counts, percent, hot_from, None, gives, FAR)
+    found = found.groupBy("doc_b", "line_b").agg(F.min(F.struct("far", "doc_a", "line_a")).alias("a"), F.collect_list("best").alias("best"), F.bool_or("more").alias("more"))
+    return found.select("a.doc_a", "a.line_a", "doc_b", "line_b", "best", "more")
+
+
+def others(found: DataFrame) -> DataFrame:
+    """Pairs from the kept candidates of candidates(), but for the best ones."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            rows = [(*a, *b) for *x, lists in zip(*cols, strict=True) for a, b in ((pair, x[2:]) for pair in {tuple(p) for d in lists for p in np.frombuffer(d, np.int64).reshape(-1, 2).tolist()} - {tuple(x[:2])})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=PAIRS.names)
+
+    return found.select(*PAIRS.names, "best").mapInArrow(run, PAIRS)
+
 
-    def fewest(rows):
-        """Each b once."""
-        rows = rows[np.lexsort((rows["line_a"], rows["doc_a"], rows["far"], rows["line_b"], rows["doc_b"]))]
-        same = (rows["doc_b"][1:] == rows["doc_b"][:-1]) & (rows["line_b"][1:] == rows["line_b"][:-1])
-        return rows[np.r_[True, ~same]]
+def joined_pairs(classes: DataFrame, counts, percent: int, hot_from: int = HOT, only=None) -> DataFrame:
+    """Some pairs (doc_a, line_a, doc_b, line_b) of classes, with `asked`, that join all those which pass all filters, the later one
+    of them being asked for."""
 
-    def joined(cols):
+    def gives(cols):
         order = np.lexsort((cols["line"], cols["doc"]))
         doc, line = cols["doc"][order], cols["line"][order]
         new = np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]
@@ -378,12 +427,9 @@ def candidates(classes: DataFrame, counts, percent: int, best: bool, hot_from: i
         if root is None:
             return None
         x = np.flatnonzero(root != np.arange(len(root)))
-        return np.rec.fromarrays([doc[root[x]], line[root[x]], doc[x], line[x], np.zeros(len(x), np.float32)], names="doc_a,line_a,doc_b,line_b,far")
+        return [doc[root[x]], line[root[x]], doc[x], line[x]]
 
-    found = _scattered(classes, counts, percent, buckets, hot_from, only).groupBy("bucket").applyInArrow(join, FAR)
-    if not best:
-        return found.select(*PAIRS.names)
-    return found.groupBy("doc_b", "line_b").agg(F.min(F.struct("far", "doc_a", "line_a")).alias("a")).select("a.doc_a", "a.line_a", "doc_b", "line_b")
+    return _met(classes, counts, percent, hot_from, only, gives, PAIRS)
 
 
 def _bitmap(places: DataFrame, bits: int) -> np.ndarray:
@@ -528,14 +574,14 @@ def _tag(text) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit((1 << 31) - 1)) + F.lit(1)
 
 
-def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT, block: int = BLOCK) -> DataFrame:
+def line_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT, block: int = BLOCK, kept: int = KEPT) -> DataFrame:
     """Per line with words: doc_id, tag, line (from 0), first_doc and first_line (the first line with the same token set), kept.
 
     Lines are the parts of a text between newlines; tokens are words without ASCII white space, A-Z lowered. A line is kept unless
     an earlier one, by doc_id, line and tag, has a similar set (100 * intersection >= percent * union). Null texts have no lines;
     rows with a null id are left out; rows that repeat an id with the same text are one document; an id that comes with several
     texts has the lines of each, told apart by their tags (tagged())."""
-    lines, several, gone = _found(tagged(docs, id_col, text_col), percent, slot_bits, hot_from, block)
+    lines, several, gone = _found(tagged(docs, id_col, text_col), percent, slot_bits, hot_from, block, kept)
     known = gone.select(F.col("doc").alias("doc_id"), "line", F.lit(True).alias("like"))
     firsts = several.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
     out = lines.select("doc_id", "line", "class").join(firsts, "class", "left").join(known, ["doc_id", "line"], "left")
@@ -548,7 +594,7 @@ def _tag_of(line: str) -> Column:
     return F.col(line).bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag")
 
 
-def _found(own: DataFrame, percent: int, slot_bits: int, hot_from: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _found(own: DataFrame, percent: int, slot_bits: int, hot_from: int, block: int, kept: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, several, gone): all lines with their classes; the first line of each class that may have more; and those
     first lines of classes, as (doc, line), that are similar to an earlier one."""
     spark = own.sparkSession
@@ -563,19 +609,25 @@ def _found(own: DataFrame, percent: int, slot_bits: int, hot_from: int, block: i
     classes = lines.where("NOT again").withColumnRenamed("doc_id", "doc").select(*cols).unionByName(several.select(*cols))
     freed(spark)
     # One good earlier line is enough: each class is first held against the one that looks most like it.
-    first = written(candidates(classes.withColumn("asked", F.lit(True)), counts, percent, True, hot_from), "pairs")
+    first = written(candidates(classes, counts, percent, hot_from, kept), "pairs")
     freed(spark)
-    good = written(verified(own, first, percent), "goodlines").select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"))
-    left = written(first.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).join(good, ["doc", "line"], "left_anti"), "leftlines")
+    gone_of = lambda pairs: written(verified(own, pairs, percent), "goodlines").select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"))
+    without = lambda rows, gone: rows.join(gone.withColumnsRenamed({"doc": "doc_b", "line": "line_b"}), ["doc_b", "line_b"], "left_anti")
+    good = gone_of(first)
+    left = written(without(first, good), "leftlines")
+    rest = written(others(left), "others")
+    if not rest.isEmpty():
+        also = gone_of(rest)
+        good, left = good.unionByName(also), without(left, also)
+    left = written(left.where("more").select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")), "leftlines")
     if not left.isEmpty():
         freed(spark)
-        # Only where that fails against all others that the filters leave.
-        told = marked(classes, F.xxhash64("doc", "line"), written(left.select(F.xxhash64("doc", "line").alias("x")), "asked"), "asked")
-        hit = told.where("asked").drop("asked").join(left.withColumn("asked", F.lit(True)), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        hit = written(hit, "askedlines")
-        token = hit.where("asked").select(F.explode("prefix").alias("t")).select(F.shiftrightunsigned("t", 32 - TOKEN_BITS).cast("long").alias("s"))
+        # Their classes come once more, asked for; a line is not before itself.
+        asked = likely_among(classes, F.xxhash64("doc", "line"), written(left.select(F.xxhash64("doc", "line").alias("x")), "asked"))
+        asked = written(asked.join(left, ["doc", "line"], "left_semi").withColumn("asked", F.lit(True)), "askedlines")
+        token = asked.select(F.explode("prefix").alias("t")).select(F.shiftrightunsigned("t", 32 - TOKEN_BITS).cast("long").alias("s"))
         only = spark.sparkContext.broadcast(_bitmap(token, TOKEN_BITS))
-        pairs = written(candidates(told.where("NOT asked").unionByName(hit), counts, percent, False, hot_from, only), "pairs")
+        pairs = written(joined_pairs(classes.withColumn("asked", F.lit(False)).unionByName(asked), counts, percent, hot_from, only), "pairs")
         node = lambda x: F.struct(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line"))
         roots = connected_components(pairs.select(node("a").alias("u"), node("b").alias("v")))
         clusters = roots.select("node", F.col("root").alias("cluster"))
@@ -584,14 +636,14 @@ def _found(own: DataFrame, percent: int, slot_bits: int, hot_from: int, block: i
     return lines, several, written(good.distinct(), "gone")
 
 
-def line_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT, block: int = BLOCK) -> DataFrame:
+def line_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, hot_from: int = HOT, block: int = BLOCK, kept: int = KEPT) -> DataFrame:
     """Per document: doc_id, n_lines (with words), n_removed, removed (numbers of its lines that go, from 0), tag.
 
     An id is one document, or if it comes with several texts one for each text, told apart by tag (else 0, or the one text's); documents
     without lines have zeros and an empty list; an id that is null is a row of its own with its lines counted and none
     removed. An empty table gives an empty result."""
     own = tagged(docs, id_col, text_col)
-    lines, several, gone = _found(own, percent, slot_bits, hot_from, block)
+    lines, several, gone = _found(own, percent, slot_bits, hot_from, block, kept)
     n_lines = lines.groupBy("doc_id", _tag_of("line")).agg(F.count(F.lit(1)).alias("n_lines"))
     # Lines that go: the first of a class if it is like an earlier one, and all others of a class.
     firsts = several.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))

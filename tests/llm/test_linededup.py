@@ -81,8 +81,8 @@ def test_blocks_and_ids_with_several_texts(spark):
         for _ in range(rng.randint(2, 5)):
             w[rng.randrange(30)] = f"x{rng.randrange(40)}"
         rows.append((i, " ".join(w)))
-    for block in (5, 256):
-        got = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in linededup.line_dedup(frame(spark, rows), block=block).collect()}
+    for block, kept in ((5, 1), (256, 2), (256, 8)):
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in linededup.line_dedup(frame(spark, rows), block=block, kept=kept).collect()}
         assert got == brute(rows)
     rows = [(1, "a b c d e"), (1, "f g h i j"), (1, "f g h i j"), (2, "a b c d e\nf g h i j"), (0, "f g h i j k")]
     got = sorted((r.doc_id, r.n_lines, r.removed, r.tag > 0) for r in linededup.line_dedup(frame(spark, rows)).collect())
@@ -92,6 +92,19 @@ def test_blocks_and_ids_with_several_texts(spark):
     assert sorted(r.text for r in linededup.without_lines(frame(spark, rows)).collect()) == ["", "", "", "a b c d e", "f g h i j k"]
 
 
+def test_likeliest():
+    rng = np.random.default_rng(2)
+    b, a, far = rng.integers(0, 9, 400), rng.integers(0, 12, 400), None
+    far = ((a * 7 + b * 3) % 5).astype(np.float32)
+    rows = np.rec.fromarrays([b, b * 0, far, a, a * 0, np.zeros(400, bool)], names="doc_b,line_b,far,doc_a,line_a,more")
+    parts = [linededup.likeliest(rows[k : k + 50], 4) for k in range(0, 400, 50)]
+    for got in (linededup.likeliest(rows, 4), linededup.likeliest(np.concatenate(parts), 4)):
+        for x in range(9):
+            want = sorted({(f, y) for f, y, z in zip(far.tolist(), a.tolist(), b.tolist(), strict=True) if z == x})
+            mine = got[got["doc_b"] == x]
+            assert list(zip(mine["far"].tolist(), mine["doc_a"].tolist(), strict=True)) == want[:4] and set(mine["more"].tolist()) == {len(want) > 4}
+
+
 def test_forest():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
