@@ -150,9 +150,10 @@ def rarity(docs: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
     return out
 
 
+#: prefix: the upper halves of the tokens' hashes, places: theirs in the order, both as bytes.
 LINES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("line", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("class", T.BinaryType()),
-    T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("prefix", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.IntegerType())),
+    T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("places", T.BinaryType()),
 ])
 
 
@@ -180,6 +181,21 @@ def sorted_sets(h: np.ndarray, line: np.ndarray, counts: np.ndarray):
 _RARITY = (np.log2(np.maximum(np.arange(256), 1)) * 8).astype(np.uint64)
 
 
+def _packed(values: np.ndarray, offsets: np.ndarray):
+    """Bytes of runs of values, as an Arrow array."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(values, how many of each row) of such an array."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if data is not None and len(column) else np.zeros(0, kind)
+    return values, np.diff(ends) // np.dtype(kind).itemsize
+
+
 def _numbered(tags, docs_: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (numbers.astype(np.int64) << TAG_BITS) | tags.to_numpy(zero_copy_only=False)[docs_]
 
@@ -206,9 +222,9 @@ def described(docs: DataFrame, counts, percent: int) -> DataFrame:
             place = np.arange(len(h)) - first[line]
             prefix = n - -(-percent * n // 100) + 1
             keep = (place < prefix[line]) & (c > 1)
-            offsets = np.r_[0, np.cumsum(np.bincount(line[keep], minlength=len(n)))].astype(np.int32)
+            offsets = np.r_[0, np.cumsum(np.bincount(line[keep], minlength=len(n)))]
             ids, numbers = part.column(0).take(pa.array(docs_)), _numbered(part.column(2), docs_, numbers)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in ((h[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32), place[keep].astype(np.int32))]
+            lists = [_packed(x, offsets) for x in ((h[keep] >> np.uint64(32)).astype(np.uint32), place[keep].astype(np.uint32))]
             yield pa.RecordBatch.from_arrays([ids, pa.array(numbers), pa.array(n.astype(np.int32)), pa.array(classes, pa.binary()), pa.array(s1), pa.array(s2), *lists], names=LINES.names)
 
     return docs.mapInArrow(run, LINES)
@@ -245,11 +261,10 @@ def _scattered(classes: DataFrame, counts, percent: int, buckets: int, hot_from:
 
         for batch in batches:
             get = lambda k: batch.column(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            lists = batch.column(5)
-            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            token, times = _unpacked(batch.column(5), np.uint32)
+            place = _unpacked(batch.column(6), np.uint32)[0].astype(np.int64)
+            of = np.repeat(np.arange(batch.num_rows), times)
             doc, line, n, s1, s2 = (get(k)[of] for k in range(5))
-            token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-            place = batch.column(6).flatten().to_numpy(zero_copy_only=False)
             if only is not None:
                 wanted = np.flatnonzero(_has(only.value, token >> np.uint32(32 - TOKEN_BITS)))
                 of, doc, line, n, s1, s2, token, place = (x[wanted] for x in (of, doc, line, n, s1, s2, token, place))
@@ -373,8 +388,8 @@ def _met(classes: DataFrame, counts, percent: int, hot_from: int, only, gives, s
 
 def candidates(classes: DataFrame, counts, percent: int, hot_from: int = HOT, kept: int = KEPT) -> DataFrame:
     """For classes b of (doc, line, n, s1, s2, prefix, places) that have a candidate a, one before them that passes all filters:
-    (doc_a, line_a, doc_b, line_b) of the a whose parity bits differ least, `best` (bytes with doc and line of those
-    next to it, per bucket) and `more` (whether there are others)."""
+    (doc_a, line_a, doc_b, line_b) of the a whose parity bits differ least, `best` (bytes with doc, line and difference of those
+    next to it, per bucket) and `more` (whether a bucket had others)."""
 
     def gives(cols):
         held: list[np.ndarray] = []
@@ -388,8 +403,8 @@ def candidates(classes: DataFrame, counts, percent: int, hot_from: int = HOT, ke
             return None
         rows = likeliest(np.concatenate(held), kept)
         first = np.flatnonzero(np.r_[True, (rows["doc_b"][1:] != rows["doc_b"][:-1]) | (rows["line_b"][1:] != rows["line_b"][:-1])])
-        data, ends = np.stack([rows["doc_a"], rows["line_a"]], 1).tobytes(), np.r_[first[1:], len(rows)]
-        best = [data[a * 16 : b * 16] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+        data, ends = np.stack([rows["doc_a"], rows["line_a"], rows["far"].astype(np.float64).view(np.int64)], 1).tobytes(), np.r_[first[1:], len(rows)]
+        best = [data[a * 24 : b * 24] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
         return [rows[x][first] for x in (*PAIRS.names, "far")] + [best, rows["more"][first]]
 
     found = _met(classes.withColumn("asked", F.lit(True)), counts, percent, hot_from, None, gives, FAR)
@@ -397,18 +412,28 @@ def candidates(classes: DataFrame, counts, percent: int, hot_from: int = HOT, ke
     return found.select("a.doc_a", "a.line_a", "doc_b", "line_b", "best", "more")
 
 
-def others(found: DataFrame) -> DataFrame:
-    """Pairs from the kept candidates of candidates(), but for the best ones."""
+NEXT = T.StructType([*PAIRS.fields, T.StructField("more", T.BooleanType())])
+
+
+def others(found: DataFrame, kept: int = KEPT) -> DataFrame:
+    """Pairs of each b of candidates() with the `kept` likeliest candidates after the best one; `more`: there are further ones. A b
+    without any has one row without an a."""
 
     def run(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            rows = [(*a, *b) for *x, lists in zip(*cols, strict=True) for a, b in ((pair, x[2:]) for pair in {tuple(p) for d in lists for p in np.frombuffer(d, np.int64).reshape(-1, 2).tolist()} - {tuple(x[:2])})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=PAIRS.names)
+            rows = []
+            for doc_a, line_a, doc_b, line_b, lists, more in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                all_ = {(far, doc, line) for x in lists for doc, line, far in zip(*(np.frombuffer(x, kind)[k::3].tolist() for k, kind in enumerate((np.int64, np.int64, np.float64))), strict=True)}
+                next_ = sorted(x for x in all_ if x[1:] != (doc_a, line_a))
+                more = more or len(next_) > kept
+                rows += [(doc, line, doc_b, line_b, more) for _, doc, line in next_[:kept]] or [(None, None, doc_b, line_b, more)]
+            want = to_arrow_schema(NEXT)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(want)], schema=want)
 
-    return found.select(*PAIRS.names, "best").mapInArrow(run, PAIRS)
+    return found.select(*PAIRS.names, "best", "more").mapInArrow(run, NEXT)
 
 
 def joined_pairs(classes: DataFrame, counts, percent: int, hot_from: int = HOT, only=None) -> DataFrame:
@@ -558,6 +583,13 @@ def _gone_in_blocks(docs: DataFrame, clusters: DataFrame, asked: DataFrame, perc
     return members.repartition(*task).sortWithinPartitions(*task).mapInArrow(run, GONE).distinct()
 
 
+def _token_places(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array((_unpacked(batch.column(0), np.uint32)[0] >> np.uint32(32 - TOKEN_BITS)).astype(np.int64))], names=["s"])
+
+
 def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, tag) of rows with an id, equal rows once: tag is 0, but for ids that come more than once one more than a number
     from 31 bits of a hash of the text."""
@@ -614,19 +646,18 @@ def _found(own: DataFrame, percent: int, slot_bits: int, hot_from: int, block: i
     gone_of = lambda pairs: written(verified(own, pairs, percent), "goodlines").select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"))
     without = lambda rows, gone: rows.join(gone.withColumnsRenamed({"doc": "doc_b", "line": "line_b"}), ["doc_b", "line_b"], "left_anti")
     good = gone_of(first)
-    left = written(without(first, good), "leftlines")
-    rest = written(others(left), "others")
-    if not rest.isEmpty():
-        also = gone_of(rest)
-        good, left = good.unionByName(also), without(left, also)
-    left = written(left.where("more").select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")), "leftlines")
+    rest = written(others(without(first, good), kept), "others")
+    pairs = rest.where("doc_a IS NOT NULL").select(*PAIRS.names)
+    if not pairs.isEmpty():
+        also = gone_of(pairs)
+        good, rest = good.unionByName(also), without(rest, also)
+    left = written(rest.where("more").select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct(), "leftlines")
     if not left.isEmpty():
         freed(spark)
         # Their classes come once more, asked for; a line is not before itself.
         asked = likely_among(classes, F.xxhash64("doc", "line"), written(left.select(F.xxhash64("doc", "line").alias("x")), "asked"))
         asked = written(asked.join(left, ["doc", "line"], "left_semi").withColumn("asked", F.lit(True)), "askedlines")
-        token = asked.select(F.explode("prefix").alias("t")).select(F.shiftrightunsigned("t", 32 - TOKEN_BITS).cast("long").alias("s"))
-        only = spark.sparkContext.broadcast(_bitmap(token, TOKEN_BITS))
+        only = spark.sparkContext.broadcast(_bitmap(asked.select("prefix").mapInArrow(_token_places, "s long"), TOKEN_BITS))
         pairs = written(joined_pairs(classes.withColumn("asked", F.lit(False)).unionByName(asked), counts, percent, hot_from, only), "pairs")
         node = lambda x: F.struct(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line"))
         roots = connected_components(pairs.select(node("a").alias("u"), node("b").alias("v")))
