@@ -7,9 +7,10 @@ the next one and is annotated with the number of tokens it adds (negative when i
 made when first reached. Two characters that stand side by side in no piece end all pending positions, so the state
 there is the initial one.
 
-A long text is cut into chunks. The map of a chunk, from the state before it to the state after it and a count, is
-held as (text up to the first such cut, count between first and last, text after the last); maps compose
-associatively, so they are combined by a parallel prefix scan: halves of halves, in any order of execution.
+Every text is cut into chunks, short ones into one. The map of a chunk leads from each state that may come before it to the
+state after it and a number of tokens. Which states may come before is found from the last characters of the chunk before alone,
+whatever the state there, so that chunks need not wait for each other; maps compose associatively and are
+combined by a prefix scan, halves of halves. A state that was not foreseen costs a run of that chunk, not a wrong count.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from pyspark.sql import types as T
 from .common import Memo, resident, tokenizer_path
 
 SPACE = "▁"
-CHUNK = 1 << 16
+#: Characters in a chunk, and those before it that its first states are found from.
+CHUNK, LOOK = 1 << 16, 48
+#: Text since the earliest position where a longer piece may begin; such positions as (characters since, last piece, tokens since).
+State = tuple[str, tuple[tuple[int, str | None, int], ...]]
+INITIAL: State = ("", ((0, None, 0),))
 
 
 class Transducer:
@@ -37,8 +42,7 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        start = ("", ((0, None, 0),))
-        self.states, self.ids, self.moves = [start], {start: 0}, {}
+        self.states, self.ids, self.moves = [INITIAL], {INITIAL: 0}, {}
 
     def merge(self, text: str) -> list[str]:
         """The segmentation itself: the best pair first, the leftmost among equals."""
@@ -107,12 +111,55 @@ class Transducer:
             self.clear()
         return self.run(text)[1]
 
+    def after(self, state: State, text: str) -> tuple[State, int]:
+        """run() with states that mean the same in all workers and after clear()."""
+        if len(self.states) > self.bound:
+            self.clear()
+        at = self.ids.get(state)
+        if at is None:
+            at = self.ids[state] = len(self.states)
+            self.states.append(state)
+        at, n = self.run(text, at)
+        return self.states[at], n
+
+    def reachable(self, text: str) -> set[State]:
+        """States that the text ends in, begun in the initial state at any of its characters."""
+        if len(self.states) > self.bound:
+            self.clear()
+        now = {0}
+        for char in text:
+            now = {self.step(s, char)[0] for s in now} | {0}
+        return {self.states[s] for s in now}
+
+
+class StateMap:
+    """From the state before a stretch of text to the state after it and the tokens added; `more` gives what is not known yet."""
+
+    def __init__(self, known: dict[State, tuple[State, int]], more) -> None:
+        self.known, self.more = known, more
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        got = self.known.get(state)
+        if got is None:
+            got = self.known[state] = self.more(state)
+        return got
+
+    def then(self, other: StateMap) -> StateMap:
+        """The map of this text followed by the other's; associative."""
+
+        def through(state):
+            middle, n = self(state)
+            end, k = other(middle)
+            return end, n + k
+
+        return StateMap({s: through(s) for s in self.known}, through)
+
 
 class Counter:
     """Counts of whole texts. Units between cuts are moves from the initial state to itself, and are kept."""
 
-    def __init__(self, machine: Transducer, bound: int = 500_000, chunk: int = CHUNK) -> None:
-        self.machine, self.chunk, self.units = machine, chunk, Memo(machine.count, bound)
+    def __init__(self, machine: Transducer, bound: int = 500_000, chunk: int = CHUNK, look: int = LOOK) -> None:
+        self.machine, self.chunk, self.look, self.units = machine, chunk, look, Memo(machine.count, bound)
         # A cut lies before a space that follows another character; no piece may hold one in that place.
         if any(a != SPACE and b == SPACE for a, b in machine.glue):
             raise ValueError("a piece holds a space after another character")
@@ -123,43 +170,33 @@ class Counter:
             return self.machine.count(units[0])
         return sum(map(self.units.__getitem__, units))
 
-    def chunk_map(self, text: str) -> tuple[str, int | None, str]:
-        """(text before the first cut, count between cuts, text after the last cut); count None: there is no cut."""
+    def chunk_map(self, before: str, text: str) -> StateMap:
+        """The map of a chunk, known for the states that it may begin in: after `before`, the end of the text to its left."""
+        # What lies before the first cut depends on the state, what comes after it does not.
         first = next((m.start() for m in re.finditer(f"(?<=[^{SPACE}]){SPACE}", text)), None)
-        if first is None:
-            return text, None, ""
-        units = self.cut.findall(text[first:])
-        return text[:first], self.of_units(units[:-1]), units[-1]
-
-    def compose(self, a: tuple[str, int | None, str], b: tuple[str, int | None, str]) -> tuple[str, int | None, str]:
-        """The map of a's text followed by b's; associative."""
-        if a[1] is None and b[1] is None:
-            # Two pieces without a cut may have one where they meet.
-            return self.chunk_map(a[0] + b[0])
-        if a[1] is None:
-            joined = self.chunk_map(a[0] + b[0])
-            return (joined[0], b[1], b[2]) if joined[1] is None else (joined[0], joined[1] + self.of_units([joined[2]]) + b[1], b[2])
-        if b[1] is None:
-            joined = self.chunk_map(a[2] + b[0])
-            return (a[0], a[1], joined[0]) if joined[1] is None else (a[0], a[1] + self.of_units([joined[0]]) + joined[1], joined[2])
-        joined = self.chunk_map(a[2] + b[0])
-        middle = self.of_units([joined[0]]) if joined[1] is None else self.of_units([joined[0], joined[2]]) + joined[1]
-        return a[0], a[1] + middle + b[1], b[2]
-
-    def scan(self, maps: list[tuple[str, int | None, str]]) -> tuple[str, int | None, str]:
+        head, rest = (text, []) if first is None else (text[:first], self.cut.findall(text[first:]))
+        inner = self.of_units(rest[:-1])
+        end, last = self.machine.after(INITIAL, rest[-1]) if rest else (None, 0)
+
+        def run(state):
+            to, n = self.machine.after(state, head)
+            return (end, n + inner + last) if rest else (to, n)
+
+        return StateMap({s: run(s) for s in (self.machine.reachable(before) if before else {INITIAL})}, run)
+
+    def scan(self, maps: list[StateMap]) -> StateMap:
         """All maps composed, neighbours first, level by level."""
         while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         text = SPACE + text.replace(" ", SPACE)
-        if len(text) <= self.chunk:
+        if len(text) <= self.chunk:  # one chunk, begun in the initial state: all of its units are whole
             return self.of_units(self.cut.findall(text))
-        head, middle, tail = self.scan([self.chunk_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)])
-        return self.of_units([head]) + (0 if middle is None else middle + self.of_units([tail]))
+        return self.scan([self.chunk_map(text[max(0, i - self.look) : i], text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)])(INITIAL)[1]
 
 
 def counter(path: str) -> Counter:

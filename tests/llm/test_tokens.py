@@ -32,9 +32,9 @@ def test_counts_equal_the_library(machine, library):
     assert [machine.count(t) for t in texts] == [len(library.encode(t)) for t in texts]
 
 
-@pytest.mark.parametrize("size", [1, 3, 7, 64])
-def test_chunk_maps_compose(machine, library, size):
-    chunked = transducer.Counter(machine.machine, chunk=size)
+@pytest.mark.parametrize(("size", "look"), [(1, 48), (3, 2), (7, 48), (64, 48), (64, 1)])
+def test_chunk_maps_compose(machine, library, size, look):
+    chunked = transducer.Counter(machine.machine, chunk=size, look=look)
     for t in odd_texts(150):
         assert chunked.count(t) == len(library.encode(t)), t[:60]
 
@@ -44,9 +44,27 @@ def test_composition_is_associative(machine):
     for _ in range(60):
         t = "▁" + "".join(rng.choice("ab▁▁c\n") for _ in range(30))
         i, j = sorted(rng.sample(range(1, len(t)), 2))
-        a, b, c = (machine.chunk_map(x) for x in (t[:i], t[i:j], t[j:]))
-        total = lambda m: machine.of_units([m[0]]) + (0 if m[1] is None else m[1] + machine.of_units([m[2]]))
-        assert total(machine.compose(machine.compose(a, b), c)) == total(machine.compose(a, machine.compose(b, c)))
+        maps = lambda: (machine.chunk_map("", t[:i]), machine.chunk_map(t[:i], t[i:j]), machine.chunk_map(t[:j], t[j:]))  # noqa: E731, B023
+        (a, b, c), (d, e, f) = maps(), maps()
+        assert a.then(b).then(c)(transducer.INITIAL) == d.then(e.then(f))(transducer.INITIAL) == machine.machine.after(transducer.INITIAL, t)
+
+
+@pytest.mark.parametrize("unit", ["a", "日本語の文章です", "x1-", "ab\n", "lorem ipsum"])
+def test_long_texts(machine, library, unit):
+    text = unit.replace(" ", "_") * (1_200_000 // len(unit)) + " end"
+    assert machine.count(text) == len(library.encode(text))
+
+
+def test_states_are_foreseen(machine):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["日本", "語", "か", "the", "ing", "q", "er", "a", "s", "0"]) for _ in range(20_000))
+    runs = [0]
+    for i in range(0, len(text), 2000):
+        m = machine.chunk_map(text[max(0, i - 48) : i], text[i : i + 2000])
+        more, m.more = m.more, lambda s, more=m.more: (runs.__setitem__(0, runs[0] + 1), more(s))[1]
+        state = machine.machine.after(transducer.INITIAL, text[:i])[0]
+        assert m(state) == machine.machine.after(state, text[i : i + 2000])
+    assert runs[0] <= 1
 
 
 def test_states_stay_bounded(library):
