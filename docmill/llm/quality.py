@@ -56,18 +56,24 @@ class Features:
         return unigrams, WORDS + np.unique(((mixed >> np.uint64(40)) % np.uint64(FORMS)).astype(np.int64))
 
 
+def log_count_ratios(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int) -> np.ndarray:
+    """Of n features: how much likelier a document of class 1 has each, from counts of documents with one added."""
+    p, q = np.ones(n), np.ones(n)
+    for (a, b), one in zip(found, y, strict=True):
+        side = p if one else q
+        side[a] += 1
+        side[b] += 1
+    return np.log(p / (y.sum() + 2)) - np.log(q / ((~y).sum() + 2))
+
+
 def fit(texts: list[str], labels: list[int], cost: float = COST) -> dict:
     features = Features()
     found = [features(t) for t in texts]
     y = np.array(labels) == 1
     n = WORDS + FORMS
     test = np.arange(len(y)) % 5 == 4
-    p, q = np.ones(n), np.ones(n)
-    for (a, b), one in zip(found, y, strict=True):
-        side = p if one else q
-        side[a] += 1
-        side[b] += 1
-    ratio = np.log(p / (y.sum() + 2)) - np.log(q / ((~y).sum() + 2))
+    learn = np.flatnonzero(~test)  # the rest is for probabilities alone, counts included
+    ratio = log_count_ratios([found[k] for k in learn], y[learn], n)
 
     def row(a, b):
         i = np.concatenate([a, b])
@@ -77,7 +83,6 @@ def fit(texts: list[str], labels: list[int], cost: float = COST) -> dict:
     rows = [row(a, b) for a, b in found]
     sign = np.where(y, 1.0, -1.0)
     balance = np.where(y, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((~y).sum(), 1))) * cost
-    learn = np.flatnonzero(~test)
     w = dual_coordinate_descent([rows[i] for i in learn], sign[learn], n, balance[learn])
     margins = np.array([w[rows[i][0]] @ rows[i][1] + w[n] for i in np.flatnonzero(test)])
     a, b = platt(margins, y[test])

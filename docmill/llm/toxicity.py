@@ -33,7 +33,8 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 32
 EVIDENCE = 12.0
 #: Labelled rows of either class that the model is fitted on, at most.
 SAMPLE = 4_000
-SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
+#: Where a sentence ends: after a word that ends so, as ends_sentence() has it.
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
 #: What is known of words that are like no landmark.
 NONE = ()
 _PUNCTUATION = re.compile(r"[\W_]+")
@@ -224,15 +225,18 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     y = np.array(labels) == 1
     if not y.any() or y.all():
         return None
+    test = np.arange(len(y)) % 5 == 4  # for probabilities alone; counts and landmarks come from the others
     # By different sentences: what copies of a document repeat is no evidence.
     counts, seen = (Counter(), Counter()), (set(), set())
-    for t, one in zip(texts, y, strict=True):
+    for t, one in ((texts[k], y[k]) for k in np.flatnonzero(~test)):
         for s in SENTENCE.split(t):
             if s not in seen[int(one)]:
                 seen[int(one)].add(s)
                 units = {u for w in set(s.split()) if len(u := plain(w)) >= ORDER and len(u) <= WIDTH}
                 counts[int(one)].update(units.union(*[{u[:k] for u in units if len(u) > k} for k in STEMS]))
     n1, n0 = len(seen[1]), len(seen[0])
+    if not n1 or not n0:
+        return None
     least = 4
 
     def gain(u):
@@ -272,7 +276,6 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     found = []
     for at in range(0, len(texts), 256):
         found += similar.sentences(texts[at : at + 256])
-    test = np.arange(len(y)) % 5 == 4
     # Sentences: of a toxic text the one most like a toxic landmark, of a clean text all that are like any, and a bare one.
     rows, sign = [np.zeros(m)], [-1.0]
     for k in np.flatnonzero(~test):
