@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the vocabulary files are looked up, unless a path is given.
-SPACES = r"[\x20\x09-\x0D]+"
+from docmill.plans.store import dropped, likely_among, marked, new_path, written
+
+__all__ = ["Memo", "bucket", "documents", "dropped", "freed", "likely_among", "marked", "new_path", "resident", "tokenizer_path", "written"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,27 +19,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share, from spark.checkpoint.dir; where that is unset (tests), one of our own is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="docmill-shared-")
-        shared_dir.own = folder
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so a lost executor costs a reread and no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def freed(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are over: it does so when their plans have been collected."""
     import gc
@@ -50,47 +27,6 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Bits of a filter of hashed values, at least and at most (32 MB).
-FILTER_BITS = (20, 28)
-
-
-def marked(rows: DataFrame, by: Column, values: DataFrame, name: str) -> DataFrame:
-    """Rows with a column `name`: false only where `by` is none of the only column of `values`, a written table.
-
-    A bitmap of 256 to 512 bits a value, of 32 MB at most whatever the number of values, is sent to all tasks as a small table,
-    so that rows are told apart where they are read, without a shuffle."""
-    bits = min(max(FILTER_BITS[0], (256 * values.count()).bit_length()), FILTER_BITS[1])
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    part = lambda c: F.shiftright(c, 15)  # noqa: E731  of 2 ** 15 bits
-    inner = F.col("__place").bitwiseAND(F.lit((1 << 15) - 1))
-    bitmap = values.select(place(values.columns[0]).alias("__place")).select(part("__place").alias("__part"), inner.alias("__bit"))
-    bitmap = written(bitmap.groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits")), "filter")
-    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(inner, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    placed = rows.withColumn("__place", place(by)).withColumn("__part", part("__place")).join(F.broadcast(bitmap), "__part", "left")
-    bit = F.coalesce(F.bit_get(byte, inner.bitwiseAND(F.lit(7)).cast("int")), F.lit(0))
-    return placed.select(*[placed[f"`{c}`"] for c in rows.columns], (bit == 1).alias(name))
-
-
-def likely_among(rows: DataFrame, by: Column, values: DataFrame) -> DataFrame:
-    """Rows whose `by` may be among `values`, as marked() has it."""
-    return marked(rows, by, values, "__likely").where("__likely").drop("__likely")
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a written() table that no later plan reads."""
-    own = shared_dir(df.sparkSession).rpartition(":")[2].strip("/")
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if f"/{own}/" in path:
-            drop_path(df.sparkSession, path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
