@@ -101,13 +101,13 @@ def decode_bytes(spark, d):
 
 
 @query("""
-    WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '+02''00''' WHEN 1 THEN 'D:' || strftime(o_orderdate, '%Y%m') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d') WHEN 3 THEN 'n/a' ELSE 'D:' || strftime(o_orderdate, '%Y') END AS s, o_orderdate AS x FROM orders)
-    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(x, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(x, '%Y-%m') WHEN 2 THEN strftime(x, '%Y-%m-%d') WHEN 3 THEN '' ELSE strftime(x, '%Y') END AS created FROM t
+    WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '+02''00''' WHEN 1 THEN 'D:' || strftime(o_orderdate, '%Y%m') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d') WHEN 3 THEN 'n/a' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'D:' || strftime(o_orderdate, '%Y%m%d') || '09' ELSE 'D:' || strftime(o_orderdate, '%Y') END END AS s, o_orderdate AS x FROM orders)
+    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(x, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(x, '%Y-%m') WHEN 2 THEN strftime(x, '%Y-%m-%d') WHEN 3 THEN '' ELSE CASE WHEN o_orderkey % 2 = 0 THEN strftime(x, '%Y-%m-%d') || 'T09' ELSE strftime(x, '%Y') END END AS created FROM t
 """)
 def pdf_date(spark, d):
     f = lambda p: F.date_format("o_orderdate", p)
     m = F.col("o_orderkey") % 5
-    s = F.when(m == 0, F.concat(F.lit("D:"), f("yyyyMMddHHmmss"), F.lit("+02'00'"))).when(m == 1, F.concat(F.lit("D:"), f("yyyyMM"))).when(m == 2, f("yyyyMMdd")).when(m == 3, "n/a").otherwise(F.concat(F.lit("D:"), f("yyyy")))
+    s = F.when(m == 0, F.concat(F.lit("D:"), f("yyyyMMddHHmmss"), F.lit("+02'00'"))).when(m == 1, F.concat(F.lit("D:"), f("yyyyMM"))).when(m == 2, f("yyyyMMdd")).when(m == 3, "n/a").otherwise(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("D:"), f("yyyyMMdd"), F.lit("09"))).otherwise(F.concat(F.lit("D:"), f("yyyy"))))
     return _t(spark, d, "orders").select("o_orderkey", X.pdf_date(s).alias("created"))
 
 
@@ -481,14 +481,14 @@ def _as_files(t: DataFrame, key: str, ext: str, content: Column) -> DataFrame:
     return t.select(F.concat(F.lit("/made/"), F.col(key).cast("string"), F.lit(ext)).alias("path"), F.current_timestamp().alias("modificationTime"), F.length(content).cast("long").alias("length"), content.alias("content"))
 
 
-@query("SELECT doc_id || '.txt' AS filename, 'text' AS parser, 200 AS status, octet_length(encode(text)) AS bytes, 'doc' AS kind FROM documents WHERE octet_length(encode(text)) > 0")
+@query("SELECT doc_id || '.txt' AS filename, 'text' AS parser, 200 AS status, octet_length(encode(text)) AS bytes, regexp_replace(regexp_replace(text, '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS markdown FROM documents WHERE octet_length(encode(text)) > 0".replace("\\\\", "\\"))
 def convert_files(spark, d):
     """All documents as text files through the whole pipeline."""
     from docmill.plans import pipeline
 
     t = _t(spark, d, "documents")
     got = pipeline.convert(_as_files(t, "doc_id", ".txt", F.encode("text", "UTF-8")), "markdown")
-    return got.where("bytes > 0").select("filename", "parser", "status", "bytes", F.lit("doc").alias("kind"))
+    return got.where("bytes > 0").select("filename", "parser", "status", "bytes", "markdown")
 
 
 @query()
@@ -512,6 +512,45 @@ def convert_mailboxes(spark, d):
     return got.select("filename", "status", "markdown", "metadata.message_count")
 
 
+_SQL_GRID = """f AS (SELECT doc_id, seq // 60 AS page, seq % 60 AS seq, text, seq % 60 // 6 AS line, seq % 6 AS k, CASE doc_id % 3 WHEN 0 THEN 595.0 WHEN 1 THEN 612.0 ELSE 792.0 END AS width FROM w),
+    g AS (SELECT doc_id, (page + 1)::INT AS page, seq, left(text, 12) AS text, width, (60 + k * 110 + (doc_id + line) % 4 * CASE WHEN page % 4 = 3 THEN 37 ELSE 3 END)::DOUBLE AS x0, 20.0 + line * 20 AS top FROM f),
+    grid AS (SELECT *, x0 + 35 AS x1 FROM g)"""
+
+
+def form_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of documents as made-up forms of three page widths: pages of ten lines of six words, some out of line."""
+    w = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("n", "text"))
+    page, line, k = F.floor(F.col("n") / 60).cast("int"), F.floor(F.col("n") % 60 / 6), F.col("n") % 6
+    x0 = (60 + k * 110 + (F.col("doc_id") + line) % 4 * F.when(page % 4 == 3, 37).otherwise(3)).cast("double")
+    width = F.when(F.col("doc_id") % 3 == 0, 595.0).when(F.col("doc_id") % 3 == 1, 612.0).otherwise(792.0)
+    return w.select("doc_id", (page + 1).alias("page"), (F.col("n") % 60).alias("seq"), F.substring("text", 1, 12).alias("text"), x0.alias("x0"), (x0 + 35).alias("x1"), (20.0 + line * 20).alias("top"), F.lit(10.0).alias("size"), width.alias("width"))
+
+
+@query(f"WITH {_SQL_WORDS.partition('words AS (SELECT')[0]}{_SQL_GRID} SELECT doc_id, page, seq, text, x1 FROM grid WHERE x1 <= width - 30 AND (page > 1 OR top >= 140)")
+def crop_pages(spark, d):
+    return G.cropped(form_words(spark, d)).select("doc_id", "page", "seq", "text", "x1")
+
+
+@query(f"""
+    WITH {_SQL_WORDS.partition('words AS (SELECT')[0]}{_SQL_GRID},
+    c AS (SELECT * FROM grid WHERE x1 <= width - 30 AND (page > 1 OR top >= 140)),
+    l AS (SELECT doc_id, page, width, round_even(top / 5, 0) * 5 AS y, list(x0 ORDER BY x0) AS xs, string_agg(text, ' ' ORDER BY x0, seq) AS t, max(x1) - min(x0) AS wide, first(text ORDER BY x0, seq) AS head FROM c GROUP BY 1, 2, 3, 4),
+    n AS (SELECT *, list_reduce(xs, lambda a, x: CASE WHEN x - list_extract(a, -1) > 50 THEN list_append(a, x) ELSE a END, [xs[1]]) AS gs, wide > width * 0.55 AND length(t) > 60 AS par FROM l),
+    p AS (SELECT doc_id, page, max(width) AS pw, list_sort(flatten(list(gs) FILTER (len(gs) >= 3 AND NOT par))) AS xs FROM n GROUP BY 1, 2),
+    q AS (SELECT *, list_sort(list_filter(list_transform(range(1, len(xs)), lambda i: xs[i + 1] - xs[i]), lambda v: v > 5)) AS gaps FROM p WHERE len(xs) > 0),
+    r AS (SELECT *, CASE WHEN len(gaps) >= 3 THEN greatest(25.0, least(50.0, gaps[trunc(len(gaps) * 0.7::DOUBLE)::INT + 1])) ELSE 35.0 END AS gap FROM q),
+    s AS (SELECT doc_id, page, pw, list_reduce(xs, lambda a, x: CASE WHEN x - list_extract(a, -1) > gap THEN list_append(a, x) ELSE a END, [xs[1]]) AS cols FROM r),
+    t AS (SELECT *, cols[-1] - cols[1] AS span, len(cols) AS k FROM s),
+    u AS (SELECT * FROM t WHERE k > 1 AND span / k >= 30 AND k / (span / 72) <= 10 AND k <= greatest(15, floor(20 * pw / 612))),
+    v AS (SELECT n.doc_id, n.page, y, t AS text, k, NOT par AND NOT regexp_matches(trim(head), '^\\.\\d+$') AND len(list_distinct(list_filter(list_transform(n.xs, lambda x: list_position(list_transform(cols, lambda c: abs(x - c) < 40), true)), lambda i: i > 0))) >= 2 AS is_row FROM n JOIN u ON n.doc_id = u.doc_id AND n.page = u.page),
+    z AS (SELECT *, avg(is_row::INT) OVER (PARTITION BY doc_id, page) AS share FROM v)
+    SELECT doc_id, page, y, text, k::INT AS n_columns, is_row FROM z WHERE share >= 0.2
+""".replace("\\\\", "\\"))
+def form_pages(spark, d):
+    """Columns and table rows of pages that look like forms."""
+    return G.form_columns(G.cropped(form_words(spark, d))).select("doc_id", "page", "y", "text", F.size("columns").alias("n_columns"), "is_row")
+
+
 @query()
 def pdf_layout(spark, d):
     """Made-up words of all documents as pages, through crop, layout, tables, headings and running lines."""

@@ -6,7 +6,7 @@ from docmill import registry
 from docmill.conf import Settings
 from docmill.errors import DocumentError, kind_of
 
-from . import mail, markup, office, pdf, plain
+from . import binary, mail, markup, office, pdf, plain
 
 
 def _pdf(data, ext, settings, structured):
@@ -14,24 +14,25 @@ def _pdf(data, ext, settings, structured):
     return {"parser": "pdf", "words": found["words"], "metadata": {"page_count": found["pages"], "title": found["info"].get("Title"), "author": found["info"].get("Author")}, "pdf": {"created": found["info"].get("CreationDate", ""), "modified": found["info"].get("ModDate", ""), "creator": f"{found['info'].get('Creator', '')} {found['info'].get('Producer', '')}", "width": found["width"]}}
 
 
+def _is_compound(data) -> bool:
+    """Whether a file is of the binary formats; one that is neither of these nor an archive cannot be converted."""
+    if data[:4] not in (b"\xd0\xcf\x11\xe0", b"PK\x03\x04"):
+        raise DocumentError("failed", "neither an archive nor a binary office file")
+    return data[:1] == b"\xd0"
+
+
 def _docx(data, ext, settings, structured):
-    if ext == ".doc":
-        raise DocumentError("converter_unavailable", "binary word-processor files need an outside converter")
-    found = office.odt(data) if ext == ".odt" else office.docx(data)
+    found = office.odt(data) if ext == ".odt" else binary.word(data) if _is_compound(data) else office.docx(data)
     return {"parser": "docx", **found}
 
 
 def _pptx(data, ext, settings, structured):
-    if ext in (".ppt", ".pps", ".pot"):
-        raise DocumentError("converter_unavailable", "binary presentations need an outside converter")
-    found = office.presentation(data, structured)
+    found = (binary if _is_compound(data) else office).presentation(data, structured)
     return {"parser": "pptx", **found, "structured": {"slides": found.get("slides")}}
 
 
 def _xlsx(data, ext, settings, structured):
-    if ext == ".xls":
-        raise DocumentError("converter_unavailable", "binary spreadsheets need an outside converter")
-    found = office.workbook(data, settings.max_rows_per_sheet, structured)
+    found = (binary if _is_compound(data) else office).workbook(data, settings.max_rows_per_sheet, structured)
     return {"parser": "xlsx", **found, "structured": {"sheets": found.get("sheets")}}
 
 

@@ -99,28 +99,77 @@ def mbox(n=2) -> bytes:
     return b"".join(f"From a@b Mon Jan 15 09:30:00 2024\nSubject: Note {i}\nFrom: a@b\nTo: c@d\n\nBody {i}\n>From here\n\n".encode() for i in range(1, n + 1))
 
 
-def msg() -> bytes:
-    """A compound file with a few properties, all streams in the mini stream."""
-    props = {"__substg1.0_0037001F": "Topic".encode("utf-16-le"), "__substg1.0_1000001F": "The body.".encode("utf-16-le"), "__substg1.0_0C1A001F": "Alice".encode("utf-16-le"), "__substg1.0_0E04001F": "Bob".encode("utf-16-le")}
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file, all streams (under 4096 bytes each) in the mini stream."""
     mini, starts, table = b"", {}, []
-    for k, v in props.items():
+    for k, v in streams.items():
         starts[k] = len(mini) // 64
         blocks = -(-len(v) // 64)
         table += [*range(starts[k] + 1, starts[k] + blocks), 0xFFFFFFFE]
         mini += v.ljust(64 * blocks, b"\0")
-    mini = mini.ljust(512, b"\0")
 
     def entry(name, kind, child=0xFFFFFFFF, right=0xFFFFFFFF, start=0xFFFFFFFE, size=0):
         raw = (name + "\0").encode("utf-16-le")
         return raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw), kind, 1, 0xFFFFFFFF, right, child) + bytes(36) + struct.pack("<IQ", start, size)
 
-    names = list(props)
-    directory = entry("Root Entry", 5, 1, start=3, size=len(mini)) + b"".join(entry(k, 2, right=i + 2 if i + 1 < len(names) else 0xFFFFFFFF, start=starts[k], size=len(props[k])) for i, k in enumerate(names))
-    directory = directory.ljust(1024, b"\0")
-    # sectors: 0 FAT, 1-2 directory, 3 mini stream, 4 mini FAT
-    fat = struct.pack("<128I", 0xFFFFFFFD, 2, 0xFFFFFFFE, 0xFFFFFFFE, 0xFFFFFFFE, *[0xFFFFFFFF] * 123)
-    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<9I", 0, 1, 1, 0, 4096, 4, 1, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
-    return head + fat + directory + mini + struct.pack("<128I", *table, *[0xFFFFFFFF] * (128 - len(table)))
+    names = list(streams)
+    sectors = lambda n: -(-n // 512)
+    # sectors: 0 FAT, then the directory, the mini stream, the mini FAT
+    sizes = [sectors(128 * (len(names) + 1)), sectors(len(mini)), sectors(4 * len(table))]
+    at = [1, 1 + sizes[0], 1 + sizes[0] + sizes[1]]
+    directory = entry("Root Entry", 5, 1, start=at[1], size=len(mini)) + b"".join(entry(k, 2, right=i + 2 if i + 1 < len(names) else 0xFFFFFFFF, start=starts[k], size=len(streams[k])) for i, k in enumerate(names))
+    fat = [0xFFFFFFFD] + [x for first, n in zip(at, sizes, strict=True) for x in [*range(first + 1, first + n), 0xFFFFFFFE]]
+    numbers = lambda xs: struct.pack(f"<{len(xs)}I", *xs).ljust(512 * sectors(4 * len(xs)), b"\xff")
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<9I", 0, 1, 1, 0, 4096, at[2], sizes[2], 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    return head + numbers(fat) + directory.ljust(512 * sizes[0], b"\0") + mini.ljust(512 * sizes[1], b"\0") + numbers(table)
+
+
+def msg() -> bytes:
+    return compound({"__substg1.0_0037001F": "Topic".encode("utf-16-le"), "__substg1.0_1000001F": "The body.".encode("utf-16-le"), "__substg1.0_0C1A001F": "Alice".encode("utf-16-le"), "__substg1.0_0E04001F": "Bob".encode("utf-16-le")})
+
+
+def summary() -> bytes:
+    """Title and time of making."""
+    title = struct.pack("<II", 30, 8) + b"Old one\0"
+    made = struct.pack("<IQ", 64, 133497702000000000)
+    values = struct.pack("<IIIIII", 24 + len(title) + len(made), 2, 2, 24, 12, 24 + len(title)) + title + made
+    return struct.pack("<HHI", 0xFFFE, 0, 0) + bytes(16) + struct.pack("<I", 1) + bytes(16) + struct.pack("<I", 48) + values
+
+
+def doc() -> bytes:
+    one, two = "First par\x0bagraph.\rSee \x13 HYPERLINK x \x14the site\x15 now.\rName\x07Caf\xe9\x07\x07nut\x075\x07\x07".encode("cp1252"), "Λast.\r".encode("utf-16-le")
+    n = len(one), len(two) // 2
+    body = bytearray(0x200)
+    body[:2], body[10:12] = b"\xec\xa5", struct.pack("<H", 0x200)
+    body[0x4C:0x50] = struct.pack("<I", sum(n))
+    clx = b"\x01\x02\x00ab\x02" + struct.pack("<I", 12 + 16) + struct.pack("<3I", 0, n[0], sum(n)) + struct.pack("<HIH", 0, 0x200 * 2 | 0x40000000, 0) + struct.pack("<HIH", 0, 0x200 + n[0], 0)
+    body[0x1A2:0x1AA] = struct.pack("<II", 4, len(clx))
+    return compound({"WordDocument": bytes(body) + one + two, "1Table": b"pad." + clx, "\x05SummaryInformation": summary()})
+
+
+def xls() -> bytes:
+    record = lambda kind, body=b"": struct.pack("<HH", kind, len(body)) + body
+    cell = lambda y, x, rest, style=0: struct.pack("<HHH", y, x, style) + rest
+    short = lambda t: struct.pack("<BB", len(t), 0) + t.encode()
+    bof = record(0x809, struct.pack("<HHHH", 0x600, 5, 0, 0))
+    strings = struct.pack("<II", 3, 3) + struct.pack("<HB", 5, 0) + b"Month" + struct.pack("<HBH", 4, 9, 1) + "Σale".encode("utf-16-le") + bytes(4) + struct.pack("<HB", 6, 0) + b"Jan"
+    start = bof + record(0x41E, struct.pack("<HHB", 164, 10, 0) + b"yyyy-mm-dd") + record(0xE0, struct.pack("<HH", 0, 0) + bytes(16)) + record(0xE0, struct.pack("<HH", 0, 164) + bytes(16))
+    rest = record(0xFC, strings) + record(0x3C, b"\0uar") + record(0x0A)
+    sheet = record(0x85, struct.pack("<IBB", 0, 0, 0) + short("Old"))
+    where = len(start) + len(sheet) + len(rest)
+    rows = [record(0xFD, cell(0, 0, struct.pack("<I", 0))), record(0xFD, cell(0, 1, struct.pack("<I", 1))), record(0xFD, cell(1, 0, struct.pack("<I", 2))), record(0x203, cell(1, 1, struct.pack("<d", 2.5)))]
+    rows += [record(0xBD, struct.pack("<HHHIHIH", 2, 0, 0, 7 << 2 | 2, 0, 725 << 2 | 3, 1)), record(0x203, cell(3, 0, struct.pack("<d", 45306.0), 1)), record(0x06, cell(3, 1, b"\0" * 6 + b"\xff\xff" + bytes(8))), record(0x207, struct.pack("<HB", 2, 0) + b"hi"), record(0x205, cell(4, 1, b"\1\0"))]
+    return compound({"Workbook": start + record(0x85, struct.pack("<IBB", where, 0, 0) + short("Old")) + rest + bof + b"".join(rows) + record(0x0A), "\x05SummaryInformation": summary()})
+
+
+def ppt() -> bytes:
+    atom = lambda kind, body: struct.pack("<HHI", 0, kind, len(body)) + body
+    box = lambda kind, body, instance=0: struct.pack("<HHI", instance << 4 | 15, kind, len(body)) + body
+    title, text = atom(0x0F9F, struct.pack("<I", 0)), atom(0x0F9F, struct.pack("<I", 1))
+    listed = box(0x0FF0, atom(0x03F3, bytes(20)) + title + atom(0x0FA8, b"Old deck") + text + atom(0x0FA0, "one\rtwö".encode("utf-16-le")) + atom(0x03F3, bytes(20)))
+    slides = box(0x03EE, b"") + box(0x03EE, box(0x040C, text + atom(0x0FA8, b"a box")))
+    notes = box(0x03F0, box(0x040C, text + atom(0x0FA8, b"say this"))) + box(0x03F0, box(0x040C, text + atom(0x0FA8, b"2")))
+    return compound({"PowerPoint Document": box(0x03E8, box(0x03F8, text + atom(0x0FA8, b"of the master")) + listed) + slides + notes})
 
 
 def folder(at) -> dict:
@@ -129,7 +178,7 @@ def folder(at) -> dict:
         "a.docx": docx(), "b.pptx": pptx(), "c.xlsx": xlsx(), "d.csv": b"name,score\nalice,90\nbob,75\n", "e.tsv": b"a\tb\n1\t2\t3\t4\n", "f.eml": eml(), "g.msg": msg(), "h.mbox": mbox(),
         "i.png": png(), "j.txt": "﻿café au lait  \n\n\n\nend".encode(), "k.md": b"# Head\n\n**bold**", "l.html": b"<title>T</title><h1>Title</h1><p>Hello <b>world</b></p><ul><li>one<li>two</ul><script>var p = '</p>';</script>",
         "m.rtf": rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}hello \b world\b0\par caf\'e9 \u8364?}", "n.json": b'{"name":"mill","sizes":[3,"b"]}', "o.json": b"{not json", "p.pdf": pdf(), "q.odt": odt(), "r.ods": ods(), "s.odp": odp(),
-        "t.doc": b"\xd0\xcf", "u.xyz": b"?", "v.mbox": b"no mailbox", "w.pdf": pdf(encrypted=True), "x.pdf": pdf(1, 1), "y.txt": b" ", "z.csv": b"\n", "noext": b"x", "lat.txt": b"caf\xe9",
+        "t.doc": b"\xd0\xcf", "old.doc": doc(), "old.xls": xls(), "old.ppt": ppt(), "u.xyz": b"?", "v.mbox": b"no mailbox", "w.pdf": pdf(encrypted=True), "x.pdf": pdf(1, 1), "y.txt": b" ", "z.csv": b"\n", "noext": b"x", "lat.txt": b"caf\xe9",
         "bomb.docx": archive({"word/document.xml": b"<a/>", "big": bytes(5 << 20)}), "xxe.docx": archive({"word/document.xml": '<!DOCTYPE x [<!ENTITY e SYSTEM "file:///etc/passwd">]><x>&e;</x>'}),
     }
     for name, data in files.items():

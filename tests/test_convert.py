@@ -29,7 +29,7 @@ def test_every_file_gives_one_row(results, folder):
     assert set(results) == set(os.listdir(folder))
 
 
-@pytest.mark.parametrize(("name", "status", "kind"), [("t.doc", 500, "converter_unavailable"), ("u.xyz", 415, "unsupported"), ("noext", 415, "unsupported"), ("v.mbox", 415, "invalid_mbox"), ("w.pdf", 415, "encrypted_pdf"), ("x.pdf", 422, "needs_ocr"), ("bomb.docx", 413, "decompression_bomb"), ("xxe.docx", 415, "unsupported")])
+@pytest.mark.parametrize(("name", "status", "kind"), [("t.doc", 500, "failed"), ("u.xyz", 415, "unsupported"), ("noext", 415, "unsupported"), ("v.mbox", 415, "invalid_mbox"), ("w.pdf", 415, "encrypted_pdf"), ("x.pdf", 422, "needs_ocr"), ("bomb.docx", 413, "decompression_bomb"), ("xxe.docx", 415, "unsupported")])
 def test_failures(results, name, status, kind):
     r = results[name]
     assert (r.status, r.error_kind) == (status, kind) and r.markdown is None and r.error
@@ -53,6 +53,9 @@ def test_failures(results, name, status, kind):
     ("n.json", "json", ['```json\n{\n  "name": "mill"']),
     ("o.json", "json", ["```\n{not json\n```"]),
     ("p.pdf", "pdf", ["## Page 1", "## Page 2", "This sentence number 29 carries"]),
+    ("old.doc", "docx", ["First par\nagraph.\n\nSee the site now.", "| Name | Café |\n| --- | --- |\n| nut | 5 |\n\nΛast."]),
+    ("old.xls", "xlsx", ["## Old", "| Month | Σale |", "| Januar | 2.5 |\n| 7 | 7.25 |\n| 2024-01-15 00:00:00 | hi |\n|  | True |"]),
+    ("old.ppt", "pptx", ["<!-- Slide number: 1 -->\n# Old deck\n\none\ntwö\n\n### Notes:\nsay this\n\n<!-- Slide number: 2 -->\na box"]),
     ("q.odt", "docx", ["# Open Title", "Open paragraph.", "- item"]),
     ("r.ods", "xlsx", ["## Tab", "| 3 | 4 |"]),
     ("s.odp", "pptx", ["slide one\nmore"]),
@@ -88,6 +91,7 @@ def test_metadata(results):
     assert m["b.pptx"].slide_count == 1 and m["c.xlsx"].sheet_count == 1 and m["c.xlsx"].sheet_names == ["Sales"]
     assert (m["i.png"].width, m["i.png"].height, m["i.png"].image_format) == (320, 80, "PNG")
     assert (m["p.pdf"].page_count, m["p.pdf"].title, m["p.pdf"].author, m["p.pdf"].created) == (2, "Test (PDF)", "É", "2024-01-15T09:30:00")
+    assert (m["old.doc"].title, m["old.doc"].created, m["old.xls"].sheet_names, m["old.ppt"].slide_count) == ("Old one", "2024-01-15T05:30:00Z", ["Old"], 2)
     assert m["h.mbox"].message_count == 2 and m["f.eml"].message_id == "<abc123@example.com>"
     assert m["d.csv"].row_count == 2 and m["p.pdf"].language == "en" and m["l.html"].title == "T"
     assert all(x.source == k for k, x in m.items() if x is not None)
@@ -119,6 +123,44 @@ def test_scanner(spark, folder):
     assert {r.status for r in pipeline.convert(some, None, Settings(scan_command="true")).collect()} == {200}
 
 
+def test_each_file_is_scanned_and_opened_once(spark, folder, tmp_path):
+    log = tmp_path / "log"
+    script = tmp_path / "scan.sh"
+    script.write_text(f'#!/bin/sh\nwc -c < "$1" >> {log}\n')
+    script.chmod(0o755)
+    some = files.scan(spark, folder, "[abdfhkp].*")
+    got = pipeline.convert(some, "both", Settings(scan_command=str(script), zip_max_total_mb=4))
+    assert {r.status for r in got.collect()} == {200}
+    assert sorted(map(int, log.read_text().split())) == sorted(r.length for r in some.collect())
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slots_bound_what_runs_at_once(tmp_path):
+    import threading
+    import time
+
+    from docmill.plans.isolate import slot
+
+    now, most = [0], [0]
+
+    def work():
+        with slot(2):
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            time.sleep(0.05)
+            now[0] -= 1
+
+    threads = [threading.Thread(target=work) for _ in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert most[0] <= 2
+
+
+def test_settings_reach_the_layout(spark, folder):
+    whole = pipeline.convert(files.scan(spark, folder, "p.pdf"), None, Settings(pdf_crop_right=0, pdf_crop_top=0)).first()
+    assert len(whole.markdown) >= len(pipeline.convert(files.scan(spark, folder, "p.pdf"), None, Settings(pdf_crop_right=300)).first().markdown or "")
+
+
 def test_embedded_images(spark, folder):
     seen = lambda data, label: "words in it"
     r = pipeline.convert(files.scan(spark, folder, "a.docx"), None, Settings(ocr_embedded=True, zip_max_total_mb=0), seen).first()

@@ -79,6 +79,16 @@ def test_pdf_layout_of_forms_columns_and_running_lines(spark):
     assert "# Big heading here\nword00 word01" in r.markdown
 
 
+def test_pages_have_their_own_width(spark):
+    schema = "doc_id long, page int, seq int, text string, x0 double, x1 double, top double, size double, width double"
+    rows = [(d, 1, k * 100 + i, f"w{k}{i}", 72.0 + i * 60, 110.0 + i * 60, 150.0 + k * 14, 10.0, w) for d, w in ((1, 595.0), (2, 612.0), (3, 792.0), (4, 20.0)) for k in range(3) for i in range(12)]
+    df = spark.createDataFrame(rows, schema)
+    kept = {r.doc_id: r.n for r in G.cropped(df).groupBy("doc_id").agg(F.countDistinct("x0").alias("n")).collect()}
+    assert kept == {1: 8, 2: 8, 3: 11, 4: 12}
+    flags = {(r.doc_id, r.has_left, r.has_right) for r in G.line_flags(df.where("seq % 100 = 4")).collect()}
+    assert flags == {(1, False, True), (2, False, True), (3, True, False), (4, False, True)}
+
+
 def test_running_lines_go(spark):
     pages = spark.createDataFrame([(1, p, f"  Journal \nbody {p}\n{p}\nfooter") for p in range(1, 5)] + [(2, 1, "Journal\nx")], "doc_id long, page int, text string")
     got = {(r.doc_id, r.page): r.text for r in G.without_running_lines(pages).collect()}
@@ -95,7 +105,7 @@ def test_gates(spark):
 
 
 def test_dates_and_clean_values(spark):
-    for text, want in (("D:20240115093000+05'00'", "2024-01-15T09:30:00"), ("D:202401", "2024-01"), ("garbage", ""), (None, "")):
+    for text, want in (("D:20240115093000+05'00'", "2024-01-15T09:30:00"), ("D:2024011509", "2024-01-15T09"), ("D:202401", "2024-01"), ("garbage", ""), (None, "")):
         assert one(spark, X.pdf_date(F.lit(text).cast("string"))) == want
     assert one(spark, X.size_label(F.lit(1023))) == "1023 bytes" and one(spark, X.size_label(F.lit(2048))) == "2 KB"
 
