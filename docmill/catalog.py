@@ -500,7 +500,12 @@ def convert_pages(spark, d):
     return got.select("filename", "parser", "status", "markdown", "metadata.title", "metadata.language")
 
 
-@query()
+@query("""
+    WITH m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, role, regexp_replace(regexp_replace(text, '(?m)^>From ', 'From ', 'g'), '\\A\\s+|\\s+\\z', '', 'g') AS body FROM conversations),
+    t AS (SELECT conv_id, count(*) AS n, string_agg('## Message ' || i || chr(10) || chr(10) || '# Subject: turn ' || turn || chr(10) || chr(10) || '**From:** ' || role || '@example.com  ' || chr(10) || '**To:** ' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || CASE WHEN body = '' THEN '(no body)' ELSE body END, chr(10) || chr(10) ORDER BY i) AS body FROM m GROUP BY conv_id),
+    h AS (SELECT conv_id, n, '# Mailbox: ' || conv_id || '.mbox (' || CASE WHEN n = 1 THEN '1 message' ELSE n || ' messages' END || ')' || chr(10) || body AS t FROM t)
+    SELECT conv_id || '.mbox' AS filename, 200 AS status, regexp_replace(regexp_replace(t, '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS markdown, n::INT AS message_count FROM h
+""")
 def convert_mailboxes(spark, d):
     """Conversations as mailboxes."""
     from docmill.plans import pipeline

@@ -46,10 +46,14 @@ def marked(rows: DataFrame, by: Column, values: DataFrame, name: str) -> DataFra
     part = lambda c: F.shiftright(c, 15)  # noqa: E731  of 2 ** 15 bits
     inner = F.col("__place").bitwiseAND(F.lit((1 << 15) - 1))
     bitmap = values.select(place(values.columns[0]).alias("__place")).select(part("__place").alias("__part"), inner.alias("__bit"))
-    bitmap = written(bitmap.groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits")), "filter")
-    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(inner, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bitmap = bitmap.groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("b"))
+    eight = lambda i: F.conv(F.hex(F.substring("b", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    bitmap = written(bitmap.select("__part", F.transform(F.sequence(F.lit(0), F.lit(511)), eight).alias("__bits")), "filter")
+    # Eight bytes are one number, the first of them its highest.
+    word = F.get("__bits", F.shiftright(inner, 6).cast("int"))
+    at = (F.lit(56) - F.shiftright(inner, 3).bitwiseAND(F.lit(7)) * 8 + inner.bitwiseAND(F.lit(7))).cast("int")
     placed = rows.withColumn("__place", place(by)).withColumn("__part", part("__place")).join(F.broadcast(bitmap), "__part", "left")
-    bit = F.coalesce(F.bit_get(byte, inner.bitwiseAND(F.lit(7)).cast("int")), F.lit(0))
+    bit = F.coalesce(F.bit_get(word, at), F.lit(0))
     return placed.select(*[placed[f"`{c}`"] for c in rows.columns], (bit == 1).alias(name))
 
 

@@ -37,4 +37,4 @@ def test_query_equals_its_statement(spark, oracle, sf_dir, name):
 
 
 def test_every_query_has_a_statement():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) <= {"convert_pages", "convert_mailboxes", "pdf_layout"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) <= {"convert_pages", "pdf_layout"}
