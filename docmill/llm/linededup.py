@@ -128,7 +128,7 @@ def rarity(docs: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
             part = total[r * width : (r + 1) * width]
             at = np.flatnonzero(part)
             if len(at):
-                data = np.stack([at.astype(np.uint32), part[at]]).tobytes()
+                data = _sparse(at, part[at]).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([salt % SALTS], pa.int32()), pa.array([data], pa.binary())], names=COUNTS.names)
 
     def merge(t):
@@ -136,20 +136,33 @@ def rarity(docs: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
 
         out = np.zeros(width, np.uint64)
         for x in t.column("counts").to_pylist():
-            at, times = np.frombuffer(x, np.uint32).reshape(2, -1)
-            out[at] += times
+            _add(out, x)
         at = np.flatnonzero(out)
-        data = np.stack([at.astype(np.uint32), np.minimum(out[at], 0xFFFFFFFF).astype(np.uint32)]).tobytes()
+        data = _sparse(at, np.minimum(out[at], 0xFFFFFFFF)).tobytes()
         return pa.table({"range": t.column("range")[:1].cast(pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([data], pa.binary())})
 
     parts = docs.mapInArrow(count, COUNTS).groupBy("range", "salt").applyInArrow(merge, COUNTS).groupBy("range").applyInArrow(merge, COUNTS)
     out = np.zeros(1 << slot_bits, np.uint32)
     for r in written(parts, "rarity").toLocalIterator():
-        at, times = np.frombuffer(r.counts, np.uint32).reshape(2, -1)
-        out[r.range * width + at] = times
+        _add(out[r.range * width : (r.range + 1) * width], r.counts)
     return out
 
 
+_MOST = (1 << 15) - 1
+
+
+def _sparse(at: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Places (below 2 ** 17) and numbers in 32 bits each; a number above _MOST is several."""
+    again = (times // _MOST).astype(np.int64)
+    big = np.repeat(at, again).astype(np.uint32) << np.uint32(15) | np.uint32(_MOST)
+    return np.r_[at.astype(np.uint32) << np.uint32(15) | (times % _MOST).astype(np.uint32), big]
+
+
+def _add(out: np.ndarray, data: bytes) -> None:
+    x = np.frombuffer(data, np.uint32)
+    np.add.at(out, x >> np.uint32(15), (x & np.uint32(_MOST)).astype(out.dtype))
+
+
 #: prefix: the upper halves of the tokens' hashes, places: theirs in the order, both as bytes.
 LINES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("line", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("class", T.BinaryType()),

@@ -135,6 +135,14 @@ def test_bitmaps_keep_all_places(spark):
     assert np.flatnonzero(linededup._has(found, np.arange(1 << 20))).tolist() == places
 
 
+def test_sparse_counts():
+    at, times = np.array([0, 5, (1 << 17) - 1]), np.array([1, 32767, 100_000], np.uint32)
+    out = np.zeros(1 << 17, np.uint32)
+    linededup._add(out, linededup._sparse(at, times).tobytes())
+    linededup._add(out, linededup._sparse(at, times).tobytes())
+    assert out[at].tolist() == (2 * times).tolist() and out.sum() == 2 * times.sum()
+
+
 def test_words_are_told_apart():
     texts = [b"one two  One\n\nthree", None, b"a" * 16 + b" " + b"a" * 17 + b" " + b"A" * 17 + b" " + b"a" * 18, b"x\n" + "é É".encode(), b"a\x00 a"]
     h, line, docs, numbers = linededup.tokens(texts)
