@@ -8,8 +8,10 @@ shares for symbols never seen. The trie is learned from the training rows and is
 It need not fit anywhere as a whole. Documents are dealt into chunks of about CHUNK bytes; a chunk sends its distinct
 (context, symbol) keys and words with their training counts, as sorted arrays cut into buckets. A bucket holds all
 contexts that share their last two symbols, so that all orders from 2 up can be summed there; order 1 has at most 257 * 257
-numbers and comes as a literal. It answers each chunk with one value per key. Chunk and answer then meet, and each
-document is scored with its chunk's values.
+numbers and comes as a literal. Of many chunks, FAN at a time are summed into one first, level by level, and
+answers go back the same way, so a task holds the distinct keys of FAN parts of a bucket, however many chunks have them. A bucket
+answers each chunk with one value per key. Chunk and answer then meet, and each document is scored with its chunk's values.
+Logarithms go from buckets to chunks in single precision: a text's score is off by at most 6e-8 of itself.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import bucket, written
 ORDER, BITS, END = 5, 9, 256
 CHUNK = 16 << 20
 SLICE = 1 << 22
+#: Parts of a bucket that one task sums.
+FAN = 256
 WORD, GRAM, CELL, TOTAL = 0, 1, 2, 3
 #: Stands for the end among words; no word is empty.
 NO_WORD = b""
@@ -223,12 +227,33 @@ def _learn(n_buckets: int):
     return run
 
 
+def _parts(table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("keys", "counts"))
+
+
+def _sum(table):
+    """Parts of a bucket summed into one of the next level."""
+    keys, counts = counted(*_parts(table))
+    return _arrow([(*(table.column(c)[0].as_py() for c in ("kind", "bucket", "up")), len(keys), keys.tobytes(), counts.tobytes())], LEARNED)
+
+
+def _back(parts, answer):
+    """The answer to a sum of parts as answers to each of them."""
+    if not parts.num_rows:
+        return _arrow([], ANSWER)
+    kind, number = parts.column("kind")[0].as_py(), parts.column("bucket")[0].as_py()
+    keys, sizes = _parts(parts)[0], parts.column("n").to_pylist()
+    values = np.frombuffer(answer.column("found")[0].as_py(), np.int64 if kind == WORD else np.float32)
+    got = values[np.searchsorted(np.unique(keys), keys)]
+    ends = np.cumsum([0, *sizes])
+    return _arrow([(c, kind, number, n, got[a : a + n].tobytes()) for c, n, a in zip(parts.column("chunk").to_pylist(), sizes, ends, strict=False)], ANSWER)
+
+
 def _merge(cells: np.ndarray):
     def run(table):
         kind, number = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         chunks, sizes = table.column("chunk").to_pylist(), table.column("n").to_pylist()
-        keys = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+        keys, counts = _parts(table)
         distinct, sums = counted(keys, counts)
         values = sums if kind == WORD else code_lengths(distinct, sums, cells).astype(np.float32)
         got = values[np.searchsorted(distinct, keys)]
@@ -307,7 +332,7 @@ def _score(n_buckets: int, n: int, v: int):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, chunk_bytes: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, chunk_bytes: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words) and score (byte contexts), both log10.
 
     Rows whose crc32(id as text) modulo `folds` is `held_fold` are scored but not learned from. Null texts count as
@@ -318,16 +343,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
     total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    n_buckets = max(8, min(1 << 15, chunks))
+    n_buckets = max(8, min(1 << 17, chunks))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = own.select("doc_id", "text", (bucket("doc_id", folds) == held_fold).alias("held_out"), F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int").alias("chunk"))
+    own = own.select("doc_id", "text", (bucket("doc_id", folds) == held_fold).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
     learned = written(own.groupBy("chunk").applyInArrow(_learn(n_buckets), LEARNED), "learned")
     cells = np.zeros((END + 1, 2 * END), np.int64)
     for cell, times in learned.where(F.col("kind") == CELL).groupBy("bucket").agg(F.sum("n")).collect():  # at most 257 * 257
         cells[cell >> BITS, cell & (2 * END - 1)] = times
     n = learned.where(F.col("kind") == TOTAL).agg(F.sum("n")).first()[0] or 0
-    asked = learned.where(F.col("kind").isin(WORD, GRAM))
-    answers = written(asked.groupBy("kind", "bucket").applyInArrow(_merge(cells), ANSWER), "answers")
+    levels, parts = [learned.where(F.col("kind").isin(WORD, GRAM))], chunks
+    above = lambda n: F.pmod("chunk", F.lit(n)).alias("up")
+    ups = []
+    while parts > fan:
+        parts = -(-parts // fan)
+        ups.append(parts)
+        levels.append(written(levels[-1].withColumn("up", above(parts)).groupBy("kind", "bucket", "up").applyInArrow(_sum, LEARNED), "sums"))
+    answers = written(levels[-1].groupBy("kind", "bucket").applyInArrow(_merge(cells), ANSWER), "answers")
     v = answers.where(F.col("kind") == TOTAL).agg(F.sum("n")).first()[0] or 0
     mine = answers.where(F.col("kind") != TOTAL)
+    keys = ["kind", "bucket", "up"]
+    for level, ups_there in zip(levels[-2::-1], ups[::-1], strict=True):
+        mine = written(level.withColumn("up", above(ups_there)).groupBy(*keys).cogroup(mine.withColumnRenamed("chunk", "up").groupBy(*keys)).applyInArrow(_back, ANSWER), "answers")
     return own.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_score(n_buckets, n, v), SCORES)

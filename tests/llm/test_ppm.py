@@ -42,10 +42,10 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [16 << 20, 3000])
-def test_scores_equal_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "fan"), [(16 << 20, 256), (3000, 256), (900, 3)])
+def test_scores_equal_brute_force(spark, chunk, fan):
     rows = [*corpus(n=60)[:55], (None, "null id"), (3, "again"), (3, "again")]
-    got = sorted((tuple(r) for r in ppm.score(frame(spark, rows), chunk_bytes=chunk).collect()), key=repr)
+    got = sorted((tuple(r) for r in ppm.score(frame(spark, rows), chunk_bytes=chunk, fan=fan).collect()), key=repr)
     want = sorted(brute(rows), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
