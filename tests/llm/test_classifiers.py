@@ -99,6 +99,54 @@ def test_defined_results_of_odd_rows(spark):
     assert toxicity.toxicity(frame(spark, []), marks).collect() == []
 
 
+def test_defined_results_of_odd_rows_in_quality(spark):
+    rows, labels = labelled_docs("excellent")
+    rows += [(None, "excellent"), (1000, None), (1001, ""), (1002, "an excellent one"), (1002, "an excellent one"), (1003, "x " * 50_000), (1004, "\x00 \u3000é")]
+    marks = spark.createDataFrame([*labels, (None, 1), (5, None), (6, 1), (6, 0), (6, 0)], "doc_id long, quality int")
+    got = quality.quality(frame(spark, rows), marks).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+        assert r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % labelled.FOLDS == labelled.HELD)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    assert by[1000][0].score == by[1001][0].score and by[1002][0].score == by[1002][1].score
+    assert quality.quality(frame(spark, []), marks).collect() == []
+    kept = quality.keep_quality(frame(spark, rows), marks)
+    assert kept.columns == frame(spark, rows).columns and kept.count() == sum(r.predicted for r in got)
+
+
+def test_quality_labels_never_reach_a_held_out_row(spark):
+    rows, labels = labelled_docs("excellent", 200)
+    turned = [(i, 1 - y if zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, y in labels]
+    scores = [sorted((r.doc_id, r.score) for r in quality.quality(frame(spark, rows), spark.createDataFrame(x, "doc_id long, quality int")).collect()) for x in (labels, turned)]
+    assert scores[0] == scores[1]
+
+
+def test_log_count_ratios_by_counting():
+    rows, labels = labelled_docs("excellent", 90)
+    features = quality.Features()
+    found, y = [features(t) for _, t in rows], np.array([v for _, v in labels]) == 1
+    n = quality.WORDS + quality.FORMS
+    got = quality.log_count_ratios(found, y, n)
+    sets = [set(a.tolist()) | set(b.tolist()) for a, b in found]
+    for k in [*sorted(sets[0])[:40], 3]:
+        p, q = (1 + sum(k in s for s, v in zip(sets, y, strict=True) if v == one) for one in (True, False))
+        assert np.isclose(got[k], np.log(p / (y.sum() + 2)) - np.log(q / ((~y).sum() + 2)))
+
+
+def test_calibration_rows_are_in_no_count():
+    rows, labels = labelled_docs("excellent", 300)
+    texts, marks = [t for _, t in rows], [y for _, y in labels]
+    other = ["zzz " + t if k % 5 == 4 else t for k, t in enumerate(texts)]
+    one, two = quality.fit(texts, marks), quality.fit(other, marks)
+    assert np.array_equal(one["weights"], two["weights"]) and one["bias"] == two["bias"]
+    rows, labels = labelled_docs("villain", 300)
+    texts, marks = [t for _, t in rows], [y for _, y in labels]
+    other = [t.replace("villain", "scoundrel") if k % 5 == 4 else t for k, t in enumerate(texts)]
+    assert toxicity.fit(texts, marks)["landmarks"] == toxicity.fit(other, marks)["landmarks"]
+
+
 def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for run, keep in ((quality.quality, quality.keep_quality), (toxicity.toxicity, toxicity.drop_toxic)):

@@ -39,6 +39,13 @@ def test_stages_do_what_their_operators_say(spark):
     assert max(sums.values()) <= 4096 and len(sums) <= 1.01 * np.ceil(sum(sums.values()) / 4096) + 1
 
 
+def test_stages_on_an_empty_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).collect() == [], name
+
+
 def _first(d, same):
     seen = {}
     for r in sorted(d.collect(), key=lambda r: r.doc_id):

