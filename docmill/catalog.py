@@ -44,9 +44,12 @@ _STOP = {k: ", ".join(f"'{w}'" for w in v) for k, v in L.WORDS.items()}
 
 def _sql_language(text: str) -> str:
     sample = f"substring(regexp_replace({text}, '\\A\\s+|\\s+\\z', '', 'g'), 1, 2000)"
-    hits = ", ".join(f"{{'h': len(list_filter(string_split_regex(lower({sample}), '[^\\p{{L}}]+'), lambda w: w IN ({v}))), 'l': '{k}'}}" for k, v in _STOP.items())
+    hits = ", ".join(f"{{'h': len(list_filter(ws, lambda w: w IN ({v}))), 'l': '{k}'}}" for k, v in _STOP.items())
     best = f"list_reduce([{hits}], lambda a, x: CASE WHEN x.h > a.h THEN x ELSE a END)"
-    return f"CASE WHEN length({sample}) >= 20 AND ({best}).h > 0 THEN ({best}).l END"
+    n = lambda inner: f"length(regexp_replace(s, '[^{inner}]', '', 'g'))"
+    own = {k: n("".join(f"\\p{{{x}}}" for x in v)) for k, v in L.SCRIPTS.items()}
+    script = "CASE " + " ".join(f"WHEN {c} > 0 AND {c} * {L.SHARE} >= {n(chr(92) + 'p{L}')} THEN '{k}'" for k, c in own.items()) + " END"
+    return f"(SELECT CASE WHEN length(s) >= 20 THEN coalesce({script}, CASE WHEN ({best}).h > 0 THEN ({best}).l END) END FROM (SELECT s, string_split_regex(lower(s), '[^\\p{{L}}]+') AS ws FROM (SELECT {sample} AS s)))"
 
 
 @query(f"SELECT page_id, url AS source, {_SQL_HTML} AS markdown, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, {_sql_language(_SQL_HTML)} AS language FROM pages")

@@ -1,4 +1,4 @@
-"""`python -m docmill.cli FILE...`: results as JSON; `--bench FOLDER`: a report by extension; `--formats`, `--health`."""
+"""`python -m docmill.cli FILE...`: results as JSON; `--bench FOLDER [--json FILE]`: a report by extension, and records; `--formats`, `--health`."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import shutil
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill import registry
@@ -23,13 +23,43 @@ def health() -> dict:
     return {"status": "ok", "tools": {x: shutil.which(x) is not None for x in ("soffice", "tesseract", "pandoc")}}
 
 
-def bench(spark: SparkSession, folder: str, per_ext: int, settings: Settings):
-    """Converts up to `per_ext` files of each extension and reports them; times are those of the whole job, shared out."""
+def read_times(chosen: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, ms): how long the reader of each file takes, one after another in a task."""
+    extra = dict(registry.KERNELS)
+
+    def run(batches):
+        import pandas as pd
+
+        from docmill.sources.kernels import parse
+        from docmill.sources.plain import decoded
+
+        for batch in batches:
+            took = []
+            for parser, ext, data in zip(batch["parser"], batch["ext"], batch["content"], strict=True):
+                began = time.perf_counter()
+                if parser in ("text", "markdown"):
+                    decoded(bytes(data or b""))
+                elif parser:
+                    parse(parser, ext, bytes(data or b""), settings, False, extra)
+                took.append((time.perf_counter() - began) * 1000)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ms": took})
+
+    return registry.routed(files.named(chosen)).select("doc_id", "parser", "ext", "content").mapInPandas(run, "doc_id string, ms double")
+
+
+def bench_records(spark: SparkSession, folder: str, per_ext: int, settings: Settings) -> DataFrame:
+    """A row for each of up to `per_ext` files of each extension: filename, ext, ok, status, ms (of its reader), parser, error."""
     chosen = R.sampled(files.named(files.scan(spark, folder)), per_ext).select("path", "modificationTime", "length", "content")
-    began = time.time()
-    rows = pipeline.convert(chosen, "markdown", settings).select("doc_id", "ext", "status", "parser", "error").collect()
-    each = (time.time() - began) * 1000 / max(1, len(rows))
-    runs = spark.createDataFrame([(r.doc_id, r.ext, r.status == 200, each, r.parser or "", r.error) for r in rows], "seq string, ext string, ok boolean, ms double, parser string, error string")
+    results = pipeline.convert(chosen, "markdown", settings).select("doc_id", "filename", "ext", (F.col("status") == 200).alias("ok"), "status", F.coalesce("parser", F.lit("")).alias("parser"), "error")
+    return results.join(read_times(chosen, settings), "doc_id", "left")
+
+
+def bench(spark: SparkSession, folder: str, per_ext: int, settings: Settings, records: list | None = None):
+    """Converts up to `per_ext` files of each extension and reports them by extension and in all; the records go to `records`."""
+    rows = bench_records(spark, folder, per_ext, settings).collect()
+    if records is not None:
+        records += sorted(({k: v for k, v in r.asDict().items() if k != "doc_id"} for r in rows), key=lambda r: (r["ext"] or "", r["filename"]))
+    runs = spark.createDataFrame([(r.doc_id, r.ext, r.ok, float(r.ms or 0), r.parser, r.error) for r in rows], "seq string, ext string, ok boolean, ms double, parser string, error string")
     return R.report(runs).orderBy(F.col("ext").asc_nulls_last())
 
 
@@ -46,6 +76,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--mode", default=None)
     p.add_argument("--bench", metavar="FOLDER")
     p.add_argument("--per-ext", type=int, default=10)
+    p.add_argument("--json", metavar="FILE", help="where --bench writes its records")
     p.add_argument("--formats", action="store_true")
     p.add_argument("--health", action="store_true")
     a = p.parse_args(argv)
@@ -62,7 +93,11 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps([r.ext for r in registry.formats(spark).collect()]))
         return 0
     if a.bench:
-        bench(spark, a.bench, a.per_ext, Settings.of(spark)).show(100, False)
+        records: list = []
+        bench(spark, a.bench, a.per_ext, Settings.of(spark), records).show(100, False)
+        if a.json:
+            with open(a.json, "w", encoding="utf-8") as f:
+                json.dump(records, f, indent=2, ensure_ascii=False)
         return 0
     if not a.paths:
         p.print_usage(sys.stderr)

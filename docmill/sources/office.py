@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
@@ -167,6 +168,10 @@ def latex(node: Node | None) -> str:
 
 # ---------------------------------------------------------------- word processing
 
+#: Elements of tracked changes and what they are called.
+CHANGES = {"ins": "insertion", "moveTo": "insertion", "del": "deletion", "moveFrom": "deletion"}
+
+
 class _Docx:
     def __init__(self, archive: Archive) -> None:
         self.archive = archive
@@ -231,8 +236,12 @@ class _Docx:
                 out += [self.formula(m, True) for m in c.children if m.name == "oMath"]
             elif c.name == "oMath":
                 out.append(self.formula(c, False))
+            elif c.name in CHANGES:
+                text = self.inline(c)
+                marks = "".join(f' {k}="{html.escape(c.get(k))}"' for k in ("author", "date") if c.get(k))
+                out.append(f'<span class="{CHANGES[c.name]}"{marks}>{text}</span>' if text else "")
             elif c.name not in ("pPr", "#text", "p", "tbl"):
-                out.append(self.inline(c))  # insertions, deletions, fields, content controls
+                out.append(self.inline(c))  # fields, content controls
         return "".join(out).replace("****", "")
 
     def paragraph(self, node: Node) -> str:

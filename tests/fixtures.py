@@ -28,7 +28,7 @@ def png(width=320, height=80) -> bytes:
 def docx() -> bytes:
     body = f"""<w:document {W}><w:body>
       <w:p><w:pPr><w:pStyle w:val="H1"/></w:pPr><w:r><w:t>Quarterly Report</w:t></w:r></w:p>
-      <w:p><w:r><w:t xml:space="preserve">Plain </w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>bold</w:t></w:r><w:ins><w:r><w:t xml:space="preserve"> added</w:t></w:r></w:ins><w:del><w:r><w:delText xml:space="preserve"> gone</w:delText></w:r></w:del></w:p>
+      <w:p><w:r><w:t xml:space="preserve">Plain </w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>bold</w:t></w:r><w:ins w:id="1" w:author="A &amp; B" w:date="2024-01-15T09:30:00Z"><w:r><w:t xml:space="preserve"> added</w:t></w:r></w:ins><w:del><w:r><w:delText xml:space="preserve"> gone</w:delText></w:r></w:del></w:p>
       <w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr></w:pPr><w:r><w:t>one</w:t></w:r></w:p>
       <w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr></w:pPr><w:hyperlink r:id="L"><w:r><w:t>two</w:t></w:r></w:hyperlink></w:p>
       <w:tbl><w:tr><w:tc><w:p><w:r><w:t>Metric</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>Value</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>Revenue</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>100</w:t></w:r></w:p></w:tc></w:tr></w:tbl>

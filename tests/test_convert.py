@@ -36,7 +36,7 @@ def test_failures(results, name, status, kind):
 
 
 @pytest.mark.parametrize(("name", "parser", "parts"), [
-    ("a.docx", "docx", ["# Quarterly Report", "Plain **bold** added gone", "1. one\n2. [two](https://example.com)", "| Metric | Value |\n| --- | --- |\n| Revenue | 100 |", "so $`\\frac{a}{b}`$", "```math\n{x}^{2}\n```"]),
+    ("a.docx", "docx", ["# Quarterly Report", 'Plain **bold**<span class="insertion" author="A &amp; B" date="2024-01-15T09:30:00Z"> added</span><span class="deletion"> gone</span>', "1. one\n2. [two](https://example.com)", "| Metric | Value |\n| --- | --- |\n| Revenue | 100 |", "so $`\\frac{a}{b}`$", "```math\n{x}^{2}\n```"]),
     ("b.pptx", "pptx", ["# Deck Title", "first point\nsecond point", "### Notes:\nsay hello"]),
     ("c.xlsx", "xlsx", ["## Sales", "| Region | Total |", "| North | 42 |", "|  | 58 |"]),
     ("d.csv", "csv", ["| name | score |\n| --- | --- |\n| alice | 90 |\n| bob | 75 |"]),
@@ -217,12 +217,27 @@ def test_sinks_and_stream(spark, folder, tmp_path):
     assert sorted(r.markdown for r in spark.read.parquet(str(tmp_path / "s")).select("markdown").collect()) == ["j", "k"]
 
 
+def test_command_line(folder, capsys):
+    from pathlib import Path
+
+    from docmill.cli import main
+
+    assert main([]) == 2 and main(["--mode", "bogus", "x"]) == 2
+    assert main(["--health"]) == 0 and main(["--formats"]) == 0
+    capsys.readouterr()
+    assert main([str(Path(folder) / "n.json"), "--mode", "both"]) == 0
+    assert json.loads(capsys.readouterr().out)["status"] == 200
+    assert main([str(Path(folder) / "u.xyz")]) == 1
+
+
 def test_archive_scan(spark, folder):
     from docmill.cli import bench, health, with_raster_images
 
     assert health()["status"] == "ok"
     assert [r.raster_count for r in with_raster_images(spark, folder, 5).collect()] == [3]
-    report = {r.ext: r for r in bench(spark, folder, 2, Settings()).collect()}
+    records = []
+    report = {r.ext: r for r in bench(spark, folder, 2, Settings(), records).collect()}
+    assert {r["filename"]: r["ok"] for r in records}["n.json"] and all(r["ms"] >= 0 for r in records) and json.dumps(records)
     assert report[".json"].ok == 2 and report[None].n >= 25
 
 

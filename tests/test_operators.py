@@ -89,6 +89,27 @@ def test_pages_have_their_own_width(spark):
     assert flags == {(1, False, True), (2, False, True), (3, True, False), (4, False, True)}
 
 
+LANGUAGES = {
+    "en": "The parser converts documents and the text of this is plain for all that read it.", "de": "Die Katze ist nicht der Hund, und das Haus von nebenan ist für ein Kind.",
+    "fr": "Le chat est dans la maison et les enfants jouent sur le tapis pour une heure.", "es": "El perro de los vecinos que se acuesta por las tardes con una manta.",
+    "it": "Il gatto che dorme non sono io, ma anche gli altri della casa per un po'.", "pt": "O menino que não come mais com os amigos em casa dos pais para uma festa.",
+    "nl": "Het is niet zo dat een kat van de buren op zijn stoel wordt gezien.", "sv": "Det är inte så att alla som bor här har en katt och en hund med sig.",
+    "pl": "To nie jest tak, że kot się nudzi na dachu oraz dla zabawy skacze.", "cs": "Kočka je na střeše a také jsou tam psi, které byl vidět jako pro děti.",
+    "ru": "Кот не спит на крыше, и это как раз то, что нужно для дома.", "uk": "Кіт не спить на даху, і це те, що є як для дому та від саду.",
+    "tr": "Bu kedi çok güzel ve bir köpek gibi daha iyi olan bir ev için.", "vi": "Con mèo của tôi là một con vật không có trong nhà và được cho ăn.",
+    "ja": "猫は屋根の上で眠っています。そして犬は庭にいます。とても静かな日です。", "zh-cn": "猫在屋顶上睡觉，狗在花园里玩耍，这是一个非常安静的日子，天气很好。", "ko": "고양이는 지붕 위에서 자고 있고 개는 정원에 있습니다.",
+    "el": "Η γάτα κοιμάται στη στέγη και ο σκύλος είναι στον κήπο.", "ar": "القطة نائمة على السطح والكلب في الحديقة اليوم.", "he": "החתול ישן על הגג והכלב נמצא בגינה היום.", "th": "แมวนอนอยู่บนหลังคาและสุนัขอยู่ในสวนวันนี้", "hi": "बिल्ली छत पर सो रही है और कुत्ता बगीचे में है।",
+}
+
+
+def test_languages(spark):
+    from docmill.functions import language as L
+
+    rows = [*LANGUAGES.items(), (None, "too short"), (None, "12345 67890 12345 67890"), ("en", "The word is 猫 and that is the only one of its kind for now, with thanks.")]
+    got = [r.l for r in spark.createDataFrame(rows, "want string, t string").select(L.language(F.col("t")).alias("l")).collect()]
+    assert got == [w for w, _ in rows]
+
+
 def test_running_lines_go(spark):
     pages = spark.createDataFrame([(1, p, f"  Journal \nbody {p}\n{p}\nfooter") for p in range(1, 5)] + [(2, 1, "Journal\nx")], "doc_id long, page int, text string")
     got = {(r.doc_id, r.page): r.text for r in G.without_running_lines(pages).collect()}
