@@ -39,3 +39,17 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray | None = None) -> np.ndarr
         x[owner[part], column[part] - k * step] = 1
         both += x[rows] @ x.T
     return both.astype(np.int64)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The smallest number that edges a-b between numbers below n join each number with; root: from earlier edges."""
+    root = np.arange(n) if root is None else root
+    while True:
+        x, y = root[a], root[b]
+        differ = x != y
+        if not differ.any():
+            return root
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]

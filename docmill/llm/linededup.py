@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import in_blocks, overlaps
+from .blocks import forest, in_blocks, overlaps
 from .common import freed, likely_among, marked, written
 from .components import connected_components
 
@@ -347,20 +347,6 @@ def met(cols: dict[str, np.ndarray], percent: int, at_once: int = 1 << 20):
         k = to
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
-    """The smallest number that edges a-b between numbers below n join each number with; root: from earlier edges."""
-    root = np.arange(n) if root is None else root
-    while True:
-        x, y = root[a], root[b]
-        differ = x != y
-        if not differ.any():
-            return root
-        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while (root[root] != root).any():
-            root = root[root]
-
-
 def likeliest(rows: np.ndarray, kept: int) -> np.ndarray:
     """Of rows (doc_b, line_b, far, doc_a, line_a, more) each pair once and the `kept` best of each b, `more` where it has others."""
     rows = rows[np.lexsort((rows["line_a"], rows["doc_a"], rows["far"], rows["line_b"], rows["doc_b"]))]

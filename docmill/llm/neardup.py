@@ -9,7 +9,10 @@ s = 0.8 and 3e-6 at 0.85, and then matters only if no other path joins the two.
 2. Halves that only one representative has are dropped before pairs of halves are formed.
 3. Each table bucket is a star around its smallest member, so a bucket of n gives n - 1 edges; components of the stars are
    clusters that hold every candidate pair.
-4. A cluster is dealt out in blocks; a task compares two blocks by their full sets and returns a spanning forest of the
+4. A cluster above one block is split first: its members are held against each other by their half keys alone, and only those
+   with MATCH equal ones stay together, so that a chain of documents with little in common comes apart before
+   any text is moved. At similarity 0.8 a pair has fewer with probability below 1e-5.
+5. A cluster is dealt out in blocks; a task compares two blocks by their full sets and returns a spanning forest of the
    links it finds, never all pairs. Components of these are the result.
 """
 
@@ -22,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import in_blocks, overlaps
+from .blocks import forest, in_blocks, overlaps
 from .common import Memo, dropped, likely_among, marked, resident, written
 from .components import connected_components
 
 HALVES, ROWS = 14, 3
 #: Documents of a cluster that are compared as one block.
 BLOCK = 384
+#: Equal half keys of 2 * HALVES from which two members of a large cluster are held to be candidates still.
+MATCH = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -200,7 +205,55 @@ def _confirmed(members: DataFrame, width: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, EDGES)
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", halves: int = HALVES, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def _with_roots(roots: DataFrame) -> DataFrame:
+    """(rep, cluster) of every member, the roots included, from connected_components()."""
+    clusters = roots.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    return written(clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct()), "clusters")
+
+
+def _split(clusters: DataFrame, reps: DataFrame, block: int, match: int) -> DataFrame:
+    """(rep, cluster), those above one block split into what pairs with `match` equal half keys join; members without such a pair go."""
+    large = written(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("cluster"), "large")
+    if large.isEmpty():
+        return clusters
+    members = clusters.join(large, "cluster", "left_semi")
+    keys = members.select("rep").join(reps.select("rep", "halves"), "rep")  # an id with several texts has several rows
+    tasks = in_blocks(members.select(F.col("rep").alias("node"), "cluster"), block).withColumnRenamed("node", "rep").join(keys, "rep")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+
+        def found():
+            if len(held) < 2:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=EDGES.names)
+            ids, blocks, halves = (np.array(x) for x in zip(*held, strict=True))
+            equal = np.zeros((len(ids), len(ids)), np.uint8)
+            for c in halves.T:
+                equal += c[:, None] == c[None]
+            ok = equal >= match
+            if blocks.min() != blocks.max():
+                ok &= blocks[:, None] != blocks[None]
+            root = forest(len(ids), *np.nonzero(np.triu(ok, 1)))
+            x = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[root[x]]), pa.array(ids[x])], names=EDGES.names)
+
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for new, row in zip(zip(*cols[:3], strict=True), zip(*cols[3:], strict=True), strict=True):
+                if new != key:
+                    yield found()
+                    key, held = new, []
+                held.append(row)
+        yield found()
+
+    dealt = tasks.select("cluster", "i", "j", "rep", "block", "halves").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    finer = _with_roots(connected_components(dealt.mapInArrow(run, EDGES)))
+    return written(clusters.join(large, "cluster", "left_anti").unionByName(finer), "clusters")
+
+
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", halves: int = HALVES, rows: int = ROWS, block: int = BLOCK, match: int = MATCH) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included), kept.
 
     Texts without words have no shingles and no links. A row with a null id takes no part in links: its component_id
@@ -211,8 +264,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     whole = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = written(whole.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")), "reps")
     clusters = connected_components(_candidates(reps, halves))
-    clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    clusters = written(clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct()), "clusters")
+    clusters = _split(_with_roots(clusters), reps, block, match)
     # Texts that are in no cluster are left out where they are read.
     ids = clusters.select(F.col("rep").alias("doc_id"))
     texts = likely_among(own, F.col("doc_id"), ids).join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct()

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from docmill.llm import linededup
+from docmill.llm import blocks, linededup
 
 from .helpers import frame, words
 
@@ -108,7 +108,7 @@ def test_likeliest():
 def test_forest():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
-    root = linededup.forest(300, a[100:], b[100:], linededup.forest(300, a[:100], b[:100]))
+    root = blocks.forest(300, a[100:], b[100:], blocks.forest(300, a[:100], b[:100]))
     group = list(range(300))
     for _ in range(300):
         for x, y in zip(a, b, strict=True):
