@@ -90,7 +90,7 @@ def test_pages_have_their_own_width(spark):
 
 
 LANGUAGES = {
-    "en": "The parser converts documents and the text of this is plain for all that read it.", "de": "Die Katze ist nicht der Hund, und das Haus von nebenan ist für ein Kind.",
+    "en": "The weather is fine and the dog that was asleep for hours is now out with us.", "de": "Die Katze ist nicht der Hund, und das Haus von nebenan ist für ein Kind.",
     "fr": "Le chat est dans la maison et les enfants jouent sur le tapis pour une heure.", "es": "El perro de los vecinos que se acuesta por las tardes con una manta.",
     "it": "Il gatto che dorme non sono io, ma anche gli altri della casa per un po'.", "pt": "O menino que não come mais com os amigos em casa dos pais para uma festa.",
     "nl": "Het is niet zo dat een kat van de buren op zijn stoel wordt gezien.", "sv": "Det är inte så att alla som bor här har en katt och en hund med sig.",
