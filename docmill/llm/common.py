@@ -62,8 +62,24 @@ _RESIDENT: dict = {}
 
 def resident(key: tuple, make):
     """What `make` gives, kept in this worker process until another key is asked for: tables that one task has built
-    serve the next one, and at most one set of them takes memory."""
+    serve the next one, and at most one set of them takes memory; that of the last set goes back to the system."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        if _RESIDENT:
+            _RESIDENT.clear()
+            _returned()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
+
+
+def _returned() -> None:
+    """Give memory that is free in this process back to the system, where its C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
