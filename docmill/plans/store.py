@@ -36,11 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def marked(rows: DataFrame, by: Column, values: DataFrame, name: str) -> DataFrame:
+def marked(rows: DataFrame, by: Column, values: DataFrame, name: str, often: bool = False) -> DataFrame:
     """Rows with a column `name`: false only where `by` is none of the only column of `values`, a written table.
 
     A bitmap of 256 to 512 bits a value, of 32 MB at most whatever the number of values, is sent to all tasks as a small table,
-    so that rows are told apart where they are read, without a shuffle."""
+    so that rows are told apart where they are read, without a shuffle. `often`: it is written, for plans that use it many times."""
     bits = min(max(FILTER_BITS[0], (256 * values.count()).bit_length()), FILTER_BITS[1])
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     part = lambda c: F.shiftright(c, 15)  # noqa: E731  of 2 ** 15 bits
@@ -48,7 +48,9 @@ def marked(rows: DataFrame, by: Column, values: DataFrame, name: str) -> DataFra
     bitmap = values.select(place(values.columns[0]).alias("__place")).select(part("__place").alias("__part"), inner.alias("__bit"))
     bitmap = bitmap.groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("b"))
     eight = lambda i: F.conv(F.hex(F.substring("b", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
-    bitmap = written(bitmap.select("__part", F.transform(F.sequence(F.lit(0), F.lit(511)), eight).alias("__bits")), "filter")
+    bitmap = bitmap.select("__part", F.transform(F.sequence(F.lit(0), F.lit(511)), eight).alias("__bits"))
+    if often:
+        bitmap = written(bitmap, "filter")
     # Eight bytes are one number, the first of them its highest.
     word = F.get("__bits", F.shiftright(inner, 6).cast("int"))
     at = (F.lit(56) - F.shiftright(inner, 3).bitwiseAND(F.lit(7)) * 8 + inner.bitwiseAND(F.lit(7))).cast("int")
