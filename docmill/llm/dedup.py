@@ -40,10 +40,10 @@ class DigestIndex:
         self._made = 0
 
     def _write(self, rows: DataFrame, level: int, runs: int) -> None:
-        """Rows with their run (from 0) as runs of a level: sorted files with Parquet filters on the digest."""
+        """Rows with their run (from 0) as runs of a level: files sorted by run and digest, one a task, with Parquet filters on the digest."""
         self._made += 1
         path = f"{self.folder}/level={level}/made={self._made}"
-        rows.select(*self.schema.names).sortWithinPartitions("run", "digest", "id").write.partitionBy("run").option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+        rows.select(*self.schema.names).sortWithinPartitions("run", "digest", "id").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
         self.runs.setdefault(level, []).extend((path, k) for k in range(runs))
 
     def read(self, runs: list[tuple[str, int]]) -> DataFrame:
@@ -127,13 +127,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = written(exact_groups(docs, id_col, text_col).where("group_size > 1"), "copies")
     keep = groups.where("kept").groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
     keep = written(keep.agg((F.count(F.lit(1)) > 1).alias("__again")), "kept")
-    # Rows that the filter knows to have no copy stay where they are.
-    own = marked(docs.withColumn("__sha", F.lower(F.hex(sha256(normalised(F.col(text_col)))))), F.col("__sha"), written(groups.select("text_sha256").distinct(), "hits"), "__hit")
-    hit = own.where("__hit")
-    alone = own.where("NOT __hit").unionByName(hit.join(groups.select(F.col("text_sha256").alias("__sha")).distinct(), "__sha", "left_anti"))
+    # Rows whose id the filter knows to be of no group stay where they are, their texts unread.
+    own = marked(docs, F.col(id_col), groups.select("doc_id"), "__hit")
+    hit = own.where("__hit").withColumn("__sha", F.lower(F.hex(sha256(normalised(F.col(text_col))))))
+    alone = own.where("NOT __hit").select(*docs.columns).unionByName(hit.join(groups.select(F.col("text_sha256").alias("__sha")).distinct(), "__sha", "left_anti").select(*docs.columns))
     joined = hit.join(keep, hit[id_col].eqNullSafe(keep["__kept_id"]) & (hit["__sha"] == keep["__kept_sha"]))
     # Only rows that repeat an id with the same text need meet.
-    once = alone.select(*docs.columns).unionByName(joined.where("NOT __again").select(*docs.columns))
+    once = alone.unionByName(joined.where("NOT __again").select(*docs.columns))
     if keep.where("__again").isEmpty():
         return once
     return once.unionByName(joined.where("__again").dropDuplicates([id_col, "__sha"]).select(*docs.columns))

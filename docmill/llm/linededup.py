@@ -633,7 +633,7 @@ def _found(own: DataFrame, percent: int, slot_bits: int, hot_from: int, block: i
     lines = written(described(own, counts, percent), "lines")
     # Most lines have a set of their own and are classes as they are; only others meet.
     again = lines.groupBy(F.xxhash64("class").alias("x")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
-    lines = marked(lines, F.xxhash64("class"), written(again, "again"), "again")
+    lines = marked(lines, F.xxhash64("class"), written(again, "again"), "again", often=True)
     cols = ["doc", "line", "n", "s1", "s2", "prefix", "places"]
     held = F.min(F.struct("doc_id", "line", "n", "s1", "s2", "prefix", "places")).alias("f")
     several = written(lines.where("again").groupBy("class").agg(held).select("class", F.col("f.doc_id").alias("doc"), *[f"f.{c}" for c in cols[1:]]), "classes")
