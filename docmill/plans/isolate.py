@@ -10,7 +10,8 @@ import tempfile
 import time
 
 
-def _serve(pipe, function) -> None:
+def _serve(pipe, parents, function) -> None:
+    parents.close()  # else this process would not see its parent's end
     while True:
         try:
             args = pipe.recv()
@@ -27,7 +28,7 @@ class Child:
     def start(self) -> None:
         context = multiprocessing.get_context("fork")
         self.pipe, other = context.Pipe()
-        self.process = context.Process(target=_serve, args=(other, self.function), daemon=True)
+        self.process = context.Process(target=_serve, args=(other, self.pipe, self.function), daemon=True)
         self.process.start()
         other.close()
 
@@ -72,6 +73,8 @@ def slot(most: int):
             try:
                 yield
             finally:
+                # A child that was forked meanwhile has the file open too: closing it here alone would leave it locked.
+                fcntl.flock(f, fcntl.LOCK_UN)
                 os.close(f)
             return
         time.sleep(0.01)

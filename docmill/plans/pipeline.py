@@ -27,6 +27,8 @@ READ = T.StructType(
     [T.StructField("doc_id", T.StringType()), *schema.PARSED.fields, T.StructField("words", T.ArrayType(_WORD)), T.StructField("messages", T.ArrayType(_MESSAGE)), T.StructField("pdf", _PDF), T.StructField("images", T.ArrayType(_IMAGE)), T.StructField("engine", T.StringType())]
 )
 _LIGHT = ("text", "markdown")
+#: Bytes of files, and files, whose results go on together: a batch of every column of READ costs much more than a small file.
+BATCH = (1 << 20, 256)
 
 
 def _shaped(value, kind: T.DataType):
@@ -87,6 +89,11 @@ def read(files: DataFrame, settings: Settings, structured: bool, ocr=None) -> Da
 
         want = to_arrow_schema(READ)
         child = Child(one, settings.worker_timeout_s)
+        rows, size = [], 0
+
+        def batched():
+            return pa.RecordBatch.from_arrays([pa.array([_shaped(r.get(f.name), f.dataType) for r in rows], w.type) for f, w in zip(READ.fields, want, strict=True)], schema=want)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 d, parser, ext, heavy, data = (batch.column(k)[i].as_py() for k in range(5))
@@ -96,7 +103,13 @@ def read(files: DataFrame, settings: Settings, structured: bool, ocr=None) -> Da
                 else:
                     found = {**one(parser, ext, data or b""), "doc_id": d}
                 found["parser"] = found.get("parser") or parser
-                yield pa.RecordBatch.from_arrays([pa.array([_shaped(found.get(f.name), f.dataType)], w.type) for f, w in zip(READ.fields, want, strict=True)], schema=want)
+                rows.append(found)
+                size += len(data or b"")
+                if size >= BATCH[0] or len(rows) >= BATCH[1]:
+                    yield batched()
+                    rows, size = [], 0
+        if rows:
+            yield batched()
         child.stop()
 
     return files.select("doc_id", "parser", "ext", "heavy", "content").mapInArrow(run, READ)

@@ -1,4 +1,5 @@
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,7 +137,6 @@ def test_each_file_is_scanned_and_opened_once(spark, folder, tmp_path):
 
 
 def test_slots_bound_what_runs_at_once(tmp_path):
-    import threading
     import time
 
     from docmill.plans.isolate import slot
@@ -156,6 +156,24 @@ def test_slots_bound_what_runs_at_once(tmp_path):
     assert most[0] <= 2
 
 
+def test_a_child_does_not_keep_its_parents_slot():
+    from docmill.plans.isolate import Child, slot
+
+    child = Child(lambda: {"markdown": ""}, 5)
+    for _ in range(3):  # with one slot, the second turn waited for ever while the child lived
+        done = []
+
+        def turn(done=done):
+            with slot(1):
+                done.append(child())
+
+        t = threading.Thread(target=turn, daemon=True)
+        t.start()
+        t.join(5)
+        assert done == [{"markdown": ""}]
+    child.stop()
+
+
 def test_settings_reach_the_layout(spark, folder):
     whole = pipeline.convert(files.scan(spark, folder, "p.pdf"), None, Settings(pdf_crop_right=0, pdf_crop_top=0)).first()
     assert len(whole.markdown) >= len(pipeline.convert(files.scan(spark, folder, "p.pdf"), None, Settings(pdf_crop_right=300)).first().markdown or "")
