@@ -9,9 +9,9 @@ s = 0.8 and 3e-6 at 0.85, and then matters only if no other path joins the two.
 2. Halves that only one representative has are dropped before pairs of halves are formed.
 3. Each table bucket is a star around its smallest member, so a bucket of n gives n - 1 edges; components of the stars are
    clusters that hold every candidate pair.
-4. A cluster above one block is split first: its members are held against each other by their half keys alone, and only those
-   with MATCH equal ones stay together, so that a chain of documents with little in common comes apart before
-   any text is moved. At similarity 0.8 a pair has fewer with probability below 1e-5.
+4. A cluster above one block is split first, so that a chain of documents with little in common comes apart before it is compared.
+   This loses no link: of two linked sets each has one of the other's among its rarest few (prefix filter, see _split), so the
+   links that are found do not depend on the size of a cluster.
 5. A cluster is dealt out in blocks; a task compares two blocks by their full sets and returns a spanning forest of the
    links it finds, never all pairs. Components of these are the result.
 """
@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import forest, in_blocks, overlaps
+from .blocks import in_blocks, overlaps
 from .common import Memo, dropped, likely_among, marked, resident, written
 from .components import connected_components
 
 HALVES, ROWS = 14, 3
 #: Documents of a cluster that are compared as one block.
 BLOCK = 384
-#: Equal half keys of 2 * HALVES from which two members of a large cluster are held to be candidates still.
-MATCH = 4
+#: Counters of shingles that order those of large clusters by how frequent they are (2 MB in each worker).
+COUNTERS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -211,49 +211,60 @@ def _with_roots(roots: DataFrame) -> DataFrame:
     return written(clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct()), "clusters")
 
 
-def _split(clusters: DataFrame, reps: DataFrame, block: int, match: int) -> DataFrame:
-    """(rep, cluster), those above one block split into what pairs with `match` equal half keys join; members without such a pair go."""
+def _split(clusters: DataFrame, own: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """(rep, cluster), those above one block split into what shared prefixes join; members that share none go.
+
+    The shingles of members are put in one order, rare ones first. Sets with 100 * intersection >= percent * union have at
+    least percent / 100 of either in common, so whichever of these comes first is among the first
+    n - ceil(n * percent / 100) + 1 of both: every link joins two members that share such a shingle, however large the cluster."""
     large = written(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("cluster"), "large")
     if large.isEmpty():
         return clusters
-    members = clusters.join(large, "cluster", "left_semi")
-    keys = members.select("rep").join(reps.select("rep", "halves"), "rep")  # an id with several texts has several rows
-    tasks = in_blocks(members.select(F.col("rep").alias("node"), "cluster"), block).withColumnRenamed("node", "rep").join(keys, "rep")
+    members = written(clusters.join(large, "cluster", "left_semi"), "members")
+    ids = members.select(F.col("rep").alias("doc_id"))
+    texts = likely_among(own, F.col("doc_id"), ids).join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "cluster", "text").distinct()
+    texts = written(texts, "members")
 
-    def run(batches):
+    def counted(batches):
         import pyarrow as pa
 
-        key, held = None, []
-
-        def found():
-            if len(held) < 2:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=EDGES.names)
-            ids, blocks, halves = (np.array(x) for x in zip(*held, strict=True))
-            equal = np.zeros((len(ids), len(ids)), np.uint8)
-            for c in halves.T:
-                equal += c[:, None] == c[None]
-            ok = equal >= match
-            if blocks.min() != blocks.max():
-                ok &= blocks[:, None] != blocks[None]
-            root = forest(len(ids), *np.nonzero(np.triu(ok, 1)))
-            x = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(ids[root[x]]), pa.array(ids[x])], names=EDGES.names)
-
+        shingle, counts = resident(("shingles", width), lambda: Shingler(width)), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for new, row in zip(zip(*cols[:3], strict=True), zip(*cols[3:], strict=True), strict=True):
-                if new != key:
-                    yield found()
-                    key, held = new, []
-                held.append(row)
-        yield found()
+            for t in batch.column(0).to_pylist():
+                np.add.at(counts, (shingle(t) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
+
+    totals = written(texts.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")), "counters")
+    counts = np.zeros(COUNTERS, np.int64)
+    got = totals.toArrow()
+    counts[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    sent = own.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches):
+        import pyarrow as pa
 
-    dealt = tasks.select("cluster", "i", "j", "rep", "block", "halves").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    finer = _with_roots(connected_components(dealt.mapInArrow(run, EDGES)))
+        shingle, often = resident(("shingles", width), lambda: Shingler(width)), sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, found = batch.slice(at, 256), []
+                for t in part.column(2).to_pylist():
+                    x = shingle(t)
+                    x = x[np.argsort(often[(x % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")]
+                    found.append(x[: len(x) - -(-len(x) * percent // 100) + 1].view(np.int64) if len(x) else np.zeros(0, np.int64))
+                sizes = [len(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(k).to_numpy(), sizes)) for k in (0, 1)] + [pa.array(np.concatenate(found))], names=["rep", "cluster", "x"])
+
+    tokens = written(texts.select("rep", "cluster", "text").mapInArrow(prefixes, "rep long, cluster long, x long"), "prefixes")
+    stars = tokens.groupBy("cluster", "x").agg(F.min("rep").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster", "x", "u")
+    edges = written(tokens.join(stars, ["cluster", "x"]).where("rep <> u").select("u", F.col("rep").alias("v")).distinct(), "stars")
+    for t in (tokens, texts):
+        dropped(t)
+    finer = _with_roots(connected_components(edges))
     return written(clusters.join(large, "cluster", "left_anti").unionByName(finer), "clusters")
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", halves: int = HALVES, rows: int = ROWS, block: int = BLOCK, match: int = MATCH) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", halves: int = HALVES, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included), kept.
 
     Texts without words have no shingles and no links. A row with a null id takes no part in links: its component_id
@@ -264,7 +275,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     whole = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = written(whole.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")), "reps")
     clusters = connected_components(_candidates(reps, halves))
-    clusters = _split(_with_roots(clusters), reps, block, match)
+    clusters = _split(_with_roots(clusters), own, width, percent, block)
     # Texts that are in no cluster are left out where they are read.
     ids = clusters.select(F.col("rep").alias("doc_id"))
     texts = likely_among(own, F.col("doc_id"), ids).join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct()

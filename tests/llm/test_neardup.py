@@ -30,6 +30,16 @@ def test_near_groups(spark, width, block):
     assert got == brute(rows, width)
 
 
+def test_links_do_not_depend_on_the_size_of_a_cluster(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w if k != 3 + i * 6 else f"new{i}" for k, w in enumerate(base))) for i in range(24)]
+    rows += [(100 + i, " ".join(f"v{x}" for x in rng.integers(0, 500, 40))) for i in range(6)]
+    # So few half keys find candidates, but two linked members have fewer equal ones than splitting large clusters asked for.
+    whole, split = (sorted(tuple(r) for r in neardup.near_groups(frame(spark, rows), 4, halves=1, rows=1, block=b).collect()) for b in (384, 5))
+    assert whole == split and sum(not r[3] for r in whole) > 5
+
+
 def test_links_of_blocks_equal_pairs():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1000, 60)
