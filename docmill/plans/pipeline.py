@@ -139,7 +139,7 @@ def _pdfs(got: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
     ok = got.where("parser = 'pdf' AND error_kind IS NULL")
     words = ok.select("doc_id", F.explode("words").alias("w")).select("doc_id", "w.*")
     pages = ok.where("metadata.page_count > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("metadata.page_count"))).alias("page"))
-    laid = G.pdf_markdown(words, pages, right=settings.pdf_crop_right, top=settings.pdf_crop_top)
+    laid = G.pdf_markdown(words, pages, right=settings.pdf_crop_right, top=settings.pdf_crop_top, together=True)
     j = ok.drop("markdown").join(laid, "doc_id", "left").join(sizes.select("doc_id", "length"), "doc_id")
     markdown = F.coalesce("markdown", F.lit(""))
     needs = X.needs_ocr(markdown, F.col("metadata.page_count"), F.col("pdf.creator"), F.col("length"), settings.ocr_min_chars_per_page, settings.ocr_min_chars_per_heavy_page, settings.heavy_bytes_per_page)

@@ -51,3 +51,14 @@ def test_gaps_that_the_last_bit_puts_above_five(spark, tmp_path):
 def test_the_last_step_of_pdf_layout_reads_pages_and_no_words(spark, sf_dir):
     plan = catalog.QUERIES["pdf_layout"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan and "documents.parquet" not in plan
+
+
+def test_pdf_layout_writes_texts_of_pages_and_moves_nothing(spark, sf_dir):
+    from docmill.operators import layout as G
+    from docmill.plans.store import shared_dir
+
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    df = catalog.QUERIES["pdf_layout"](spark, sf_dir)
+    assert [x.partition("-")[0] for x in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before if x.count("-") == 1] == ["pages"]
+    laid = G.page_texts(catalog.words(spark, sf_dir), together=True)
+    assert not any("Exchange" in x._jdf.queryExecution().executedPlan().toString() for x in (df, laid))

@@ -1,12 +1,15 @@
 import itertools
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docmill.conf import Settings
 from docmill.functions import text as X
 from docmill.operators import layout as G
+from docmill.operators import pagetext
 from docmill.operators import relational as R
 from docmill.plans import pipeline
 from docmill.sources import office, pdf
@@ -79,6 +82,79 @@ def test_pdf_layout_of_forms_columns_and_running_lines(spark):
     assert "# Big heading here\nword00 word01" in r.markdown
 
 
+def test_ratio_of_glyph_codes_of_texts_with_and_without_them(spark):
+    def plain(t):
+        """As it was counted word by word and line by line."""
+        t = None if t is None else str(t)
+        if t is None or len(t.strip()) < 50:
+            return None if t is None else 0.0
+        codes, words = len(re.findall(r"\(cid:\d+\)", t)), [w for w in re.split(r"[ \t\n\x0B\f\r]+", t.strip()) if w]
+        lines = [x for x in t.split("\n") if x.strip(" ")]
+        return max(codes / max(1, len(words)), sum(bool(re.match(r"^\s*(?:\(cid:\d+\)\s*)+$", x)) for x in lines) / max(1, len(lines)))
+
+    code, word = "(cid:12)", "word " * 12
+    texts = [None, "", code, word, word + code, f"{code}\n{code} {code}\n \n{word}", f"\u00a0 {word}\u00a0{code}", "\n".join([code] * 9), word + "(cid:x)", f"{word}\n\t\n{code}x", " " * 60 + code]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.g for r in df.select("i", X.garbage_ratio(F.col("t")).alias("g")).orderBy("i").collect()] == [plain(t) for t in texts]
+
+
+def by_steps(words, pages, crop):
+    """What pdf_markdown() gives, step by step over rows."""
+    words = G.with_width(words)
+    used, body = G.cropped(words) if crop else words, G.body_size(words)
+    kinds = G.classified(used).localCheckpoint()
+    columns = G.joined_lines(G.prose(G.in_strips(used, kinds), body, "strip"), "strip")
+    rest = used.join(kinds.where("layout = 'prose_multi'"), ["doc_id", "page"], "left_anti")
+    forms = G.form_tables(rest).localCheckpoint()
+    plain = G.joined_lines(G.prose(rest.join(forms, ["doc_id", "page"], "left_anti"), body))
+    found = pages.join(columns.unionByName(forms).unionByName(plain), ["doc_id", "page"], "left").withColumn("text", F.coalesce("text", F.lit(""))).localCheckpoint()
+    raw = found.groupBy("doc_id").agg(X.garbage_ratio(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda r: r["text"]), "\n")).alias("garbage"))
+    return G.joined_pages(G.without_running_lines(found.withColumn("text", X.cleaned(F.col("text"))))).join(raw, "doc_id")
+
+
+def odd_words():
+    """Pages of grids, two columns and scattered words, with running lines, glyph codes, numbering and letters of many sizes."""
+    r, rows = random.Random(7), []
+    texts = ["a", "item", "1.5", ".3", "(cid:7)", "x-", "naïve", "猫猫", "a|b", "12", "", "longer-word-than-others"]
+    for d in range(60):
+        width = r.choice([595.0, 612.0, 792.0, None])
+        for page in r.sample(range(1, 30), r.choice([1, 2, 5, 9])):
+            kind, step, size = r.choice(["grid", "grid", "two", "any", "one"]), r.choice([23, 45, 60, 110]), r.choice([7.5, 10.0, 10.0])
+            mine = [("Running", 40.0, 90.0, 145.0, size), ("head", 95.0, 120.0, 145.0, size)] if d % 3 else []
+            for k in range(1 if kind == "one" else r.choice([3, 12, 30])):
+                for i in range(r.choice([3, 5, 5, 9])):
+                    x = {"grid": 60 + i * step + r.choice([0, 0, 0.1, 21]), "two": (60, 330)[k % 2] + i * 24, "one": 70.0 + i}.get(kind, r.uniform(0, 600))
+                    mine.append((r.choice(texts), float(x), x + r.choice([20.0, 20.3, 80.0]), r.choice([0, 150.0]) + k * 12.5 + r.choice([0, 0, 1.3, -2]), size * r.choice([1, 1, 1, 1.25, 1.6])))
+            rows += [(d, page, n, *w[:4], w[4], width) for n, w in enumerate(mine)]
+    return rows
+
+
+def test_one_pass_over_words_equals_the_steps(spark):
+    schema = "doc_id long, page int, seq int, text string, x0 double, x1 double, top double, size double, width double"
+    rows = odd_words()
+    pages = spark.createDataFrame([(d, p) for d in range(61) for p in range(1, 31)], "doc_id long, page int")
+    words = spark.createDataFrame(rows, schema).localCheckpoint()
+    key = lambda r: r.doc_id
+    for crop in (True, False):
+        want = sorted(by_steps(words, pages, crop).collect(), key=key)
+        assert sorted(G.pdf_markdown(words, pages, crop).collect(), key=key) == want
+        assert any("| --" in r.markdown for r in want) and any("# " in r.markdown.replace("## Page", "") for r in want) and any(r.garbage for r in want)
+    named = words.select("doc_id", "page").distinct()
+    assert sorted(G.pdf_markdown(words).collect(), key=key) == sorted(by_steps(words, named, True).collect(), key=key)
+
+
+def test_documents_from_batches_of_any_size(monkeypatch):
+    names = ["doc_id", "page", "seq", "text", "x0", "x1", "top", "size", "width"]
+    t = pa.table(dict(zip(names, map(list, zip(*odd_words(), strict=True)), strict=True)))
+    whole = list(pagetext.of_documents(iter(t.to_batches()), None))
+    want = [r for b in whole for r in b.to_pylist()]
+    assert len(whole) == 1 and len(want) == 60
+    monkeypatch.setattr(pagetext, "WORDS", 500)
+    for size in (1, 97, 5000):
+        parts = list(pagetext.of_documents(iter(t.to_batches(size)), None))
+        assert [r for b in parts for r in b.to_pylist()] == want and (len(parts) > 5 or size == 5000)
+
+
 def test_pages_have_their_own_width(spark):
     schema = "doc_id long, page int, seq int, text string, x0 double, x1 double, top double, size double, width double"
     rows = [(d, 1, k * 100 + i, f"w{k}{i}", 72.0 + i * 60, 110.0 + i * 60, 150.0 + k * 14, 10.0, w) for d, w in ((1, 595.0), (2, 612.0), (3, 792.0), (4, 20.0)) for k in range(3) for i in range(12)]
